@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.functions import text
+from quire.operators import graphs, rows, tables
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -42,3 +45,450 @@ def duplicate_works(spark, sf_dir):
     lines = F.transform(F.split("text", "\n"), lambda x: F.btrim(F.regexp_replace(x, LAYOUT, " ")))
     body = F.array_join(F.filter(lines, lambda x: x != ""), "\n")
     return docs.select("doc_id", F.sha2(body, 256).alias("content_id")).groupBy("content_id").agg(F.count(F.lit(1)).alias("n_documents"), F.min("doc_id").alias("first_doc")).where("n_documents > 1")
+
+
+# Text operators. Java writes code points as \x{85}, the SQL engine's RE2 likewise.
+_WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_BLANK = "(' ', chr(9), chr(10), chr(13))"
+_CHARS = """WITH c AS (SELECT doc_id, unnest(x) AS ch, generate_subscripts(x, 1) AS i, len(x) AS n FROM (SELECT doc_id, string_split(text, '') AS x FROM documents)),
+w AS (SELECT doc_id, ch, i, n, lag(ch) OVER o AS before, lead(ch) OVER o AS after FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY i))"""
+
+
+def _is_cut(marks: str | None) -> str:
+    mark = "before IS NOT NULL" if marks is None else f"contains('{marks}', before)"
+    return f"ch IN {_BLANK} AND {mark} AND after NOT IN {_BLANK}"
+
+
+@query(r"""SELECT doc_id, CAST(n - 1 AS INTEGER) AS n, l AS line FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
+WHERE regexp_matches(l, '[^ \t\r]')""")
+def line_scan(spark, sf_dir):
+    found = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("n", "line"))
+    return found.where(F.col("line").rlike(r"[^ \t\r]"))
+
+
+@query(r"""SELECT doc_id, CAST(k AS INTEGER) AS stanza, CAST(len(string_split(s, chr(10))) AS INTEGER) AS n_lines, s[:40] AS opening FROM (
+  SELECT doc_id, unnest(x) AS s, generate_subscripts(x, 1) - 1 AS k FROM (
+    SELECT doc_id, list_filter(regexp_split_to_array(trim(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10)), '\n([ \t\r]*\n)+'), lambda s: s <> '') AS x FROM documents))""")
+def stanza_islands(spark, sf_dir):
+    """Sentences set apart by blank lines stand in for stanzas; blank lines break them."""
+    body = F.btrim(F.replace(F.col("text"), F.lit(". "), F.lit(".\n\n")), F.lit("\n"))
+    stanzas = F.filter(F.split(body, r"\n(?:[ \t\r]*\n)+"), lambda s: s != "")
+    found = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(stanzas).alias("stanza", "s"))
+    return found.select("doc_id", "stanza", F.size(F.split("s", "\n")).alias("n_lines"), F.substring("s", 1, 40).alias("opening"))
+
+
+@query(r"""SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'), ' ')) AS layout_md5 FROM documents""")
+def layout_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.collapse_layout(F.col("text"))).alias("layout_md5"))
+
+
+@query(r"""
+WITH lines AS (
+  SELECT doc_id, n, trim(regexp_replace(l, '[ \t\n\r]+', ' ', 'g'), ' ') AS l
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents))
+SELECT doc_id, sha256(coalesce(string_agg(l, chr(10) ORDER BY n) FILTER (l <> ''), '')) AS content_id FROM lines GROUP BY doc_id""")
+def content_id(spark, sf_dir):
+    body = F.array_join(F.filter(F.transform(F.split("text", "\n"), text.collapse_layout), lambda x: x != ""), "\n")
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(body, 256).alias("content_id"))
+
+
+@query(rf"""SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (
+  SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda w: w <> '')) AS word FROM documents) GROUP BY word""")
+def word_table(spark, sf_dir):
+    """Words are counted per document in its own row before anything is exchanged."""
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.words(F.col("text"))).alias("word"))
+    per_doc = found.groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("c"))
+    return per_doc.groupBy("word").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+
+
+@query("""SELECT doc_id, CAST(sum(length(l)) AS BIGINT) AS mass FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY doc_id""")
+def char_mass(spark, sf_dir):
+    total = F.aggregate(F.split("text", "\n"), F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    return table(spark, sf_dir, "documents").select("doc_id", total.alias("mass"))
+
+
+@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[.!?…;·]\s+\S')) AS INTEGER) AS n_cuts FROM documents""")
+def sentence_cuts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(rf"[{text.SENTENCE_MARKS}]\s+\S")).alias("n_cuts"))
+
+
+@query(f"""{_CHARS} SELECT doc_id, CAST(count(*) FILTER ({_is_cut(text.SENTENCE_MARKS)}) AS INTEGER) AS n_sentence, CAST(count(*) FILTER ({_is_cut(text.CLAUSE_MARKS)}) AS INTEGER) AS n_clause,
+  CAST(count(*) FILTER ({_is_cut(None)}) AS INTEGER) AS n_word FROM w GROUP BY doc_id""")
+def tier_counts(spark, sf_dir):
+    n = lambda marks, name: text.cut_count(F.col("text"), marks).alias(name)
+    return table(spark, sf_dir, "documents").select("doc_id", n(text.SENTENCE_MARKS, "n_sentence"), n(text.CLAUSE_MARKS, "n_clause"), n(None, "n_word"))
+
+
+@query(f"""{_CHARS} SELECT doc_id, CAST(min({{'off': abs(i - n // 2), 'at': i}}) FILTER ({_is_cut(text.SENTENCE_MARKS)}).at AS INTEGER) AS cut FROM w GROUP BY doc_id""")
+def midpoint_cut(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.nearest_cut(F.col("text"), text.SENTENCE_MARKS).alias("cut"))
+
+
+@query(r"""SELECT doc_id, md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped_md5 FROM documents""")
+def escape_once(spark, sf_dir):
+    marks = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;"}
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.escape_once(F.col("text"), marks)).alias("escaped_md5"))
+
+
+@query(r"""SELECT doc_id, md5('> ' || regexp_replace(text, '\n([^\n])', chr(10) || '> \1', 'g')) AS quoted_md5 FROM documents""")
+def hanging_prefix(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.concat(F.lit("> "), text.hanging_prefix(F.col("text"), "> "))).alias("quoted_md5"))
+
+
+@query("""SELECT doc_id, '<p' || CASE WHEN lang <> '' THEN ' lang="' || lang || '"' ELSE '' END || CASE WHEN source = 'src0' THEN ' class="' || source || '"' ELSE '' END || '>' AS opening FROM documents""")
+def conditional_fill(spark, sf_dir):
+    """A section of a template is written only if its slots are filled."""
+    part = lambda name, value: F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f' {name}="'), value, F.lit('"'))).otherwise("")
+    kind = F.when(F.col("source") == "src0", F.col("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("<p"), part("lang", F.col("lang")), part("class", kind), F.lit(">")).alias("opening"))
+
+
+# Anchors, ordinals and references.
+
+
+@query("""SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS anchor FROM events""")
+def anchor_asof(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    value = F.when(F.col("event_type") == "signup", F.col("event_id"))
+    return rows.anchor_asof(events, ["user_id"], ["ts", "event_id"], value).select("event_id", "anchor")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def coord_unique(spark, sf_dir):
+    return rows.repeated(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("""SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.coord, b.coord) AS coord, a.n AS n_user, b.n AS n_assistant
+FROM (SELECT conv_id, turn // 2 AS coord, sum(length(text))::BIGINT AS n FROM conversations WHERE role = 'user' GROUP BY ALL) a
+FULL JOIN (SELECT conv_id, turn // 2 AS coord, sum(length(text))::BIGINT AS n FROM conversations WHERE role = 'assistant' GROUP BY ALL) b
+ON a.conv_id = b.conv_id AND a.coord = b.coord""")
+def weave(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").withColumn("coord", F.floor(F.col("turn") / 2))
+    side = lambda role, name: turns.where(F.col("role") == role).groupBy("conv_id", "coord").agg(F.sum(F.length("text")).alias(name))
+    return rows.weave(side("user", "n_user"), side("assistant", "n_assistant"), ["conv_id", "coord"])
+
+
+@query("""SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n_inversions FROM (SELECT * FROM lineitem) a JOIN (SELECT l_orderkey AS k, l_linenumber AS n2, l_partkey AS p2 FROM lineitem) b
+ON a.l_orderkey = b.k AND a.l_linenumber < b.n2 AND a.l_partkey > b.p2 GROUP BY l_orderkey""")
+def order_inversions(spark, sf_dir):
+    return rows.inversions(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber", "l_partkey")
+
+
+@query(rf"""SELECT conv_id, turn, CAST(k AS INTEGER) AS nth, w AS word FROM (SELECT conv_id, turn, unnest(x) AS w, generate_subscripts(x, 1) AS k FROM (
+  SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '{_WS}+'), lambda w: w <> '') AS x FROM conversations)) WHERE k % 10 = 0""")
+def apparatus_positions(spark, sf_dir):
+    """Every tenth word of a slice, where a note would be placed."""
+    found = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(text.words(F.col("text"))).alias("k", "word"))
+    return found.where((F.col("k") + 1) % 10 == 0).select("conv_id", "turn", (F.col("k") + 1).alias("nth"), "word")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def ref_undefined(spark, sf_dir):
+    return rows.undefined(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_linestatus, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus <> o_orderstatus")
+def ref_mismatch(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
+    return rows.mismatched(lines, orders, ["l_orderkey"], "l_linestatus", "o_orderstatus")
+
+
+@query("""SELECT o_custkey, o_orderkey, 'o' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS new_name FROM orders
+WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)""")
+def anchor_renumber(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    used = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    used = used.distinct()
+    kept = orders.join(used, "o_orderkey", "left_semi")
+    return rows.renumber(kept, kept, ["o_custkey"], "o_orderkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "new_name")
+
+
+@query("""WITH s AS (SELECT *, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS st FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+i AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS island FROM s)
+SELECT event_id, CAST(island AS BIGINT) AS island, CAST(row_number() OVER (PARTITION BY user_id, island ORDER BY event_id) AS INTEGER) AS ordinal FROM i""")
+def ordinal_runs(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return rows.ordinals(events, ["user_id"], ["event_id"], ["event_type"], F.lit(True)).select("event_id", "island", "ordinal")
+
+
+@query("""WITH o AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS expected FROM lineitem)
+SELECT l_orderkey, l_linenumber, CAST(expected AS INTEGER) AS expected FROM o WHERE expected <> l_linenumber""")
+def ordinal_errors(spark, sf_dir):
+    """Explicit ordinals that are not the next of their run. Ties hold equal values, so their order is free."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    found = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(w).alias("expected"))
+    return found.where("expected <> l_linenumber")
+
+
+_SLUG = r"array_to_string(list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), '-')"
+
+
+@query(f"SELECT c_custkey, {_SLUG.format('c_name')} AS anchor FROM customer")
+def auto_anchor(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", text.slug(F.col("c_name")).alias("anchor"))
+
+
+@query(f"""SELECT p_partkey, s || CASE WHEN count(*) OVER (PARTITION BY s) > 1 THEN '-' || row_number() OVER (PARTITION BY s ORDER BY p_partkey) ELSE '' END AS anchor
+FROM (SELECT p_partkey, {_SLUG.format('p_name')} AS s FROM part)""")
+def homographs(spark, sf_dir):
+    """Heads spelled alike are told apart by their ordinal."""
+    slugs = table(spark, sf_dir, "part").select("p_partkey", text.slug(F.col("p_name")).alias("s"))
+    w = Window.partitionBy("s")
+    number = F.when(F.count(F.lit(1)).over(w) > 1, F.concat(F.lit("-"), F.row_number().over(w.orderBy("p_partkey")))).otherwise("")
+    return slugs.select("p_partkey", F.concat("s", number).alias("anchor"))
+
+
+_TERMS = [("urgent", "1-urgent"), ("high", "2-high"), ("medium", "3-medium"), ("low", "5-low"), ("English", "en"), ("French", "fr")]
+_TERMS_SQL = "(VALUES " + ", ".join(f"('{t}', '{a}')" for t, a in _TERMS) + ") AS v(term, alias)"
+
+
+@query(f"SELECT o_orderkey, coalesce(term, o_orderpriority) AS canonical FROM orders LEFT JOIN {_TERMS_SQL} ON lower(o_orderpriority) = alias")
+def vocab_canonical(spark, sf_dir):
+    vocabulary = spark.createDataFrame(_TERMS, "term string, alias string")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return rows.canonical_terms(orders, vocabulary, "o_orderpriority").select("o_orderkey", "canonical")
+
+
+@query(f"SELECT doc_id, coalesce(term, lang) AS canonical FROM documents LEFT JOIN {_TERMS_SQL} ON lower(lang) = alias")
+def vocab_languages(spark, sf_dir):
+    vocabulary = spark.createDataFrame(_TERMS, "term string, alias string")
+    return rows.canonical_terms(table(spark, sf_dir, "documents").select("doc_id", "lang"), vocabulary, "lang").select("doc_id", "canonical")
+
+
+# Tables, media, addresses and pages.
+
+_ROW = "'|' || n_nationkey || ' | ' || n_name || ' \\| x | ' || n_regionkey || '|'"
+
+
+@query(f"""SELECT n_nationkey, CAST(k - 1 AS INTEGER) AS cell, trim(replace(c, chr(1), '|')) AS content FROM (SELECT n_nationkey, unnest(x) AS c, generate_subscripts(x, 1) AS k FROM (
+  SELECT n_nationkey, string_split(trim(replace({_ROW}, '\\|', chr(1)), '|'), '|') AS x FROM nation))""")
+def shorthand_cells(spark, sf_dir):
+    """Cells of a pipe row; an escaped separator is content."""
+    row = F.concat(F.lit("|"), "n_nationkey", F.lit(" | "), "n_name", F.lit(" \\| x | "), "n_regionkey", F.lit("|"))
+    found = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(tables.split_cells(row)).alias("cell", "content"))
+    return found
+
+
+@query("""SELECT n_regionkey, k AS cell, coalesce(n_name, '') AS content FROM (SELECT n_regionkey, unnest(range(m)) AS k FROM (SELECT n_regionkey, count(*) AS c FROM nation GROUP BY 1), (SELECT max(c) + 1 AS m FROM (SELECT count(*) AS c FROM nation GROUP BY n_regionkey)))
+LEFT JOIN (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS k FROM nation) USING (n_regionkey, k)""")
+def pad_rows(spark, sf_dir):
+    """Short rows get empty cells up to the width of the table (here one more than its longest row)."""
+    by = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]).alias("cells"))
+    width = by.agg(F.max(F.size("cells")).alias("m"))
+    padded = tables.pad(F.col("cells"), F.col("m") + 1)
+    out = by.join(F.broadcast(width)).select("n_regionkey", F.posexplode(padded).alias("cell", "content"))
+    return out.select("n_regionkey", F.col("cell").cast("long").alias("cell"), "content")
+
+
+@query(r"""SELECT page_id, 'm' || row_number() OVER (PARTITION BY h ORDER BY page_id) || '.' || CASE WHEN e = '' THEN 'html' ELSE e END AS name, sha256(html) AS sha256 FROM (
+  SELECT page_id, html, regexp_extract(url, '^https?://([^/?#]+)', 1) AS h, lower(regexp_extract(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '\.([A-Za-z0-9]+)$', 1)) AS e FROM pages)""")
+def media_names(spark, sf_dir):
+    """Bundled files are named in order within their document (here the host)."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.sha2("html", 256).alias("sha256"), F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host"), text.url_extension(F.col("url")).alias("e"))
+    number = F.row_number().over(Window.partitionBy("host").orderBy("page_id"))
+    return pages.select("page_id", F.concat(F.lit("m"), number, F.lit("."), F.when(F.col("e") == "", "html").otherwise(F.col("e"))).alias("name"), "sha256")
+
+
+@query(r"""SELECT page_id, lower(regexp_extract(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '\.([A-Za-z0-9]+)$', 1)) AS extension FROM pages""")
+def extension_infer(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.url_extension(F.col("url")).alias("extension"))
+
+
+_LINKS_SQL = r"""SELECT page_id, url, generate_subscripts(x, 1) - 1 AS n, unnest(x) AS href FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS x FROM pages)"""
+
+
+@query(rf"""SELECT page_id, CAST(n AS INTEGER) AS n, href, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN href[1] = '/' THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href ELSE
+  CASE WHEN f[-1] = '/' THEN f ELSE f || '/' END || href END AS target FROM (SELECT *, regexp_extract(url, '^(https?://[^/?#]+(?:/[^?#]*/|/)?)', 1) AS f FROM ({_LINKS_SQL}))""")
+def url_resolve(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("n", "href"))
+    return found.select("page_id", "n", "href", text.resolve_url(F.col("url"), F.col("href")).alias("target"))
+
+
+@query(r"""SELECT tag, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages) GROUP BY tag""")
+def tag_stats(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)[ >]"), 1)).alias("tag"))
+    per_page = found.groupBy("tag", "page_id").agg(F.count(F.lit(1)).alias("c"))
+    return per_page.groupBy("tag").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_pages"))
+
+
+@query(r"""SELECT page_id, CAST(n - 1 AS INTEGER) AS n, h[3:3]::INTEGER AS level, regexp_replace(h[5:-6], '<[^>]*>', '', 'g') AS heading FROM (
+  SELECT page_id, unnest(x) AS h, generate_subscripts(x, 1) AS n FROM (SELECT page_id, regexp_extract_all(html, '<h[1-6]>.*?</h[1-6]>') AS x FROM pages))""")
+def headings(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<h[1-6]>.*?</h[1-6]>"), 0)).alias("n", "h"))
+    inner = F.regexp_replace(F.expr("substring(h, 5, length(h) - 9)"), "<[^>]*>", "")
+    return found.select("page_id", "n", F.substring("h", 3, 1).cast("int").alias("level"), inner.alias("heading"))
+
+
+@query(_LINKS_SQL.replace("url, generate", "CAST(generate").replace("- 1 AS n", "- 1 AS INTEGER) AS n").replace("page_id, url, regexp", "page_id, regexp"))
+def links(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("n", "href"))
+
+
+@query(r"""SELECT page_id, md5(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', chr(160)), '&amp;', '&')) AS decoded_md5 FROM pages""")
+def entity_decode(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.decode_entities(F.col("html"))).alias("decoded_md5"))
+
+
+@query(r"""WITH h AS (SELECT page_id, unnest(x) AS h, generate_subscripts(x, 1) AS n FROM (SELECT page_id, regexp_extract_all(html, '<h[1-6]>.*?</h[1-6]>|<p>') AS x FROM pages)),
+heads AS (SELECT page_id, n, h[3:3]::INTEGER AS level, lead(n) OVER (PARTITION BY page_id ORDER BY n) AS nxt, (SELECT max(n) FROM h b WHERE b.page_id = h.page_id) AS last FROM h WHERE h <> '<p>')
+SELECT page_id, CAST(n AS INTEGER) AS start, CAST(coalesce(nxt - 1, last) AS INTEGER) AS stop, level FROM heads""")
+def outline(spark, sf_dir):
+    """Headings with the span of blocks up to the next heading."""
+    blocks = F.regexp_extract_all("html", F.lit("<h[1-6]>.*?</h[1-6]>|<p>"), 0)
+    found = table(spark, sf_dir, "pages").select("page_id", F.size(blocks).alias("last"), F.posexplode(blocks).alias("n", "h")).where("h <> '<p>'")
+    after = F.lead("n").over(Window.partitionBy("page_id").orderBy("n"))
+    return found.select("page_id", (F.col("n") + 1).alias("start"), F.coalesce(after, F.col("last")).alias("stop"), F.substring("h", 3, 1).cast("int").alias("level"))
+
+
+@query("SELECT source, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY source")
+def unresolved_labels(spark, sf_dir):
+    found = rows.undefined(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels").select("doc_id"), ["doc_id"])
+    return found.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT conv_id, md5(string_agg('@' || role || chr(10) || text || chr(10) || role || '@', chr(10) ORDER BY turn)) AS body_md5 FROM conversations GROUP BY conv_id""")
+def serialize_events(spark, sf_dir):
+    """Opening and closing events put in order and joined per document."""
+    part = F.concat(F.lit("@"), "role", F.lit("\n"), "text", F.lit("\n"), "role", F.lit("@"))
+    by = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("part")))).alias("xs"))
+    return by.select("conv_id", F.md5(F.array_join(F.transform("xs", lambda x: x["part"]), "\n")).alias("body_md5"))
+
+
+_NAMES = [("1-URGENT", "fr", "urgent"), ("2-HIGH", "fr", "haut"), ("1-URGENT", None, "urgency"), ("3-MEDIUM", None, "medium")]
+_NAMES_SQL = "(VALUES " + ", ".join(f"('{s}', {'NULL' if g is None else repr(g)}, '{n}')" for s, g, n in _NAMES) + ") AS g(symbol, language, name)"
+
+
+@query(f"""SELECT o_orderkey, '{{' || coalesce(a.name, b.name, o_orderpriority) || '}}' AS spelled FROM orders
+LEFT JOIN (SELECT * FROM {_NAMES_SQL} WHERE language = 'fr') a ON o_orderpriority = a.symbol LEFT JOIN (SELECT * FROM {_NAMES_SQL} WHERE language IS NULL) b ON o_orderpriority = b.symbol""")
+def respell(spark, sf_dir):
+    """Symbols spelled out: the language's name, else the general one, else the symbol."""
+    names = spark.createDataFrame(_NAMES, "symbol string, language string, name string")
+    local = F.broadcast(names.where("language = 'fr'").select(F.col("symbol").alias("o_orderpriority"), F.col("name").alias("a")))
+    general = F.broadcast(names.where("language IS NULL").select(F.col("symbol").alias("o_orderpriority"), F.col("name").alias("b")))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority").join(local, "o_orderpriority", "left").join(general, "o_orderpriority", "left")
+    return orders.select("o_orderkey", F.concat(F.lit("{"), F.coalesce("a", "b", "o_orderpriority"), F.lit("}")).alias("spelled"))
+
+
+_RULES = [("r0", []), ("r1", ["en"]), ("r2", ["en", "good"]), ("r3", ["fr"]), ("r4", ["good"]), ("r5", ["toxic"])]
+_RULES_SQL = "(VALUES " + ", ".join(f"('{r}', {c}::VARCHAR[])" for r, c in _RULES) + ") AS r(rule, classes)"
+
+
+@query(f"""WITH nodes AS (SELECT doc_id AS node, [lang] || CASE WHEN quality = 1 THEN ['good'] ELSE [] END || CASE WHEN toxic = 1 THEN ['toxic'] ELSE [] END AS cs FROM documents JOIN labels USING (doc_id)),
+fits AS (SELECT node, rule, len(classes) AS n FROM nodes, {_RULES_SQL} WHERE list_has_all(cs, classes)),
+best AS (SELECT node, max(n) AS n FROM fits GROUP BY node)
+SELECT node, max(rule) AS rule, count(*) > 1 AS tied FROM fits JOIN best USING (node, n) GROUP BY node""")
+def rule_specificity(spark, sf_dir):
+    classes = F.concat(F.array("lang"), F.when(F.col("quality") == 1, F.array(F.lit("good"))).otherwise(F.array().cast("array<string>")), F.when(F.col("toxic") == 1, F.array(F.lit("toxic"))).otherwise(F.array().cast("array<string>")))
+    nodes = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("doc_id").alias("node"), classes.alias("node_classes"), F.lit("doc").alias("kind"))
+    rules = spark.createDataFrame([("doc", r, c) for r, c in _RULES], "kind string, rule string, classes array<string>")
+    return rows.best_rules(nodes, rules, "kind")
+
+
+# Mappings between schemas.
+
+_MAP = [("view", "seen"), ("click", "pressed"), ("purchase", "bought")]
+_MAP_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _MAP) + ") AS m(source, target)"
+
+
+@query(f"SELECT event_id, coalesce(target, event_type) AS symbol FROM events LEFT JOIN {_MAP_SQL} ON event_type = source")
+def morph_rename(spark, sf_dir):
+    rules = F.broadcast(spark.createDataFrame(_MAP, "event_type string, target string"))
+    return table(spark, sf_dir, "events").select("event_id", "event_type").join(rules, "event_type", "left").select("event_id", F.coalesce("target", "event_type").alias("symbol"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_type NOT IN ('error', 'signup')")
+def morph_drop(spark, sf_dir):
+    drop = F.broadcast(spark.createDataFrame([("error",), ("signup",)], "event_type string"))
+    return rows.undefined(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), drop, ["event_type"]).select("event_id", "user_id")
+
+
+@query("""SELECT event_id, last_value(CASE WHEN event_type <> 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent FROM events QUALIFY event_type <> 'click'""")
+def morph_dissolve(spark, sf_dir):
+    """A dissolved row passes what it held to the nearest row before it that stays."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type").where("event_type <> 'click'")
+    return events.select("event_id", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).alias("parent"))
+
+
+@query("""SELECT user_id, region, count(*) AS n, min(event_id) AS first_event FROM (
+  SELECT *, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS region FROM events) GROUP BY ALL""")
+def morph_group(spark, sf_dir):
+    """A trigger opens a region over what follows it."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    found = rows.regions(events, ["user_id"], ["event_id"], F.col("event_type") == "signup")
+    return found.groupBy("user_id", "region").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
+
+
+@query(f"SELECT DISTINCT event_type AS symbol FROM events WHERE event_type NOT IN (SELECT source FROM {_MAP_SQL})")
+def morph_total(spark, sf_dir):
+    """Symbols that a mapping has no rule for: none if it is total."""
+    rules = F.broadcast(spark.createDataFrame(_MAP, "symbol string, target string"))
+    return rows.undefined(table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol")).distinct(), rules, ["symbol"])
+
+
+_MANY = [*_MAP, ("error", "seen"), ("signup", "signup")]
+_MANY_SQL = _MAP_SQL.replace(") AS m", ", ('error', 'seen'), ('signup', 'signup')) AS m")
+
+
+@query(f"SELECT target, count(*) AS n FROM {_MANY_SQL} GROUP BY target HAVING count(*) > 1")
+def morph_bijective(spark, sf_dir):
+    """Targets of several symbols: none if the mapping can be reversed."""
+    return rows.repeated(spark.createDataFrame(_MANY, "source string, target string"), ["target"])
+
+
+@query(f"SELECT count(*) FILTER (source <> target) = 0 AS is_identity, count(*) FILTER (source = target) AS n_same FROM {_MANY_SQL}")
+def identity_check(spark, sf_dir):
+    rules = spark.createDataFrame(_MANY, "source string, target string")
+    return rules.agg((F.count_if(F.col("source") != F.col("target")) == 0).alias("is_identity"), F.count_if(F.col("source") == F.col("target")).alias("n_same"))
+
+
+_LINEAGE = [("lit", "base"), ("lit", "prose"), ("prose", "base"), ("lex", "base"), ("page", "lit"), ("page", "meta"), ("letters", "prose")]
+_ROUTES = [("md", "html"), ("html", "org"), ("html", "rst"), ("org", "html"), ("lit", "docbook"), ("lit", "html"), ("docbook", "lit"), ("djot", "md"), ("rst", "html"), ("djot", "lit")]
+_FILES = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("e", "e"), ("f", "d"), ("d", "g"), ("b", "f")]
+
+
+def _values(pairs, a, b):
+    return "(VALUES " + ", ".join(f"('{x}', '{y}')" for x, y in pairs) + f") AS t({a}, {b})"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT * FROM {_values(_LINEAGE, 'child', 'parent')}), up(child, ancestor, depth) AS (SELECT child, parent, 1 FROM e UNION ALL SELECT up.child, e.parent, depth + 1 FROM up JOIN e ON up.ancestor = e.child)
+SELECT child, ancestor, min(depth) AS depth FROM up GROUP BY child, ancestor""")
+def lineage_closure(spark, sf_dir):
+    return graphs.closure(spark, spark.createDataFrame(_LINEAGE, "child string, parent string"))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT * FROM {_values(_ROUTES, 'src', 'dst')}), go(src, dst, hops, path) AS (SELECT src, dst, 1, [src, dst] FROM e UNION ALL SELECT go.src, e.dst, hops + 1, list_append(path, e.dst) FROM go JOIN e ON go.dst = e.src WHERE NOT list_contains(path, e.dst)),
+least AS (SELECT src, dst, min(hops) AS hops FROM go GROUP BY src, dst)
+SELECT src, dst, hops, count(*) AS n_routes, min(array_to_string(path, '>')) AS route FROM go JOIN least USING (src, dst, hops) GROUP BY src, dst, hops""")
+def shortest_routes(spark, sf_dir):
+    return graphs.shortest_routes(spark, spark.createDataFrame(_ROUTES, "src string, dst string"))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT * FROM {_values(_FILES, 'src', 'dst')}), go(file, at, path, cyc) AS (SELECT src, dst, [src, dst], src = dst FROM e UNION ALL SELECT file, e.dst, list_append(path, e.dst), e.dst = file FROM go JOIN e ON go.at = e.src WHERE NOT cyc AND (e.dst = file OR NOT list_contains(path, e.dst)))
+SELECT file, min(array_to_string(path, '>')) AS chain FROM go WHERE cyc GROUP BY file""")
+def include_cycles(spark, sf_dir):
+    return graphs.inclusion_cycles(spark, spark.createDataFrame(_FILES, "src string, dst string"))
+
+
+# The token table.
+
+
+@query(rf"""SELECT doc_id, CAST(s - 1 AS INTEGER) AS sent, CAST(k AS INTEGER) AS tok, w AS form FROM (SELECT doc_id, s, unnest(x) AS w, generate_subscripts(x, 1) AS k FROM (
+  SELECT doc_id, s, list_filter(regexp_split_to_array(l, '{_WS}+'), lambda w: w <> '') AS x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS s FROM documents)))""")
+def token_table(spark, sf_dir):
+    """One sentence a line, one token a word."""
+    sentences = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("sent", "line"))
+    found = sentences.select("doc_id", "sent", F.posexplode(text.words(F.col("line"))).alias("k", "form"))
+    return found.select("doc_id", "sent", (F.col("k") + 1).alias("tok"), "form")
+
+
+@query(rf"""WITH t AS (SELECT doc_id, s, unnest(x) AS w, generate_subscripts(x, 1) AS k, len(x) AS n FROM (
+  SELECT doc_id, s, list_filter(regexp_split_to_array(l, '{_WS}+'), lambda w: w <> '') AS x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS s FROM documents)))
+SELECT a.w AS form, b.w AS head, count(*) AS n FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.s = b.s AND b.k = a.k // 2 WHERE a.k >= 2 GROUP BY ALL HAVING count(*) > 20""")
+def head_join(spark, sf_dir):
+    """Tokens with their heads (here the token at half their place). A sentence's tokens are one row, so no join is shuffled."""
+    sentences = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line")).select(text.words(F.col("line")).alias("w"))
+    pairs = F.transform(F.sequence(F.lit(2), F.size("w")), lambda k: F.struct(F.get("w", k - 1).alias("form"), F.get("w", F.floor(k / 2).cast("int") - 1).alias("head")))
+    found = sentences.where(F.size("w") >= 2).select(F.explode(pairs).alias("p")).select("p.form", "p.head")
+    return found.groupBy("form", "head").agg(F.count(F.lit(1)).alias("n")).where("n > 20")
