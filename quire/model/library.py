@@ -16,7 +16,7 @@ _BASE = {
 blockquote > grammata !
 division _ grammata
 emphasis / span
-link >< span !
+link >< span
 heading-1 # span
 heading-2 ## span
 heading-3 ### span

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text
-from quire.operators import graphs, rows, tables
+from quire.operators import documents, graphs, rows, tables, witnesses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -492,3 +492,68 @@ def head_join(spark, sf_dir):
     pairs = F.transform(F.sequence(F.lit(2), F.size("w")), lambda k: F.struct(F.get("w", k - 1).alias("form"), F.get("w", F.floor(k / 2).cast("int") - 1).alias("head")))
     found = sentences.where(F.size("w") >= 2).select(F.explode(pairs).alias("p")).select("p.form", "p.head")
     return found.groupBy("form", "head").agg(F.count(F.lit(1)).alias("n")).where("n > 20")
+
+
+# Documents and witnesses: work inside one row or one coordinate, beyond what SQL expresses.
+
+
+def _markdown(spark, sf_dir):
+    """Documents as Markdown: the first word of a text as a heading over it."""
+    docs = table(spark, sf_dir, "documents")
+    text_ = F.concat(F.lit("# "), F.regexp_extract("text", r"^(\S*)", 1), F.lit("\n\n"), F.col("text"))
+    return docs.select("doc_id", F.lit("md").alias("extension"), text_.alias("text"))
+
+
+@query()
+def markdown_nodes(spark, sf_dir):
+    found = documents.nodes(_markdown(spark, sf_dir))
+    return found.groupBy("kind", "symbol").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def markdown_canonical(spark, sf_dir):
+    return documents.canonical(_markdown(spark, sf_dir)).select("doc_id", "status", "error_kind", "content_id")
+
+
+@query("SELECT page_id AS doc_id, 'error' AS status, 'Syntax' AS error_kind FROM pages")
+def html_strict_status(spark, sf_dir):
+    """Every page of this table holds elements that the strict reader rejects."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit("html").alias("extension"), F.col("html").alias("text"))
+    return documents.check(pages).select("doc_id", "status", "error_kind")
+
+
+@query()
+def subdivide_rounds(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark")
+    one = items.select(F.col("item_id").alias("work"), F.lit("A").alias("witness"), F.lit(0).alias("pos"), F.lit("1").alias("coord"), "text")
+    other = one.withColumn("witness", F.lit("B")).withColumn("text", F.lower("text"))
+    return witnesses.subdivide(one.union(other), 120)
+
+
+def _turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("work"), F.col("role").alias("witness"), F.col("turn").alias("pos"), F.floor(F.col("turn") / 2).cast("string").alias("coord"), "text").where("witness <> 'system'")
+
+
+@query()
+def quasi_paths(spark, sf_dir):
+    return witnesses.cut_paths(_turns(spark, sf_dir), 200)
+
+
+@query()
+def collate_words(spark, sf_dir):
+    """Benchmark items against themselves with words dropped, replaced and added."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("work"), F.lit("B").alias("witness"), F.lit(0).alias("pos"), F.lit("1").alias("coord"), "text")
+    words = F.split("text", " ")
+    changed = F.array_join(F.flatten(F.transform(words, lambda w, k: F.when(k % 7 == 3, F.array().cast("array<string>")).when(k % 11 == 5, F.array(w, F.lit("added"))).when(k % 13 == 6, F.array(F.upper(w))).otherwise(F.array(w)))), " ")
+    return witnesses.collate(items.union(items.withColumn("text", changed).withColumn("witness", F.lit("T"))), "B")
+
+
+@query()
+def aligned_order(spark, sf_dir):
+    return witnesses.aligned_order(_turns(spark, sf_dir).dropDuplicates(["work", "witness", "coord"]))
+
+
+@query("SELECT conv_id, turn // 2 AS coord, role AS witness, count(*) AS n FROM conversations WHERE role <> 'system' GROUP BY ALL HAVING count(*) > 1")
+def coord_repeats(spark, sf_dir):
+    found = witnesses.repeated_coordinates(_turns(spark, sf_dir))
+    return found.select(F.col("work").alias("conv_id"), F.col("coord").cast("long").alias("coord"), "witness", "n")
