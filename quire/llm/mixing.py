@@ -4,7 +4,7 @@ A source whose target is ``r`` times its size takes every document ``floor(r)``
 each document's inclusion probability for one more copy. The flight moves these probabilities through the
 null space of two constraints, words and documents, three documents at a time, until at most two of a block
 are undecided. Blocks of one source are a hash of its documents, so a source of any size is spread over
-tasks; what blocks leave undecided flies once more per source. The last documents of a block do not fly:
+tasks; what blocks leave undecided flies again in blocks of blocks, until a source's is one block. The last documents of a block do not fly:
 they and the at most two undecided ones are the landing problem, where of all choices (2 to the number of
 LANDING + 2 at most) the one nearest to the balance in words, then in documents, is taken.
 
@@ -27,7 +27,7 @@ from quire.llm.common import Written, row_key, small
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 LANDING = 10
 TINY = 1e-9
 
@@ -136,10 +136,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
     turn = F.xxhash64(F.lit("turn"), "source", "key_a", "key_b")
     block = F.pmod(F.xxhash64("key_a", "key_b"), F.ceil(F.col("n_docs") / BLOCK_ROWS)).cast("int")
     rows = rows.select("doc_id", "source", "size", "source_size", "target", "base", "p", "key_a", "key_b", turn.alias("turn"), block.alias("block"))
-    flown = Written(rows.groupBy("source", "block").applyInArrow(_flown(False), rows.schema), "flown").df
     open_ = (F.col("p") > 0) & (F.col("p") < 1)
-    landed = flown.where(open_).groupBy("source").applyInArrow(_flown(True), rows.schema)
-    done = flown.where(~open_).unionByName(landed)
+    flown = Written(rows.groupBy("source", "block").applyInArrow(_flown(False), rows.schema), "flown").df
+    settled = [flown.where(~open_)]
+    rest = flown.where(open_)
+    while rest.groupBy("source").count().where(F.col("count") > BLOCK_ROWS).limit(1).count():
+        again = rest.withColumn("block", F.floor(F.col("block") * (2 * LANDING) / BLOCK_ROWS).cast("int"))
+        flown = Written(again.groupBy("source", "block").applyInArrow(_flown(False), rows.schema), "flown").df
+        settled.append(flown.where(~open_))
+        rest = flown.where(open_)
+    done = rest.groupBy("source").applyInArrow(_flown(True), rows.schema)
+    for part in settled:
+        done = done.unionByName(part)
     copies = (F.col("base") + F.col("p").cast("int")).alias("copies")
     done = done.select("doc_id", "source", "size", "source_size", "target", copies, "key_a", "key_b")
     return done.withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
