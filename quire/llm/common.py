@@ -6,12 +6,17 @@ survive lost executors, which cached or locally checkpointed blocks do not.
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: ASCII white space, as the word pattern ``[^\x20\x09-\x0D]+`` takes it.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -83,7 +88,29 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def batches(it: Iterator, *names: str) -> Iterator[tuple]:
-    """Python lists of the named columns, batch by batch."""
-    for b in it:
-        yield tuple(b.column(n).to_pylist() for n in names)
+def per_worker(key: tuple, make: Callable[[], T]) -> T:
+    """What ``make`` gives, made once per Python worker process and kept over its tasks."""
+    held = sys.modules.setdefault("quire_worker_state", types.ModuleType("quire_worker_state")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
+class Memo:
+    """A table in two generations of bounded size: what is asked for again outlives what is not."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def missing(self, keys: Iterable) -> list:
+        """Those that are in neither generation; the others are moved to the new one."""
+        if len(self.new) > self.size:
+            self.new, self.old = {}, self.new
+        out = []
+        for k in keys:
+            if k not in self.new:
+                if k in self.old:
+                    self.new[k] = self.old[k]
+                else:
+                    out.append(k)
+        return out

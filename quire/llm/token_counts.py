@@ -2,7 +2,7 @@
 
 A task keeps a table of distinct pre-tokens and their number of pieces, filled by the library for those it
 has not seen. The documents' pre-token frequencies are joined to it inside the task and summed. Only the
-counts leave the task, so nothing is shuffled; the table is emptied when it reaches a fixed size.
+counts leave the task, so nothing is shuffled; the table has a bounded size, and what is asked for again outlives what is not.
 
 Pre-tokens are found here by the tokenizer's published pattern for texts within a range of code points
 whose classes have been stable; any other text, and any that holds a special token's string, is counted by
@@ -21,6 +21,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quire.llm.common import Memo, per_worker
 from quire.llm.packing import tokenizer_path
 
 LIMIT = 512
@@ -41,7 +42,7 @@ class PieceCounter:
         import regex
         from tokenizers import Tokenizer
 
-        self.tok, self.memo = Tokenizer.from_file(path), {}
+        self.tok, self.memo = Tokenizer.from_file(path), Memo(MEMO)
         self.split = regex.compile(PATTERN).finditer
         self.find = regex.compile(PATTERN).findall
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
@@ -62,23 +63,21 @@ class PieceCounter:
     def __call__(self, text: str) -> int:
         if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return len(self.tok.encode(text, add_special_tokens=False).ids)
-        freq, memo = self.frequencies(text), self.memo
-        new = [p for p in freq if p not in memo]
+        freq = self.frequencies(text)
+        # a pre-token is split alone as it is in its text: the pattern finds it whole
+        new = self.memo.missing(freq)
         if new:
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = list(freq)
-            # a pre-token is split alone as it is in its text: the pattern finds it whole
             for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-                memo[p] = len(e.ids)
-        return sum(n * memo[p] for p, n in freq.items())
+                self.memo.new[p] = len(e.ids)
+        count = self.memo.new
+        return sum(n * count[p] for p, n in freq.items())
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit, one row per row of ``docs``."""
 
     def run(it):
-        count = PieceCounter(tokenizer_path(vocabulary))
+        count = per_worker(("piece counts", vocabulary), lambda: PieceCounter(tokenizer_path(vocabulary)))
         for b in it:
             texts = [t or "" for t in b.column("text").to_pylist()]
             n = [count(t) for t in texts]
