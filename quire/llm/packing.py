@@ -16,18 +16,31 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from quire.llm.common import Memo, per_worker
+
 WINDOW = 4096
 END = 2
 #: Documents pooled before packing starts, and those it leaves for later choice.
 POOL, POOL_KEEP = 4096, 1024
-MEMO = 300_000
+#: Distinct pieces in each generation of the table; texts, and their length, tokenized at a time.
+MEMO = 700_000
+TEXTS, CHARS = 256, 4_000_000
 CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+#: Code points up to U+0220 without the control marks that count as white space in some places only, and without
+#: the one capital whose lower case is two code points; general punctuation.
+LATIN = re.compile("[\x00-\x1b\x20-\x84\x86-\u012f\u0131-\u0220\u2010-\u2027\u2030-\u205e]*")
+_LETTERS = "".join(re.escape(chr(c)) for c in range(0x221) if chr(c).isalpha())
+_DIGITS = "0-9²³¹¼½¾"
+PIECE = re.compile(f"'?[{_LETTERS}]+(?:'[{_LETTERS}]+)*|[{_DIGITS}]+|[^{_LETTERS}{_DIGITS}\\s]+")
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -39,45 +52,56 @@ def tokenizer_path(name: str) -> str:
 
 
 class WordIds:
-    """Little-endian ids of texts whose tokens never span ASCII white space; each chunk is encoded once.
+    """Little-endian ids of texts, each distinct piece of a text being encoded once.
 
     Normalization and splitting of this tokenizer see one code point or one run without white space at a
-    time, so the ids of a text are those of its chunks one after another. Chunks are encoded by the
-    library, and the memo of them is emptied when full.
+    time, so the ids of a text are those of its pieces one after another. Pieces end at white space; in
+    texts of Latin letters they end as well between letters, digits and marks, as its pattern does, except
+    at an apostrophe with letters after it, and case is folded first. Pieces are encoded by the library and
+    kept in a bounded table.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.memo = Tokenizer.from_file(path), {}
-
-    def __call__(self, text: str) -> bytes:
-        chunks = CHUNK.findall(text)
-        memo = self.memo
-        try:
-            return b"".join(map(memo.__getitem__, chunks))
-        except KeyError:
-            new = [c for c in dict.fromkeys(chunks) if c not in memo]
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = list(dict.fromkeys(chunks))
-            for c, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False)):
-                memo[c] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-            return b"".join(map(memo.__getitem__, chunks))
-
-
-def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
+        self.tok, self.memo = Tokenizer.from_file(path), Memo(MEMO)
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+
+    def pieces(self, text: str) -> list[str]:
+        if LATIN.fullmatch(text) and not any(s in text for s in self.special):
+            return PIECE.findall(text.lower())
+        return CHUNK.findall(text)
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        split = [self.pieces(t) for t in texts]
+        new = self.memo.missing(set().union(*split))
+        for at in range(0, len(new), 8192):
+            part = new[at : at + 8192]
+            ids = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
+            raw = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+            k = 0
+            for c, x in zip(part, ids):
+                self.memo.new[c] = raw[k : (k := k + 4 * len(x))]
+        get = self.memo.new.__getitem__
+        return [b"".join(map(get, c)) for c in split]
+
+
+def fill(counts: dict[int, int], capacity: int, order: list[int] | None = None) -> dict[int, int]:
     """The multiset of lengths in ``counts`` whose sum comes closest to ``capacity`` from below.
 
-    The largest length that fits is always used, as bins then shrink the hardest items first.
+    The largest length that fits is always used, as bins then shrink the hardest items first. ``order`` has
+    the lengths in ascending order, if they are at hand.
     """
-    first = max((n for n, c in counts.items() if c and n <= capacity), default=0)
-    if not first:
+    order = sorted(counts) if order is None else order
+    top = bisect_right(order, capacity) - 1
+    if top < 0:
         return {}
+    first = order[top]
     room, full = capacity - first, (1 << capacity - first + 1) - 1
     reach, layers = 1, []
-    for n in sorted((n for n, c in counts.items() if c > (n == first) and n <= room), reverse=True):
+    for k in range(bisect_right(order, room) - 1, -1, -1):
+        n = order[k]
         have, part = min(counts[n] - (n == first), room // n), 1
         before = reach
         while have:
@@ -104,6 +128,8 @@ class Packer:
     def __init__(self, window: int, task: int):
         self.window, self.next = window, task << 40
         self.by: dict[int, list] = {}
+        self.counts: dict[int, int] = {}
+        self.order: list[int] = []
         self.n = self.tokens = 0
 
     def row(self, piece: tuple, at: int) -> tuple:
@@ -116,7 +142,12 @@ class Packer:
         return row
 
     def add(self, piece: tuple) -> None:
-        self.by.setdefault(n := len(piece[2]) // 4, []).append(piece)
+        n = len(piece[2]) // 4
+        if n not in self.by:
+            self.by[n], self.counts[n] = [], 0
+            insort(self.order, n)
+        self.by[n].append(piece)
+        self.counts[n] += 1
         self.n += 1
         self.tokens += n
 
@@ -127,10 +158,9 @@ class Packer:
         is cut to close it.
         """
         while self.n > keep and self.tokens >= self.window:
-            counts = {n: len(x) for n, x in self.by.items()}
-            pattern = fill(counts, self.window)
+            pattern = fill(self.counts, self.window, self.order)
             slack = self.window - sum(n * k for n, k in pattern.items())
-            for _ in range(1 if slack else min(counts[n] // k for n, k in pattern.items())):
+            for _ in range(1 if slack else min(self.counts[n] // k for n, k in pattern.items())):
                 if self.n <= keep:
                     return
                 at = 0
@@ -139,7 +169,7 @@ class Packer:
                         yield self.row(self.take(n), at)
                         at += n
                 if slack:
-                    doc, start, ids, n = self.take(max(self.by))
+                    doc, start, ids, n = self.take(self.order[-1])
                     yield self.row((doc, start, ids[: 4 * slack], n), at)
                     self.add((doc, start + slack, ids[4 * slack :], n))
                 self.next += 1
@@ -147,8 +177,9 @@ class Packer:
     def take(self, n: int) -> tuple:
         pieces = self.by[n]
         piece = pieces.pop()
+        self.counts[n] -= 1
         if not pieces:
-            del self.by[n]
+            del self.by[n], self.counts[n], self.order[bisect_left(self.order, n)]
         self.n -= 1
         self.tokens -= n
         return piece
@@ -167,14 +198,14 @@ class Packer:
                 ids, start, at, left = ids[4 * take :], start + take, at + take, left - take
                 if at == size:
                     at, size, self.next = 0, 0, self.next + 1
-        self.by, self.n, self.tokens = {}, 0, 0
+        self.by, self.counts, self.order, self.n, self.tokens = {}, {}, [], 0, 0
 
 
-def packed_rows(docs: Iterator[tuple], ids_of: Callable[[str], bytes], window: int = WINDOW, task: int = 0) -> Iterator[tuple]:
+def packed_rows(docs: Iterator[tuple], ids_of: WordIds, window: int = WINDOW, task: int = 0) -> Iterator[tuple]:
     """Rows as in SCHEMA for (doc_id, text) pairs."""
     packer, end = Packer(window, task), END.to_bytes(4, "little")
-    for doc, text in docs:
-        ids = ids_of(text or "") + end
+    for doc, ids in _encoded(docs, ids_of):
+        ids += end
         n = len(ids) // 4
         whole = n // window * window
         for start in range(0, whole, window):
@@ -187,11 +218,23 @@ def packed_rows(docs: Iterator[tuple], ids_of: Callable[[str], bytes], window: i
     yield from packer.cut()
 
 
+def _encoded(docs: Iterator[tuple], ids_of: WordIds) -> Iterator[tuple]:
+    names, texts, size = [], [], 0
+    for doc, text in docs:
+        names.append(doc)
+        texts.append(text or "")
+        size += len(texts[-1])
+        if len(texts) >= TEXTS or size >= CHARS:
+            yield from zip(names, ids_of.many(texts))
+            names, texts, size = [], [], 0
+    yield from zip(names, ids_of.many(texts))
+
+
 def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", window: int = WINDOW) -> DataFrame:
     """Pieces of all documents with their ids (``ids``: little-endian unsigned 32-bit), placed in sequences."""
 
     def run(it):
-        ids_of = WordIds(tokenizer_path(vocabulary))
+        ids_of = per_worker(("word ids", vocabulary), lambda: WordIds(tokenizer_path(vocabulary)))
         pairs = (p for b in it for p in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()))
         rows: list[tuple] = []
         size = 0
