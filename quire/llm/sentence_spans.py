@@ -1,6 +1,7 @@
 """Removal of repeated runs of sentences.
 
-Every run of ``RUN`` consecutive sentences is hashed (128 bits, over sentences with white space collapsed).
+Every run of ``RUN`` consecutive sentences is hashed (128 bits, over sentences with white space collapsed);
+a sentence of ``LONG`` words is a run of its own as well, since a long passage can be one sentence.
 Runs that occur more than once anywhere are found by a partial aggregation on the hash, which also gives
 the first place; every sentence covered by a run that is not at its first place is removed. Places are
 ordered by doc_id (null last), then by the row's key and the sentence's number.
@@ -24,6 +25,7 @@ from quire.llm.common import Written, release, row_key
 
 RUN = 2
 MIN_WORDS = 16
+LONG = 40
 #: A sentence ends after full stops, exclamation or question marks before white space, or at a line's end.
 SENTENCE = re.compile(r"\S(?:[^.!?\n]|[.!?]+(?!\s|$))*[.!?]*")
 
@@ -33,25 +35,27 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
         yield m.span()
 
 
-def run_hashes(texts: list[str], run: int, min_words: int) -> list[tuple[int, int, int, int]]:
+def run_hashes(texts: list[str], run: int, min_words: int, long: int = LONG) -> list[tuple[int, int, int, int]]:
     """(h1, h2, number of the first sentence, sentences) of the runs of one document's sentences."""
     from xxhash import xxh3_64_intdigest
 
     words = [t.split() for t in texts]
     n = np.array([len(w) for w in words])
     h = np.array([xxh3_64_intdigest(" ".join(w)) for w in words], np.uint64)
-    size = min(run, len(texts))
-    m = len(texts) - size + 1
-    a, b, total = np.zeros(m, np.uint64), np.full(m, size, np.uint64), np.zeros(m, np.int64)
-    for k in range(size):
-        x = h[k : k + m]
-        a = (a ^ x) * np.uint64(0x9E3779B97F4A7C15)
-        a ^= a >> np.uint64(31)
-        b = (b + x) * np.uint64(0xC2B2AE3D27D4EB4F)
-        b ^= b >> np.uint64(29)
-        total += n[k : k + m]
-    at = np.flatnonzero(total >= min_words)
-    return list(zip(a[at].view(np.int64).tolist(), b[at].view(np.int64).tolist(), at.tolist(), [size] * len(at)))
+    out: list[tuple[int, int, int, int]] = []
+    for size, least in {min(run, len(texts)): min_words, 1: long if len(texts) > 1 and run > 1 else min_words}.items():
+        m = len(texts) - size + 1
+        a, b, total = np.zeros(m, np.uint64), np.full(m, size, np.uint64), np.zeros(m, np.int64)
+        for k in range(size):
+            x = h[k : k + m]
+            a = (a ^ x) * np.uint64(0x9E3779B97F4A7C15)
+            a ^= a >> np.uint64(31)
+            b = (b + x) * np.uint64(0xC2B2AE3D27D4EB4F)
+            b ^= b >> np.uint64(29)
+            total += n[k : k + m]
+        at = np.flatnonzero(total >= least)
+        out += zip(a[at].view(np.int64).tolist(), b[at].view(np.int64).tolist(), at.tolist(), [size] * len(at))
+    return out
 
 
 def covered_sentences(keyed: DataFrame, run: int, min_words: int) -> DataFrame:

@@ -192,21 +192,23 @@ def test_fill_is_least_slack(counts, capacity):
 # 4
 
 
-def plain_spans(docs, run, least):
+def plain_spans(docs, run, least, long):
     seen, gone = {}, defaultdict(set)
     for doc, text in sorted(docs.items()):
         s = [" ".join(text[i:j].split()) for i, j in sentence_spans.sentences(text or "")]
-        size = min(run, len(s))
-        for k in range(len(s) - size + 1 if s else 0):
-            t = tuple(s[k : k + size])
-            if sum(len(x.split()) for x in t) >= least and seen.setdefault(t, (doc, k)) != (doc, k):
-                gone[doc] |= set(range(k, k + size))
+        for size in {min(run, len(s)), 1} if s else ():
+            for k in range(len(s) - size + 1):
+                t = tuple(s[k : k + size])
+                enough = long if size == 1 and len(s) > 1 else least
+                if sum(len(x.split()) for x in t) >= enough and seen.setdefault(t, (doc, k)) != (doc, k):
+                    if (doc, k) > seen[t]:
+                        gone[doc] |= set(range(k, k + size))
     return gone
 
 
 def test_sentence_spans(spark, sf, documents):
     texts = {d["doc_id"]: d["text"] for d in documents}
-    gone = plain_spans(texts, sentence_spans.RUN, sentence_spans.MIN_WORDS)
+    gone = plain_spans(texts, sentence_spans.RUN, sentence_spans.MIN_WORDS, sentence_spans.LONG)
     for r in queries.op4_sentence_spans(spark, sf).collect():
         assert r.n_removed == len(gone[r.doc_id])
         assert r.kept == sentence_spans.kept_text(texts[r.doc_id], gone[r.doc_id])[-1]
