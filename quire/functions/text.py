@@ -42,8 +42,9 @@ def escape_once(text: Column, table: dict[str, str]) -> Column:
 
 
 def hanging_prefix(text: Column, prefix: str) -> Column:
-    """Every line but the first starts with the prefix; blank lines stay blank."""
-    return F.regexp_replace(text, "\n(?=[^\n])", "\n" + prefix.replace("\\", "\\\\").replace("$", "\\$"))
+    """Every line but the first starts with the prefix, blank ones without its trailing blanks; a last newline stays."""
+    safe = lambda s: "\n" + s.replace("\\", "\\\\").replace("$", "\\$")
+    return F.regexp_replace(F.regexp_replace(text, "\n(?=[^\n])", safe(prefix)), "\n(?=\n)", safe(prefix.rstrip()))
 
 
 def decode_entities(text: Column) -> Column:

@@ -172,6 +172,7 @@ class Atlas:
 
     def __init__(self, catalog: Catalog, files: Named[str, str]):
         self.catalog, self.files = catalog, dict(files)
+        self.routes: dict[tuple[str, str], list[SchemaMap]] = {}
 
     def direct(self, a: str, b: str) -> SchemaMap | None:
         """A file a to b, one that goes both ways, or the embedding that the lineage implies."""

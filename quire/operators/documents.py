@@ -15,7 +15,9 @@ from pyspark.sql.types import _parse_datatype_string
 
 from quire.model.canon import canonicalize
 from quire.model.essence import essence
+from quire.model.mapping import Atlas, apply_route
 from quire.model.markup import parse
+from quire.model.rendering import inherit, read_rules, render
 from quire.model.schema import Catalog
 from quire.model.tree import NODE_SCHEMA, Document, DocumentError, encode
 from quire.model.writer import write
@@ -118,3 +120,49 @@ def canonical(files: DataFrame, texts: Mapping[str, str] | None = None) -> DataF
         return (made.text, essence(made.document, catalog)[1])
 
     return _mapped(files, ["doc_id", "extension", "text"], _STATUS + ", canonical string, content_id string", _guarded(one, (None, None)))
+
+
+def translate(files: DataFrame, target: str, texts: Mapping[str, str] | None = None, maps: Mapping[str, str] | None = None) -> DataFrame:
+    """Each file, canonical, carried to the target schema along the shortest route of mappings."""
+    texts, maps = dict(texts or {}), dict(maps or {})
+    one = lambda text, extension: (write(_routed(text, extension, target, texts, maps)[0]),)
+    return _mapped(files, ["doc_id", "extension", "text"], _STATUS + ", translated string", _guarded(one, (None,)))
+
+
+def _routed(text: str, extension: str, target: str, texts: dict, maps: dict) -> tuple[Document, Catalog]:
+    atlas = _atlas(texts, maps)
+    source = text if extension in NATIVE else write(read_document(text, extension, atlas.catalog))
+    doc = canonicalize(source, atlas.catalog).document
+    if doc.schema == target:
+        return doc, atlas.catalog
+    key = (doc.schema, target)
+    if key not in atlas.routes:
+        atlas.routes[key] = atlas.route(*key)
+    return apply_route(doc, atlas.routes[key], atlas.catalog), atlas.catalog
+
+
+_ATLASES: dict[tuple, Atlas] = {}
+
+
+def _atlas(texts: dict, maps: dict) -> Atlas:
+    """Schemas and routes are read once per worker and set of files."""
+    key = (tuple(sorted(texts.items())), tuple(sorted(maps.items())))
+    if key not in _ATLASES:
+        _ATLASES.clear()
+        _ATLASES[key] = Atlas(Catalog(texts), maps)
+    return _ATLASES[key]
+
+
+def export(files: DataFrame, schema: str, target: str, rules: Mapping[str, str], texts: Mapping[str, str] | None = None, maps: Mapping[str, str] | None = None) -> DataFrame:
+    """Each file carried to ``schema`` and rendered by the rule tables ``<schema>.<target>``."""
+    texts, maps, rules = dict(texts or {}), dict(maps or {}), dict(rules)
+
+    def one(text, extension):
+        doc, catalog = _routed(text, extension, schema, texts, maps)
+        tables = {name: read_rules(body, catalog.schema(name.split(".")[0])) for name, body in rules.items()}
+        made = lambda a, b: inherit(tables, catalog.schema(a), catalog, b)
+        body, beside = render(doc, made(schema, target), made)
+        return body, [{"schema": a, "target": b, "text": t} for a, b, t in beside]
+
+    more = ", rendered string, beside array<struct<schema: string, target: string, text: string>>"
+    return _mapped(files, ["doc_id", "extension", "text"], _STATUS + more, _guarded(one, (None, None)))

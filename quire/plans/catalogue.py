@@ -131,7 +131,7 @@ def escape_once(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.escape_once(F.col("text"), marks)).alias("escaped_md5"))
 
 
-@query(r"""SELECT doc_id, md5('> ' || regexp_replace(text, '\n([^\n])', chr(10) || '> \1', 'g')) AS quoted_md5 FROM documents""")
+@query(r"""SELECT doc_id, md5('> ' || replace(replace(regexp_replace(text, '\n([^\n])', chr(10) || '> \1', 'g'), chr(10) || chr(10), chr(10) || '>' || chr(10)), chr(10) || chr(10), chr(10) || '>' || chr(10))) AS quoted_md5 FROM documents""")
 def hanging_prefix(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.concat(F.lit("> "), text.hanging_prefix(F.col("text"), "> "))).alias("quoted_md5"))
 
@@ -557,3 +557,35 @@ def aligned_order(spark, sf_dir):
 def coord_repeats(spark, sf_dir):
     found = witnesses.repeated_coordinates(_turns(spark, sf_dir))
     return found.select(F.col("work").alias("conv_id"), F.col("coord").cast("long").alias("coord"), "witness", "n")
+
+
+@query()
+def markdown_to_html(spark, sf_dir):
+    """Markdown read, mapped to the HTML schema by its lineage, and rendered by a rule table."""
+    out = documents.export(_markdown(spark, sf_dir), "at-html", "html", rules={"at-html.html": HTML_RULES})
+    return out.select("doc_id", "status", "error_kind", F.length("rendered").alias("n_chars"), F.md5("rendered").alias("rendered_md5"))
+
+
+#: A small rule table for the HTML schema.
+HTML_RULES = "@@@!atrep-exo\n@=at-html=>html\n\n@%\n& &amp;\n< &lt;\n> &gt;\n%@\n" + "".join(
+    f"\n@-> {pattern}\n{template}\n>-@\n"
+    for pattern, template in [
+        ("*paragraph", "<p>@(grammata)</p>"),
+        *[(f"*solo {'#' * k}", f"<h{k}>@(grammata)</h{k}>") for k in range(1, 7)],
+        *[("#" * k, "<b>@(grammata)</b>") for k in range(1, 7)],
+        ("/", "<em>@(grammata)</em>"),
+        ("!", "<strong>@(grammata)</strong>"),
+        (",", '<span@[ class="@(genoses)"]@>@(grammata)</span>'),
+        ("><", '<a href="@((grammata))">@(grammata)</a>'),
+        (">", "<blockquote>\n@(grammata)\n</blockquote>"),
+        ("-", "<li>@(grammata)</li>"),
+        (".", '<li value="@(taxis)">@(grammata)</li>'),
+        ("*verbatim", '<pre@[ class="@(genoses)"]@>@(content)</pre>'),
+        ("*verbatim-inline", "<code>@(content)</code>"),
+        ("*media", '<img src="@(param)">'),
+        ("*deixis ^", '<a href="#@(onym)"></a>'),
+        ("*milestone", '<a id="@(scheme)-@(value)"></a>'),
+        ("*onym-anchor", '<a id="@(onym)"></a>'),
+    ]
+    if pattern != "*deixis ^"
+)
