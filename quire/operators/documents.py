@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from quire.model import slicing
 from quire.model.canon import canonicalize
 from quire.model.essence import essence
 from quire.model.mapping import Atlas, apply_route
@@ -20,6 +21,7 @@ from quire.model.markup import parse
 from quire.model.rendering import inherit, read_rules, render
 from quire.model.schema import Catalog
 from quire.model.tree import NODE_SCHEMA, Document, DocumentError, encode
+from quire.model.views import outline
 from quire.model.writer import write
 from quire.sources import corpora, html, markdown
 
@@ -109,8 +111,11 @@ def to_native(files: DataFrame, texts: Mapping[str, str] | None = None) -> DataF
     return _mapped(files, ["doc_id", "extension", "text"], _STATUS + ", native string", _guarded(one, (None,)))
 
 
-def canonical(files: DataFrame, texts: Mapping[str, str] | None = None) -> DataFrame:
-    """Canonical text and content id of each file; other formats are read into native source first."""
+def canonical(files: DataFrame, texts: Mapping[str, str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Canonical text and content id of each file; other formats are read into native source first.
+
+    keep: further columns that pass through, each as its name and type.
+    """
     texts = dict(texts or {})
 
     def one(text, extension):
@@ -119,7 +124,46 @@ def canonical(files: DataFrame, texts: Mapping[str, str] | None = None) -> DataF
         made = canonicalize(source, catalog)
         return (made.text, essence(made.document, catalog)[1])
 
-    return _mapped(files, ["doc_id", "extension", "text"], _STATUS + ", canonical string, content_id string", _guarded(one, (None, None)))
+    rows, schema = _guarded(one, (None, None)), _STATUS + ", canonical string, content_id string"
+    if not keep:
+        return _mapped(files, ["doc_id", "extension", "text"], schema, rows)
+    kept = lambda doc_id, extension, text, *rest: ((*r, *rest) for r in rows(doc_id, extension, text))
+    return _mapped(files, ["doc_id", "extension", "text", *[k.split()[0] for k in keep]], ", ".join([schema, *keep]), kept)
+
+
+def outlines(files: DataFrame, texts: Mapping[str, str] | None = None) -> DataFrame:
+    """(doc_id, kind, symbol, name, depth, start, end, head, anchor, classes) of native sources' blocks."""
+    texts = dict(texts or {})
+
+    def rows(doc_id, extension, text):
+        catalog = Catalog(texts)
+        try:
+            doc = read_document(text or "", extension, catalog)
+            for x in outline(doc, catalog.schema(doc.schema)):
+                yield (doc_id, *x.values())
+        except DocumentError:
+            return
+
+    schema = "doc_id long, kind string, symbol string, name string, depth int, start int, end int, head string, anchor string, classes array<string>"
+    return _mapped(files, ["doc_id", "extension", "text"], schema, rows)
+
+
+def slices(files: DataFrame, scheme: str, texts: Mapping[str, str] | None = None) -> DataFrame:
+    """files: doc_id (the work), witness, extension, text. (work, witness, pos, coord, text) for ``witnesses``.
+
+    The text of a slice is its words; what stands before the first coordinate has none.
+    """
+    texts = dict(texts or {})
+
+    def rows(doc_id, witness, extension, text):
+        try:
+            doc = read_document(text or "", extension, Catalog(texts))
+        except DocumentError:
+            return
+        for k, s in enumerate(slicing.slices(doc.blocks, scheme)):
+            yield (doc_id, witness, k, None if s.point is None else s.point.text, " ".join(slicing.words(s.nodes)))
+
+    return _mapped(files, ["doc_id", "witness", "extension", "text"], "work long, witness string, pos int, coord string, text string", rows)
 
 
 def translate(files: DataFrame, target: str, texts: Mapping[str, str] | None = None, maps: Mapping[str, str] | None = None) -> DataFrame:
