@@ -64,6 +64,40 @@ emphasis / span
 strong * span
 strong-emphasis */ span
 annotation , span
+""",
+    "at-org": """
+heading-1 # span
+heading-2 ## span
+heading-3 ### span
+heading-4 #### span
+heading-5 ##### span
+emphasis / span
+strong * span
+underline _ span
+strike + span
+link >< span
+blockquote > grammata !
+verse ~ stichos
+table | stichos
+unordered-item - grammata
+ordered-item . grammata N
+definition-item :: grammata H
+footnote ^ grammata
+""",
+    "at-djot": """
+heading-1 # span
+heading-2 ## span
+heading-3 ### span
+heading-4 #### span
+heading-5 ##### span
+heading-6 ###### span
+link >< span
+emphasis _ span
+strong * span
+blockquote > grammata !
+unordered-item - grammata
+ordered-item . grammata N
+footnote ^ grammata
 """,
     "at-usfm": """
 book # grammata H =books
