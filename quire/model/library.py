@@ -83,6 +83,25 @@ unordered-item - grammata
 ordered-item . grammata N
 definition-item :: grammata H
 footnote ^ grammata
+""",
+    "at-rst": """
+heading-1 # span
+heading-2 ## span
+heading-3 ### span
+heading-4 #### span
+heading-5 ##### span
+heading-6 ###### span
+emphasis * span
+strong ** span
+link >< span
+blockquote > grammata !
+unordered-item - grammata
+ordered-item . grammata N
+definition-item :: grammata H
+field : grammata H
+note ! grammata
+warning !! grammata
+footnote ^ grammata
 """,
     "at-djot": """
 heading-1 # span

@@ -33,6 +33,7 @@ READERS: dict[str, Callable[[str], Document]] = {
     "htm": html.read,
     "bib": corpora.read_bibtex,
     "org": lightweight.read_org,
+    "rst": lightweight.read_rst,
     "dj": lightweight.read_djot,
     "djot": lightweight.read_djot,
 }

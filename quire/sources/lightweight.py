@@ -1,9 +1,10 @@
-"""Org and Djot to document trees: a table of block openers over a line cursor, a table of inline marks."""
+"""Org, Djot and reStructuredText to document trees: a table of block openers over a line cursor, a table of inline marks."""
 
 from __future__ import annotations
 
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Callable
 
 from quire.model.tree import Document, DocumentError, Node
@@ -156,12 +157,13 @@ class Scan:
 
     def closing(self, mark: str, start: int) -> int:
         """The next mark after a character that is no blank and before a blank, punctuation or the end."""
-        if mark not in self.places:
-            p = re.compile(rf"(?<=\S){re.escape(mark)}(?=\s|[{re.escape(string.punctuation)}]|$)")
-            self.places[mark] = [m.start() for m in p.finditer(self.text)]
-        from bisect import bisect_left
+        return self.place(rf"(?<=\S){re.escape(mark)}(?=\s|[{re.escape(string.punctuation)}]|$)", start)
 
-        rest = self.places[mark]
+    def place(self, pattern: str, start: int) -> int:
+        """The first match at or after a place; all matches are found once."""
+        if pattern not in self.places:
+            self.places[pattern] = [m.start() for m in re.finditer(pattern, self.text)]
+        rest = self.places[pattern]
         k = bisect_left(rest, start)
         return rest[k] if k < len(rest) else -1
 
@@ -356,9 +358,120 @@ class Djot(Format):
         return (shown if not url else [*shown, Node("text", text=" ("), link(url), Node("text", text=")")]), end + 1
 
 
+#: Underlines of headings by level (fixed values).
+ADORNMENTS = "=-~^\"'"
+
+
+class Rst(Format):
+    name, schema = "rst", "at-rst"
+    openers = [
+        (r"\.\. (.*)", "directive"),
+        (r":([^\s:]+): (.*)", "field"),
+        (r"(?! )(.*)", "heading"),
+        (r"- (.*)", "item"),
+        (r"([0-9]+)\. (.*)", "ordered"),
+        (r"::$", "literal"),
+        (r"   ", "quote"),
+        (r"(?! )(.*)", "definition"),
+        (r" {1,2}(\S.*)", "alone"),
+    ]
+    marks = {"\\": ["escape"], "`": ["code", "linked"], "[": ["callout"], "*": ["stars"]}
+
+    def indented(self, lines: Lines, skip_blank: bool = False, by: int = 3) -> list[str]:
+        """The lines indented from here, single blank lines between them included, without the indent."""
+        lead, out = " " * by, []
+        if skip_blank and lines and not lines.now.strip():
+            lines.at += 1
+        while lines:
+            raw = lines.all[lines.at]
+            follows = lines.at + 1 < len(lines.all) and lines.all[lines.at + 1].startswith(lead)
+            if not raw.startswith(lead) and (raw.strip() or not follows):
+                break
+            out.append(raw[by:] if raw.startswith(lead) else "")
+            lines.at += 1
+        return out
+
+    def directive(self, m, lines):
+        lines.take()
+        rest = m[1]
+        if rest in ("note::", "warning::"):
+            return [_block("!" if rest[0] == "n" else "!!", self.inner(self.indented(lines, True)))]
+        if rest.startswith("image:: "):
+            return [Node("media", text=rest[8:].strip(), is_block=True)]
+        if note := re.match(r"\[#(.*?)\] (.*)", rest):
+            return [_block("^", self.inner([note[2], *self.indented(lines)]), anchor=note[1])]
+        self.fail(f"unsupported directive `{m[0]}`")
+
+    def field(self, m, lines):
+        lines.take()
+        return [_block(":", self.inner([m[2].strip(), *self.indented(lines)]), head=self.inlines(m[1]))]
+
+    def heading(self, m, lines):
+        under = lines.all[lines.at + 1] if lines.at + 1 < len(lines.all) else ""
+        if len(under) < 3 or under[0] not in ADORNMENTS or under.strip(under[0]) or len(under) < min(4, len(m[1])):
+            return None
+        lines.at += 2
+        return [_para([Node("span", "#" * (ADORNMENTS.index(under[0]) + 1), body=self.inlines(m[1]))])]
+
+    def item(self, m, lines):
+        lines.take()
+        return [_block("-", self.inner([m[1], *self.indented(lines, by=2)]))]
+
+    def ordered(self, m, lines):
+        lines.take()
+        return [_block(".", self.inner([m[2], *self.indented(lines)]), ordinal=int(m[1]))]
+
+    def literal(self, m, lines):
+        lines.take()
+        return [Node("raw", text="".join(x + "\n" for x in self.indented(lines, True)), is_block=True)]
+
+    def quote(self, m, lines):
+        return [_block(">", self.inner(self.indented(lines)), flips=False)]
+
+    def definition(self, m, lines):
+        if lines.at + 1 >= len(lines.all) or not lines.all[lines.at + 1].startswith("   "):
+            return None
+        lines.take()
+        return [_block("::", self.inner(self.indented(lines)), head=self.inlines(m[1]))]
+
+    def alone(self, m, lines):
+        return [_para(self.inlines(lines.take()))]
+
+    escape = Djot.escape
+
+    def code(self, scan, at):
+        end = scan.find("``", at + 2) if scan.text.startswith("``", at) else -1
+        return None if end < 0 else ([Node("raw", text=scan.text[at + 2 : end])], end + 2)
+
+    def linked(self, scan, at):
+        end = scan.find("`_", at + 1)
+        m = re.fullmatch(r"(|[^`]*\s)<([^\s<>`]*[^\s<>`_])>", scan.text[at + 1 : end]) if end >= 0 else None
+        if m is None:
+            return None
+        told, url = m[1].strip(), m[2]
+        after = end + 2 + scan.text.startswith("_", end + 2)
+        shown = [link(url)] if told in ("", url) else [*self.inlines(told, scan.depth + 1), Node("text", text=" ("), link(url), Node("text", text=")")]
+        return shown, after
+
+    def callout(self, scan, at):
+        end = scan.find("]_", at + 2) if scan.text.startswith("[#", at) else -1
+        return None if end < 0 else ([Node("ref", "^", text=scan.text[at + 2 : end])], end + 2)
+
+    def stars(self, scan, at):
+        n = 2 if scan.text.startswith("**", at) else 1
+        end = scan.place(r"(?<=\S)(?=\*{%d})" % n, at + n + 1)
+        if end < 0 or scan.text[at + n : at + n + 1].isspace():
+            return None
+        return [Node("span", "*" * n, body=self.inlines(scan.text[at + n : end], scan.depth + 1))], end + n
+
+
 def read_org(text: str) -> Document:
     return Org().document(text)
 
 
 def read_djot(text: str) -> Document:
     return Djot().document(text)
+
+
+def read_rst(text: str) -> Document:
+    return Rst().document(text)

@@ -1,4 +1,4 @@
-"""Org and Djot readers."""
+"""Org, Djot and reStructuredText readers."""
 
 import time
 
@@ -9,7 +9,7 @@ from quire.model.mapping import Atlas, apply
 from quire.model.schema import Catalog
 from quire.model.tree import DocumentError
 from quire.model.writer import write
-from quire.sources.lightweight import read_djot, read_org
+from quire.sources.lightweight import read_djot, read_org, read_rst
 
 ORG = """#+TITLE: Notes
 #+AUTHOR: skipped
@@ -77,9 +77,85 @@ def test_one_file_maps_both_ways():
     assert write(apply(there, a.direct("at-markdown", "at-djot"), a.catalog)) == write(doc)
 
 
+RST = """Solitude
+========
+
+Text with *emphasis*, **strength**, and ``x < y`` beside a
+claim [#fn]_ of `note <http://u>`_.
+
+.. note::
+
+   Mind the gap.
+
+term
+   the definition
+
+:Author: Pope
+
+- first
+  more
+
+1. one
+
+::
+
+   if a && b
+
+.. [#fn] The supporting footnote.
+
+   Quoted.
+
+.. image:: lyre.svg
+"""
+
+
+def test_rst():
+    text = write(read_rst(RST))
+    assert text == """@@@!at-rst
+
+@#Solitude#@
+
+Text with @*emphasis*@, @**strength**@, and @@"x < y"@@ beside a claim @^(fn) of note (@><http://u><@).
+
+@!
+Mind the gap.
+!@
+
+@:: term
+the definition
+::@
+
+@: Author
+Pope
+:@
+
+@-
+first more
+-@
+
+@.(1)
+one
+.@
+
+@@@"
+if a && b
+"@@@
+
+@^
+The supporting footnote.
+
+Quoted.
+^@(fn)
+@@@@(lyre.svg)
+"""
+    with pytest.raises(DocumentError):
+        read_rst(".. raw:: html\n")
+
+
 def test_unclosed_marks_are_fast():
     began = time.time()
     for mark in ("*", "_", "/", "[[", "<<", "=", "`", "[", "[^"):
         read_org(" " + (mark + "a ") * 10_000)
         read_djot(" " + (mark + "a ") * 10_000)
+        read_rst("x " + (mark + "a ") * 10_000)
     assert time.time() - began < 10
