@@ -57,6 +57,11 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def clean(spark: SparkSession) -> None:
+    """Deletes all that this application wrote to the shared folder; results that read it are gone then."""
+    remove(spark, f"{shared_dir(spark)}/quire/{spark.sparkContext.applicationId}")
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete shuffle files of finished steps, which hold disk until a collection runs."""
     import gc
