@@ -23,7 +23,7 @@ from quire.model.schema import Catalog
 from quire.model.tree import NODE_SCHEMA, Document, DocumentError, encode
 from quire.model.views import outline
 from quire.model.writer import write
-from quire.sources import corpora, html, lightweight, markdown
+from quire.sources import corpora, html, lightweight, markdown, scripture
 
 #: Readers by file extension.
 READERS: dict[str, Callable[[str], Document]] = {
@@ -32,6 +32,7 @@ READERS: dict[str, Callable[[str], Document]] = {
     "html": html.read,
     "htm": html.read,
     "bib": corpora.read_bibtex,
+    "osis": scripture.read_osis,
     "org": lightweight.read_org,
     "rst": lightweight.read_rst,
     "dj": lightweight.read_djot,
