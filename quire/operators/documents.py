@@ -33,6 +33,8 @@ READERS: dict[str, Callable[[str], Document]] = {
     "htm": html.read,
     "bib": corpora.read_bibtex,
     "osis": scripture.read_osis,
+    "usfm": scripture.read_usfm,
+    "sfm": scripture.read_usfm,
     "org": lightweight.read_org,
     "rst": lightweight.read_rst,
     "dj": lightweight.read_djot,

@@ -1,4 +1,4 @@
-"""Scripture: OSIS documents to trees, and verse marks to coordinates."""
+"""Scripture: OSIS and USFM documents to trees, and verse marks to coordinates."""
 
 from __future__ import annotations
 
@@ -267,3 +267,234 @@ def to_coordinates(doc: Document, scheme: str, schema: Schema) -> Document:
 
     go(doc.blocks)
     return doc
+
+
+# USFM: backslash markers in lines of text.
+
+#: Other spellings of markers; markers of headings, of set paragraphs, and those that are not kept (fixed values).
+SAME = {"mt": "mt1", "ms": "ms1", "s": "s1", "s4": "s3", "is": "is1", "imt": "imt1", "io": "io1", "pi": "pi1", "li": "li1", "ili": "ili1"}
+HEADINGS = set("h toc1 toc2 toc3 mt1 mt2 mt3 ms1 ms2 mr s1 s2 s3 r d sp qa is1 lit cl cp imt1 imt2 imt3 io1 io2".split())
+PARAGRAPHS = set(
+    "m mi pi1 pi2 pi3 pc nb po ip li1 tr th1 th2 th3 tc1 tc2 tc3 thr1 thr2 thr3 tcr1 tcr2 tcr3 li2 li3 li4 ili1 ili2 lh lf "
+    "pm pmo pmc pmr pr cls ph1 ph2 ipi".split()
+)
+UNKEPT = {"ide", "usfm", "sts", "rem", "iex", "im", "ie", "ib"}
+NOTES = {"f", "fe", "x"}
+TEXTUAL = {"ft", "xt", "fk", "fq", "fqa", "fl", "xq", "xo", "fr", "xk", "xta"}
+_MARKER = re.compile(r"\\(\+?)([A-Za-z0-9]+)(\*?) ?")
+
+
+def _usfm(message: str):
+    raise DocumentError("Syntax", f"usfm import: {message}")
+
+
+def _joined(text: str) -> list[str]:
+    """Lines, with those inside a note put to the line where it opens."""
+    out: list[str] = []
+    open_ = 0
+    for line in text.split("\n"):
+        line = line.rstrip("\r")
+        if open_:
+            out[-1] += " " + line.strip()
+        else:
+            out.append(line)
+        open_ = max(0, open_ + sum(-1 if m[3] else 1 for m in _MARKER.finditer(line) if m[2] in NOTES))
+    return out
+
+
+class _Book:
+    """A book's blocks: one paragraph or one run of poetry is open at a time."""
+
+    def __init__(self, code: str):
+        self.code, self.out = code, []
+        self.run: list[Node] | None = None
+        self.kind = ""
+        self.stanzas: list[list[list[Node]]] = []
+
+    def settle(self) -> None:
+        stanzas = [s for s in self.stanzas if s]
+        if stanzas:
+            self.out.append(Node("verse", "~", body=stanzas, is_block=True))
+        self.stanzas = []
+        self.end_paragraph()
+
+    def end_paragraph(self) -> None:
+        run = self.run or []
+        while run and run[-1].kind == "text" and not run[-1].text.strip():
+            run.pop()
+        if run:
+            self.out.append(_line(self.kind, run) if self.kind else Node("para", body=run, is_block=True))
+        self.run, self.kind = None, ""
+
+    def paragraph(self, kind: str, run: list[Node]) -> None:
+        self.settle()
+        self.run, self.kind = run, kind
+
+    def node(self) -> Node:
+        self.settle()
+        return Node("block", "#", head=[Node("text", text=self.code)], body=self.out, is_block=True)
+
+    def last_line(self) -> Node | None:
+        """The phrase of the last line of poetry."""
+        stanza = next((s for s in reversed(self.stanzas) if s), None)
+        return stanza[-1][0] if stanza and len(stanza[-1]) == 1 and stanza[-1][0].symbol == "," else None
+
+    def add(self, run: list[Node], spaced: bool = True) -> None:
+        """More text of what is open: an empty line of poetry takes it as its own."""
+        if self.stanzas and self.stanzas[-1]:
+            line, phrase = self.stanzas[-1][-1], self.last_line()
+            if phrase is not None and not phrase.body and len(line) == 1:
+                phrase.body = run
+            else:
+                line += [Node("text", text=" "), *run]
+        elif self.run is not None:
+            self.run += ([Node("text", text=" ")] if self.run and spaced else []) + run
+        else:
+            _usfm("stray text outside a paragraph")
+
+    def verse(self, number: str, text: str) -> None:
+        run = [Node("void", "|", text=number)]
+        if text:
+            run += [Node("text", text=" "), *usfm_inlines(text)]
+        if not self.stanzas:
+            self.run = [] if self.run is None else self.run
+            return self.add(run)
+        phrase = self.last_line()
+        if phrase is not None and not phrase.body and self.stanzas[-1]:
+            phrase.body = run
+        else:
+            level = phrase.classes[0] if phrase is not None and phrase.classes[0].startswith("q") else "q1"
+            self.stanzas[-1].append([_span(",", level, run)])
+
+
+def read_usfm(text: str) -> Document:
+    books: list[_Book] = []
+    for line in _joined(text):
+        line = line.rstrip()
+        if not line.strip():
+            continue
+        m = re.match(r"\\(\S+)\s*(.*)", line, re.S)
+        marker, rest = (m[1], m[2].strip()) if m else ("", line.strip())
+        marker = SAME.get(marker, marker)
+        if marker == "id":
+            if not rest:
+                _usfm("\\id without a book code")
+            books.append(_Book(rest.split()[0].lower()))
+            continue
+        if marker in UNKEPT:
+            continue
+        if not books:
+            _usfm("missing \\id")
+        book = books[-1]
+        if not marker:
+            book.add(usfm_inlines(rest))
+        elif marker == "c":
+            book.settle()
+            if not rest:
+                _usfm("\\c without a chapter number")
+            book.out.append(Node("para", body=[Node("void", "##", text=rest.split()[0])], is_block=True))
+        elif marker == "v":
+            number, _, told = rest.partition(" ")
+            book.verse(number, told.strip())
+        elif marker == "p" or marker in PARAGRAPHS:
+            book.paragraph("" if marker == "p" else marker, usfm_inlines(rest))
+        elif marker == "b":
+            if book.stanzas:
+                book.stanzas.append([])
+            else:
+                book.end_paragraph()
+        elif re.fullmatch(r"q[0-9]?|qr|qc|qm[1-3]?", marker):
+            book.end_paragraph()
+            run = usfm_inlines(rest)
+            while run and run[-1].kind == "text" and not run[-1].text.strip():
+                run.pop()
+            book.stanzas = book.stanzas or [[]]
+            book.stanzas[-1].append([_span(",", {"q": "q1", "qm": "qm1"}.get(marker, marker), run)])
+        elif marker in HEADINGS:
+            book.settle()
+            book.out.append(_line(marker, trim(usfm_inlines(rest))))
+        else:
+            _usfm(f"unsupported marker \\{marker}")
+    if not books:
+        _usfm("missing \\id")
+    return Document("at-usfm", blocks=[b.node() for b in books])
+
+
+def _close(text: str, at: int, nested: str, marker: str) -> tuple[int, int]:
+    """(end of the content, after the close) of a marker; a character style may run to the end."""
+    for close in ([f"\\+{marker}*"] if nested else []) + [f"\\{marker}*"]:
+        end = text.find(close, at)
+        if end >= 0:
+            return end, end + len(close)
+    if marker in NOTES:
+        _usfm(f"unterminated \\{marker}")
+    return len(text), len(text)
+
+
+def usfm_inlines(text: str) -> list[Node]:
+    out: list[Node] = []
+    plain: list[str] = []
+    at = 0
+
+    def settle(strip: bool = False) -> None:
+        told = "".join(plain)
+        plain.clear()
+        told = told.rstrip() if strip else told
+        if told:
+            out.append(Node("text", text=told))
+
+    while (m := _MARKER.search(text, at)) is not None:
+        plain.append(text[at : m.start()])
+        nested, marker = m[1], m[2]
+        if m[3]:
+            _usfm(f"unexpected inline marker \\{marker}*")
+        if marker == "v":
+            number = re.compile(r"\S*\s*").match(text, m.end())
+            settle(strip=True)
+            out += [Node("text", text=" ")] if out else []
+            out += [Node("void", "|", text=number[0].strip()), Node("text", text=" ")]
+            at = number.end()
+            continue
+        end, at = _close(text, m.end(), nested, marker)
+        body = text[m.end() : end]
+        if marker in ("w", "wh", "wg", "wa", "rb"):
+            told = body.split("|")[0]
+            if "\\" in told:
+                settle()
+                out += usfm_inlines(told)
+            else:
+                plain.append(told)
+            continue
+        settle()
+        if marker in NOTES:
+            body = body.strip()
+            if not body.startswith("\\") and body[1:2].isspace():
+                body = body[1:].lstrip()
+            out.append(_span("^", marker, usfm_note(body)))
+        elif marker not in ("va", "ca", "vp"):
+            marks = [mark(PERSON, "Jesus")] if marker == "wj" else []
+            out.append(_span(",", marker, marks + usfm_inlines(body.strip())))
+    plain.append(text[at:])
+    settle()
+    return out
+
+
+def usfm_note(body: str) -> list[Node]:
+    """A note's parts: its reference as a phrase, the others as running text."""
+    parts: list[tuple[str, int, int]] = []
+    start, kind, at = 0, "", 0
+    while (m := _MARKER.search(body, at)) is not None:
+        if m[2] in TEXTUAL and not m[3]:
+            parts.append((kind, start, m.start()))
+            kind, start, at = m[2], m.end(), m.end()
+        else:
+            at = _close(body, m.end(), m[1], m[2])[1]
+    parts.append((kind, start, len(body)))
+    out: list[Node] = []
+    for kind, a, b in parts:
+        told = body[a:b].strip()
+        if told and kind in ("fr", "xo"):
+            out.append(_span(",", kind, usfm_inlines(told)))
+        elif told:
+            out += ([Node("text", text=" ")] if out else []) + usfm_inlines(told)
+    return out

@@ -1,4 +1,4 @@
-"""OSIS and coordinates."""
+"""OSIS, USFM and coordinates."""
 
 import time
 
@@ -9,7 +9,7 @@ from quire.model.schema import Catalog
 from quire.model.slicing import slices
 from quire.model.tree import DocumentError
 from quire.model.writer import write
-from quire.sources.scripture import read_osis, to_coordinates
+from quire.sources.scripture import read_osis, read_usfm, to_coordinates
 
 OSIS = """<?xml version="1.0"?><osis xmlns="http://www.bibletechnologies.net/2003/OSIS/namespace"><osisText><header><work/></header>
 <div type="book" osisID="Gen"><title type="main" short="Genesis">The First <divineName>Book</divineName></title>
@@ -65,3 +65,59 @@ def test_large_book_is_linear():
     began = time.time()
     doc = read_osis(f'<osis><div type="book" osisID="Ps"><chapter n="1">{verses}</chapter></div></osis>')
     assert len(doc.blocks[0].body[1].body) > 40_000 - 2 and time.time() - began < 5
+
+
+USFM = r"""\id JHN 43-JHN-web.sfm Bible
+\ide UTF-8
+\h John
+\mt1 The Good News
+\c 3
+\s Jesus
+\p
+\v 1 Now there was a man.
+\v 2 He came
+by night.
+\pi
+\v 16 \wj For God\f + \fr 3:16 \ft "Only
+born" \+nd Lord\+nd*.\f* Son.\wj*
+\v 17 \w God|strong="H1"\w* did.\x - \xo 3:17 \xt John 12:47\x*
+\q1 The earth,
+\v 18
+\q2
+\v 19 those in it.
+\b
+\q For he
+"""
+
+
+def test_usfm():
+    text = write(read_usfm(USFM))
+    assert text == """@@@!at-usfm
+
+@# jhn
+@_John_@.h
+
+@_The Good News_@.mt1
+
+@##(3)
+
+@_Jesus_@.s1
+
+@|(1) Now there was a man. @|(2) He came by night.
+
+@_@|(16) @,@?:(Jesus)For God@^@,3:16,@.fr "Only born" @,Lord,@.nd.^@.f Son.,@.wj @|(17) God did.@^@,3:17,@.xo John 12:47^@.x_@.pi1
+
+@~
+@,The earth,,@.q1
+@,@|(18),@.q1
+@,@|(19) those in it.,@.q2
+
+@,For he,@.q1
+~@
+#@
+"""
+    made = canonicalize(text, Catalog())
+    assert canonicalize(made.text, Catalog()).text == made.text
+    for bad in ("\\p x", "\\id GEN\n\\zz x", "\\id GEN\nstray", "\\id GEN\n\\p a \\f + x"):
+        with pytest.raises(DocumentError):
+            read_usfm(bad)
