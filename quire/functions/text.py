@@ -77,11 +77,12 @@ def nearest_cut(text: Column, marks: str | None) -> Column:
     """Offset of the cut nearest to the middle; of two at equal distance the earlier; null without cuts."""
     half = F.floor(F.length(text) / 2).cast("int")
     pieces = _pieces(text, marks)
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("struct<off:int,at:int>").alias("best"))
+    # the middle travels in the state, or each step would measure the text again
+    start = F.struct(F.lit(0).alias("at"), half.alias("half"), F.lit(None).cast("struct<off:int,at:int>").alias("best"))
 
     def step(acc, piece):
         at = acc["at"] + F.length(piece)
-        return F.struct(at.alias("at"), F.least(acc["best"], F.struct(F.abs(at - half).alias("off"), at.alias("at"))).alias("best"))
+        return F.struct(at.alias("at"), acc["half"].alias("half"), F.least(acc["best"], F.struct(F.abs(at - acc["half"]).alias("off"), at.alias("at"))).alias("best"))
 
     inner = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
     return F.aggregate(inner, start, step)["best"]["at"]

@@ -85,6 +85,8 @@ def escaped(text: str, before: str, boundary: bool, element_follows: bool) -> st
     lead = ""
     if boundary and (text.startswith("(") or (text[:1] == "." and len(text) > 1 and opens_class(text[1]))):
         lead = "|"
+    if "@" not in text and "|" not in text:
+        return lead + text
     out, last = [], (lead or before)[-1:]
     for i, c in enumerate(text):
         if c == "@":

@@ -80,7 +80,7 @@ def nodes(files: DataFrame, texts: Mapping[str, str] | None = None) -> DataFrame
 
     def rows(doc_id, extension, text):
         try:
-            yield from encode(doc_id, read_document(text or "", extension, Catalog(texts)))
+            yield from encode(doc_id, read_document(text or "", extension, _atlas(texts, {}).catalog))
         except DocumentError:
             return
 
@@ -105,7 +105,7 @@ def check(files: DataFrame, texts: Mapping[str, str] | None = None) -> DataFrame
     texts = dict(texts or {})
 
     def one(text, extension):
-        read_document(text, extension, Catalog(texts))
+        read_document(text, extension, _atlas(texts, {}).catalog)
         return ()
 
     return _mapped(files, ["doc_id", "extension", "text"], _STATUS, _guarded(one, ()))
@@ -114,7 +114,7 @@ def check(files: DataFrame, texts: Mapping[str, str] | None = None) -> DataFrame
 def to_native(files: DataFrame, texts: Mapping[str, str] | None = None) -> DataFrame:
     """Each file as native source text."""
     texts = dict(texts or {})
-    one = lambda text, extension: (write(read_document(text, extension, Catalog(texts))),)
+    one = lambda text, extension: (write(read_document(text, extension, _atlas(texts, {}).catalog)),)
     return _mapped(files, ["doc_id", "extension", "text"], _STATUS + ", native string", _guarded(one, (None,)))
 
 
@@ -126,7 +126,7 @@ def canonical(files: DataFrame, texts: Mapping[str, str] | None = None, keep: tu
     texts = dict(texts or {})
 
     def one(text, extension):
-        catalog = Catalog(texts)
+        catalog = _atlas(texts, {}).catalog
         source = text if extension in NATIVE else write(read_document(text, extension, catalog))
         made = canonicalize(source, catalog)
         return (made.text, essence(made.document, catalog)[1])
@@ -143,7 +143,7 @@ def outlines(files: DataFrame, texts: Mapping[str, str] | None = None) -> DataFr
     texts = dict(texts or {})
 
     def rows(doc_id, extension, text):
-        catalog = Catalog(texts)
+        catalog = _atlas(texts, {}).catalog
         try:
             doc = read_document(text or "", extension, catalog)
             for x in outline(doc, catalog.schema(doc.schema)):
@@ -164,7 +164,7 @@ def slices(files: DataFrame, scheme: str, texts: Mapping[str, str] | None = None
 
     def rows(doc_id, witness, extension, text):
         try:
-            doc = read_document(text or "", extension, Catalog(texts))
+            doc = read_document(text or "", extension, _atlas(texts, {}).catalog)
         except DocumentError:
             return
         for k, s in enumerate(slicing.slices(doc.blocks, scheme)):

@@ -465,7 +465,7 @@ def shortest_routes(spark, sf_dir):
     return graphs.shortest_routes(spark, spark.createDataFrame(_ROUTES, "src string, dst string"))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT * FROM {_values(_FILES, 'src', 'dst')}), go(file, at, path, cyc) AS (SELECT src, dst, [src, dst], src = dst FROM e UNION ALL SELECT file, e.dst, list_append(path, e.dst), e.dst = file FROM go JOIN e ON go.at = e.src WHERE NOT cyc AND (e.dst = file OR NOT list_contains(path, e.dst)))
+@query(f"""WITH RECURSIVE e AS (SELECT * FROM {_values(_FILES, 'src', 'dst')}), go(file, here, path, cyc) AS (SELECT src, dst, [src, dst], src = dst FROM e UNION ALL SELECT file, e.dst, list_append(path, e.dst), e.dst = file FROM go JOIN e ON go.here = e.src WHERE NOT cyc AND (e.dst = file OR NOT list_contains(path, e.dst)))
 SELECT file, min(array_to_string(path, '>')) AS chain FROM go WHERE cyc GROUP BY file""")
 def include_cycles(spark, sf_dir):
     return graphs.inclusion_cycles(spark, spark.createDataFrame(_FILES, "src string, dst string"))

@@ -59,6 +59,7 @@ class Format:
         if depth > NESTING:
             self.fail(f"nesting exceeds {NESTING} levels")
         self.depth = depth
+        self.stops = re.compile("[" + "".join(re.escape(c) for c in self.marks) + "]")
         self.compiled = [(re.compile(p), getattr(self, m)) for p, m in self.openers]
 
     def fail(self, message: str):
@@ -117,8 +118,10 @@ class Format:
                         out.extend(nodes)
                     break
             else:
-                kept.append(text[at])
-                at += 1
+                following = self.stops.search(text, at + 1)
+                end = following.start() if following else len(text)
+                kept.append(text[at:end])
+                at = end
         if kept:
             out.append(Node("text", text="".join(kept)))
         return out

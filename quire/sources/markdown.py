@@ -12,6 +12,7 @@ _HEADING = re.compile(r"(#{1,6}) (.*)", re.S)
 _ORDERED = re.compile(r"([0-9]+)\. (.*)", re.S)
 _NOTE = re.compile(r"\[\^([^\]]+?)\]: (.*)", re.S)
 _IMAGE = re.compile(r"!\[\]\((.*)\)\s*")
+_MARKS = re.compile(r"[\\`\[<*]")
 _LINK = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:[^\s<]+")
 
 
@@ -154,8 +155,10 @@ def inlines(text: str) -> list[Node]:
             put(*body)
             at = end + n
         else:
-            kept.append(c)
-            at += 1
+            following = _MARKS.search(text, at + 1)
+            end = following.start() if following else len(text)
+            kept.append(text[at:end])
+            at = end
     put()
     return out
 
