@@ -462,7 +462,7 @@ class Rst(Format):
 
     def stars(self, scan, at):
         n = 2 if scan.text.startswith("**", at) else 1
-        end = scan.place(r"(?<=\S)(?=\*{%d})" % n, at + n + 1)
+        end = scan.place(r"(?<=\S)(?=\*\*)" if n == 2 else r"(?<![\s*])(?<!^)\*(?!\*)", at + n)
         if end < 0 or scan.text[at + n : at + n + 1].isspace():
             return None
         return [Node("span", "*" * n, body=self.inlines(scan.text[at + n : end], scan.depth + 1))], end + n

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import string
+from bisect import bisect_left
 
 from quire.model.tree import Document, DocumentError, Node
 
@@ -88,6 +89,7 @@ class _Search:
 
     def __init__(self, text: str):
         self.text, self.gone = text, {}
+        self.closers: dict[int, list[int]] = {}
 
     def __call__(self, mark: str, start: int) -> int:
         if start >= self.gone.get(mark, len(self.text) + 1):
@@ -98,17 +100,20 @@ class _Search:
         return at
 
 
+#: Where a run of stars can close, by its length.
+_CLOSERS = {1: re.compile(r"(?<![\s*])(?<!^)\*(?!\*)"), 2: re.compile(r"(?<=\S)(?=\*\*)"), 3: re.compile(r"(?<=\S)(?=\*\*\*)")}
+
+
 def _star(text: str, search: _Search, at: int, n: int) -> int:
-    """Start of the closing run of n stars: content in between, not ended by a space, and no longer run."""
-    if text[at + n : at + n + 1].isspace() or at + n >= len(text):
+    """Start of the closing run of n stars, if content follows the opening one."""
+    start = at + n
+    if not text[start : start + 1].strip():
         return -1
-    end = search("*" * n, at + n)
-    while end >= 0:
-        run = len(text[end:]) - len(text[end:].lstrip("*")) if n < 3 else n
-        if end > at + n and (n >= 3 or run == n or (n == 1 and run == 3) or (n == 2 and run == 3)) and not text[end - 1].isspace():
-            return end
-        end = search("*" * n, end + max(run, 1))
-    return -1
+    if n not in search.closers:
+        search.closers[n] = [m.start() for m in _CLOSERS[n].finditer(text)]
+    known = search.closers[n]
+    k = bisect_left(known, start)
+    return known[k] if k < len(known) else -1
 
 
 def _link(url: str) -> Node:
