@@ -49,6 +49,18 @@ def canonicalize(text: str, catalog: Catalog, path: str = "document", media: Cal
     return Canonical(doc, write(doc), bundled)
 
 
+def order_only(doc: Document, catalog: Catalog) -> Document:
+    """The ordering passes alone: tables, self-made anchors, ordinals and terms. Anchors stay as written, references
+    are not checked, and inclusions and macros stay as they are.
+    """
+    schema = catalog.schema(doc.schema)
+    expand_tables(doc.blocks, schema)
+    assign_anchors(doc.blocks, schema, catalog)
+    number_blocks(doc.blocks, schema, catalog)
+    use_terms(doc.blocks, schema, catalog)
+    return doc
+
+
 # 1: inclusion.
 
 

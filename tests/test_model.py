@@ -314,3 +314,28 @@ def test_apparatus_text():
     assert notes == [(3, "app-1a-1", "1a brown B : red T"), (5, "app-1a-2", "1a jumps B : om. W")]
     base = "over the lazy dog tonight".split()
     assert alignment.apparatus("1b", "B", base, [("T", *h) for h in alignment.word_hunks(base, "so over the lazy dog cat tonight".split())]) == [(4, "app-1b-1", "1b post dog add. cat T")]
+
+
+def test_archive_is_reproducible():
+    import gzip
+    import io
+    import tarfile
+
+    from quire.model.bundle import archive, check_any, is_definition
+
+    made = canonicalize(SOURCE, catalog(), media=svg)
+    one, two = archive(made, "intro.atk", svg), archive(canonicalize(SOURCE, catalog(), media=svg), "intro.atk", svg)
+    assert one == two
+    tar = tarfile.open(fileobj=io.BytesIO(gzip.decompress(one)))
+    assert tar.getnames() == ["intro.atk", "media-manifest.json", "media/m1.svg"] and {m.mtime for m in tar} == {0}
+    assert tar.extractfile("intro.atk").read().decode() == made.text
+    assert is_definition(SCHEMA) and is_definition("#!x\n@@@!atrep@0.1\n") and not is_definition(SOURCE)
+    assert set(check_any(SCHEMA, "exempli", catalog()).elements) == {"#", "=", ":", "<", "^", "~"}
+
+
+def test_order_only():
+    from quire.model.canon import order_only
+
+    cat = Catalog({"lex.dia": LEX})
+    doc = order_only(parse("@@@!lex\n\n@!() a\nx @(k)\n!@\n\n@!() a\ny\n!@\n", cat), cat)
+    assert write(doc) == "@@@!lex\n\n@!(1) a\nx @(k)\n!@(a-1)\n\n@!(2) a\ny\n!@(a-2)\n"
