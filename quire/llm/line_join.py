@@ -5,7 +5,7 @@ the shorter line and ``MOST_EDITS`` at most. A line of length l is split into t
 t edits holds one of them unchanged, at a place that the two lengths bound. Lines are indexed under their
 segments and probe the segments of every length they can reach, both by a hash of (length, segment number,
 text). Keys carry a character sketch that drops pairs before texts are fetched; survivors are verified by a
-banded bit-parallel edit distance. Linked lines form classes, in which only the first line stays.
+banded bit-parallel edit distance. A key of over TILE lines is dealt as pairs of tiles. Linked lines form classes, in which only the first line stays.
 
 Places are ordered by doc_id (null last), then by the row's key and the line's number. Lines of under
 ``LEAST`` characters, without their outer blanks, are left alone.
@@ -32,6 +32,8 @@ PER_EDIT, MOST_EDITS = 40, 2
 #: Distinct lines whose texts are needed, up to which their ids are broadcast (8 bytes each).
 WANTED = 1_000_000
 SEEN = 500_000
+#: Lines of one key up to which they are compared in one task, and the share of documents that shows such keys.
+TILE, SHARE = 50_000, 16
 
 
 def edits(length: int) -> int:
@@ -205,6 +207,12 @@ def _keys(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "key long, line_id long, role byte, bag long")
 
 
+def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Does one index what the other probes? Above these two bits is the side: of a pair of tiles, sides differ."""
+    roles = (a & b >> 1 | b & a >> 1) & 1
+    return (roles != 0) & ((a >> 2 == 0) | (a >> 2 != b >> 2))
+
+
 def _pairs(role: np.ndarray, bag: np.ndarray, block: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (i, j) within one key group whose roles meet and whose sketches are near, a block at a time."""
     n = len(role)
@@ -212,7 +220,7 @@ def _pairs(role: np.ndarray, bag: np.ndarray, block: int = 1 << 20) -> Iterator[
     for at in range(0, n - 1, rows):
         i = np.repeat(np.arange(at, min(n, at + rows)), n)
         j = np.tile(np.arange(n), min(n, at + rows) - at)
-        ok = (j > i) & (((role[i] & 1) & (role[j] >> 1)) | ((role[j] & 1) & (role[i] >> 1))).astype(bool)
+        ok = (j > i) & _meet(role[i], role[j])
         i, j = i[ok], j[ok]
         ok = sketch_gap(bag[i], bag[j]) <= 2 * MOST_EDITS
         yield i[ok], j[ok]
@@ -235,8 +243,7 @@ def _meeting(it):
     keep = np.zeros(len(key), bool)
     two = start[size == 2]
     if len(two):
-        ok = (((role[two] & 1) & (role[two + 1] >> 1)) | ((role[two + 1] & 1) & (role[two] >> 1))).astype(bool)
-        two = two[ok]
+        two = two[_meet(role[two], role[two + 1])]
         two = two[sketch_gap(bag[two], bag[two + 1]) <= 2 * MOST_EDITS]
         keep[two] = keep[two + 1] = True
     for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
@@ -300,10 +307,30 @@ def _texts(docs_text: DataFrame, wanted: DataFrame) -> DataFrame:
     return lines.join(small(wanted, WANTED), "line_id", "left_semi").groupBy("line_id").agg(F.min("line").alias("line"))
 
 
-def line_links(docs_text: DataFrame) -> Written:
+def _tiled(docs_text: DataFrame, tile: int, share: int) -> DataFrame:
+    """The segment keys; one that very many lines share is dealt as pairs of tiles of its lines.
+
+    Such keys show in a share of the documents. They only set how rows are dealt: each pair of lines still
+    meets in one group.
+    """
+    keys = _keys(docs_text)
+    some = _keys(docs_text.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0))
+    hot = Written(some.groupBy("key").agg((F.count(F.lit(1)) * share).alias("n")).where(F.col("n") > tile), "hot-keys")
+    if not hot.df.limit(1).count():
+        return keys
+    tiles = F.ceil(F.coalesce("n", F.lit(1)) / tile).cast("int")
+    rows = keys.join(small(hot.df), "key", "left").withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("line_id"), "tiles").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j")))
+    rows = rows.select("key", "line_id", "role", "bag", "tiles", "own", F.explode(pairs).alias("p"))
+    side = F.when(F.col("p.i") == F.col("p.j"), 0).when(F.col("own") == F.col("p.i"), 4).otherwise(8)
+    key = F.when(F.col("tiles") == 1, F.col("key")).otherwise(F.xxhash64("key", "p.i", "p.j"))
+    return rows.select(key.alias("key"), "line_id", F.col("role").bitwiseOR(side.cast("byte")).alias("role"), "bag")
+
+
+def line_links(docs_text: DataFrame, tile: int = TILE, share: int = SHARE) -> Written:
     """Links (a, b) between hashes of distinct lines within the edit limit, enough to tie each class."""
     spark = docs_text.sparkSession
-    meeting = Written(_keys(docs_text).repartition("key").mapInArrow(_meeting, "key long, line_id long, role byte"), "meeting")
+    meeting = Written(_tiled(docs_text, tile, share).repartition("key").mapInArrow(_meeting, "key long, line_id long, role byte"), "meeting")
     release(spark)
     wanted = Written(meeting.df.select("line_id").distinct(), "wanted")
     texts = Written(_texts(docs_text, wanted.df), "texts")

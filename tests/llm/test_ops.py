@@ -376,6 +376,40 @@ def test_line_join(spark):
             assert classes.setdefault(s, c) == c
 
 
+@pytest.mark.parametrize("tile", [50_000, 3])
+def test_line_links_by_tiles(spark, tile):
+    rng = np.random.default_rng(8)
+    base = "".join(rng.choice(list("abcdefgh "), 120))
+    lines = {base}
+    for _ in range(40):
+        s = list(base)
+        for at in rng.integers(0, 120, 3):
+            s[int(at)] = str(rng.choice(list("abcdefgh")))
+        lines.add("".join(s).strip())
+    lines = sorted(lines)
+    df = spark.createDataFrame([(s,) for s in lines], "text string")
+    ids = {line_join.line_hash(s): s for s in lines}
+    got = {r.node: r.root for r in components.components(line_join.line_links(df, tile=tile, share=1).df).collect()}
+    root = {s: s for s in lines}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in lines:
+        for b in lines:
+            if a < b and edit_distance(a, b) <= line_join.edits(min(len(a), len(b))):
+                root[top(b)] = top(a)
+    classes = defaultdict(set)
+    for h, s in ids.items():
+        classes[got.get(h, h)].add(s)
+    want = defaultdict(set)
+    for s in lines:
+        want[top(s)].add(s)
+    assert sorted(map(sorted, classes.values())) == sorted(map(sorted, want.values())) and len(want) < len(lines)
+
+
 def test_line_join_odd(odd, empty):
     assert line_join.dedup_lines(odd).count() == 9 and line_join.dedup_lines(empty).count() == 0
     kept = line_join.documents_without_repeats(odd)
