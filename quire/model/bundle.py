@@ -9,7 +9,7 @@ import tarfile
 from collections.abc import Callable
 
 from quire.model.canon import Canonical
-from quire.model.schema import META, Schema, Catalog, read_definition
+from quire.model.schema import METAS, Catalog, Schema, read_definition
 from quire.model.markup import parse
 from quire.model.tree import Document
 
@@ -32,7 +32,7 @@ def is_definition(source: str) -> bool:
     """Does the first content line declare a schema definition, not a document?"""
     lines = source.removeprefix("﻿").split("\n")
     first = (lines[1] if lines[0].startswith("#!") and len(lines) > 1 else lines[0]).strip()
-    return first.startswith(("@@@!", "\\\\\\!")) and first[4:].split("@")[0] == META
+    return first.startswith(("@@@!", "\\\\\\!")) and first[4:].split("@")[0] in METAS
 
 
 def check_any(source: str, name: str, catalog: Catalog) -> Document | Schema:

@@ -318,7 +318,7 @@ def _shown(row: str) -> str:
 
 
 def _definition(name: str) -> str:
-    out = ["@@@!atrep\n"] + [f"@@::{p}\n" for p in _PARENTS.get(name, [])]
+    out = ["@@@!quire\n"] + [f"@@::{p}\n" for p in _PARENTS.get(name, [])]
     for vocabulary, terms in _VOCABULARIES.get(name, {}).items():
         listed = terms.strip().split("\n") if isinstance(terms, str) else terms
         out.append("\n".join([f"@==% {vocabulary}", *listed, "%==@", ""]))

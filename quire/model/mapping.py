@@ -13,7 +13,7 @@ from dataclasses import dataclass, field, replace
 
 from quire.model.canon import check_references, number_blocks
 from quire.model.names import valid_class
-from quire.model.schema import REQUIRED, UNSUPPORTED, Catalog, Element, Schema
+from quire.model.schema import META, METAS, REQUIRED, UNSUPPORTED, Catalog, Element, Schema
 from quire.model.tree import Document, DocumentError, Node, walk
 
 RENAME, DROP, UNWRAP, EXTRACT = "rename", "drop", "unwrap", "extract"
@@ -81,8 +81,8 @@ def _fits(a: Element, b: Element, both_ways: bool) -> bool:
 def read_mapping(text: str, catalog: Catalog, reverse: bool = False) -> SchemaMap:
     """Rules: ``@:: a b .c`` rename, ``@<< a`` unwrap, ``@<# a h .c`` extract, ``@-- a`` drop, and regions."""
     lines = [x.strip() for x in text.split("\n") if x.strip() and not x.strip().startswith("@@/")]
-    both = bool(lines) and lines[0].startswith("@@@!atrep-iso")
-    if len(lines) < 2 or not lines[0].startswith(("@@@!atrep-hom", "@@@!atrep-iso")):
+    both = bool(lines) and lines[0].startswith(tuple(f"@@@!{m}-iso" for m in METAS))
+    if len(lines) < 2 or not (both or lines[0].startswith(tuple(f"@@@!{m}-hom" for m in METAS))):
         raise _bad("no declaration")
     left, arrow, right = lines[1].removeprefix("@=").partition("<=>" if both else "=>")
     if not arrow or (reverse and not both):
@@ -347,7 +347,7 @@ def write_mapping(m: SchemaMap) -> str:
     """The normal form: regions by rank, then rules by symbol, without those that change nothing."""
     marks = {v: k for k, v in REGIONS.items()}
     notes = lambda classes: "".join(f" .{c}" for c in classes)
-    lines = ["@@@!atrep-hom", f"@={m.source.id}=>{m.target.id}", ""]
+    lines = [f"@@@!{META}-hom", f"@={m.source.id}=>{m.target.id}", ""]
     lines += [f"{marks[r.kind]} {r.trigger}{' ' + r.to if r.to else ''}{notes(r.classes)}" for r in sorted(m.regions, key=lambda r: r.rank)]
     for s, r in sorted(m.rules.items(), key=lambda x: x[0].encode()):
         if r == Rule(RENAME, s):

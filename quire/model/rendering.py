@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from quire.model.names import ALIAS, SIGIL, valid_class
-from quire.model.schema import Catalog, Schema
+from quire.model.schema import METAS, Catalog, Schema
 from quire.model.tree import Document, DocumentError, Node
 
 #: Slots of node values, those escaped on output first; and structural patterns (fixed values).
@@ -81,7 +81,7 @@ def _bad(message: str) -> DocumentError:
 def read_rules(text: str, schema: Schema) -> RuleTable:
     lines = [x.removesuffix("\r") for x in text.split("\n")]
     at = 1 if lines[0].startswith("#!") else 0
-    sig = next((s for s in (SIGIL, ALIAS) if lines[at].strip() == s * 3 + "!atrep-exo"), None)
+    sig = next((s for s in (SIGIL, ALIAS) if lines[at].strip() in [f"{s * 3}!{m}-exo" for m in METAS]), None)
     if sig is None:
         raise _bad("missing declaration")
     out = RuleTable("", "")

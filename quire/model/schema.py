@@ -14,7 +14,9 @@ from quire.model.names import ALIAS, SIGIL, symbolic, valid_name
 from quire.model.tree import DocumentError, closing_symbol
 
 REQUIRED, OPTIONAL, UNSUPPORTED = "required", "optional", "unsupported"
+#: The keyword that declares a definition or rule file (fixed value of the format), and this library's own.
 META = "atrep"
+METAS = (META, "quire")
 
 
 @dataclass(frozen=True)
@@ -122,7 +124,7 @@ def read_definition(source: str, name: str, catalog: Catalog, stack: tuple[str,
     sig = next((s for s in (SIGIL, ALIAS) if opening.startswith(s * 3 + "!")), None)
     if sig is None:
         raise DocumentError("MissingDeclaration", "", src.at, 1)
-    if opening[4:].split("@")[0].strip() != META:
+    if opening[4:].split("@")[0].strip() not in METAS:
         raise _bad(f"a definition declares `{META}`, not `{opening[4:]}`", src.at)
     out = Schema(name)
     while src.more():

@@ -567,7 +567,7 @@ def markdown_to_html(spark, sf_dir):
 
 
 #: A small rule table for the HTML schema.
-HTML_RULES = "@@@!atrep-exo\n@=at-html=>html\n\n@%\n& &amp;\n< &lt;\n> &gt;\n%@\n" + "".join(
+HTML_RULES = "@@@!quire-exo\n@=at-html=>html\n\n@%\n& &amp;\n< &lt;\n> &gt;\n%@\n" + "".join(
     f"\n@-> {pattern}\n{template}\n>-@\n"
     for pattern, template in [
         ("*paragraph", "<p>@(grammata)</p>"),

@@ -70,7 +70,7 @@ def test_djot():
 
 
 def test_one_file_maps_both_ways():
-    a = Atlas(Catalog(), {"at-djot.at-markdown.iso": "@@@!atrep-iso\n@=at-djot<=>at-markdown\n\n@:: _ *\n@:: * **\n"})
+    a = Atlas(Catalog(), {"at-djot.at-markdown.iso": "@@@!quire-iso\n@=at-djot<=>at-markdown\n\n@:: _ *\n@:: * **\n"})
     doc = canonicalize(write(read_djot(DJOT)), a.catalog).document
     there = apply(doc, a.direct("at-djot", "at-markdown"), a.catalog)
     assert there.schema == "at-markdown" and "@**strength**@" in write(there)

@@ -4,18 +4,18 @@ import pytest
 
 from quire.model.mapping import Atlas, apply, apply_route, compose, read_mapping, write_mapping
 from quire.model.markup import parse
-from quire.model.schema import Catalog
+from quire.model.schema import META, Catalog
 from quire.model.tree import DocumentError
 from quire.model.writer import write
 from quire.sources import markdown
 
-FLAT = "@@@!atrep\n\n@=== h1\n@# grammata #@\n===@\n\n@=== h2\n@## grammata ##@\n===@\n\n@=== em\n@* grammata *@\n===@\n"
-DEEP = "@@@!atrep\n\n@=== sec\n@#[(taxis)] [lemma]\ngrammata\n#@\n===@\n\n@=== sub\n@##[(taxis)] [lemma]\ngrammata\n##@\n===@\n\n@=== em\n@/ grammata /@\n===@\n"
+FLAT = "@@@!quire\n\n@=== h1\n@# grammata #@\n===@\n\n@=== h2\n@## grammata ##@\n===@\n\n@=== em\n@* grammata *@\n===@\n"
+DEEP = "@@@!quire\n\n@=== sec\n@#[(taxis)] [lemma]\ngrammata\n#@\n===@\n\n@=== sub\n@##[(taxis)] [lemma]\ngrammata\n##@\n===@\n\n@=== em\n@/ grammata /@\n===@\n"
 TWIN = FLAT.replace("*", "_")
 FILES = {
-    "flat.deep.hom": "@@@!atrep-hom\n@=flat=>deep\n\n@># # # .top\n@># ## ##\n@:: * /\n",
-    "deep.flat.hom": "@@@!atrep-hom\n@=deep=>flat\n@<# # #\n@<# ## ##\n@:: / *\n",
-    "flat.twin.iso": "@@@!atrep-iso\n@=flat<=>twin\n@:: * _\n",
+    "flat.deep.hom": "@@@!quire-hom\n@=flat=>deep\n\n@># # # .top\n@># ## ##\n@:: * /\n",
+    "deep.flat.hom": "@@@!quire-hom\n@=deep=>flat\n@<# # #\n@<# ## ##\n@:: / *\n",
+    "flat.twin.iso": "@@@!quire-iso\n@=flat<=>twin\n@:: * _\n",
 }
 
 
@@ -46,13 +46,13 @@ def test_reversed_and_fused_routes_agree():
 
 def test_rules_are_checked_before_documents():
     cat = atlas().catalog
-    head = "@@@!atrep-hom\n@=flat=>deep\n"
+    head = "@@@!quire-hom\n@=flat=>deep\n"
     for rules, kind in (("@:: * #\n", "InvalidMorph"), ("@:: * /\n", "MorphIncomplete"), ("@:: ? /\n", "InvalidMorph"), ("junk\n", "InvalidMorph"), ("@-- #\n@-- #\n", "InvalidMorph")):
         with pytest.raises(DocumentError) as e:
             read_mapping(head + rules, cat)
         assert e.value.kind == kind
     with pytest.raises(DocumentError):
-        read_mapping("@@@!atrep-iso\n@=flat<=>twin\n@-- *\n", cat)
+        read_mapping("@@@!quire-iso\n@=flat<=>twin\n@-- *\n", cat)
 
 
 def test_routes():
@@ -63,8 +63,8 @@ def test_routes():
     assert e.value.kind == "UnresolvableMorph"
     other = atlas(**{"twin.mid.hom": "x", "mid.deep.hom": "x"})
     other.catalog.texts["mid.dia"] = TWIN
-    other.files["twin.mid.hom"] = "@@@!atrep-hom\n@=twin=>mid\n"
-    other.files["mid.deep.hom"] = "@@@!atrep-hom\n@=mid=>deep\n@-- #\n@-- ##\n@:: _ /\n"
+    other.files["twin.mid.hom"] = "@@@!quire-hom\n@=twin=>mid\n"
+    other.files["mid.deep.hom"] = "@@@!quire-hom\n@=mid=>deep\n@-- #\n@-- ##\n@:: _ /\n"
     with pytest.raises(DocumentError) as e:
         other.route("twin", "deep")
     assert e.value.kind == "AmbiguousMorphRoute"
@@ -84,5 +84,5 @@ def test_normal_form():
     a = atlas()
     m = a.direct("flat", "deep")
     text = write_mapping(m)
-    assert text == "@@@!atrep-hom\n@=flat=>deep\n\n@># # # .top\n@># ## ##\n@:: * /\n"
+    assert text == f"@@@!{META}-hom\n@=flat=>deep\n\n@># # # .top\n@># ## ##\n@:: * /\n"
     assert write_mapping(read_mapping(text, a.catalog)) == text

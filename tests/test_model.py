@@ -16,7 +16,7 @@ from quire.model.tree import DocumentError, encode
 from quire.model.writer import write
 from quire.sources import corpora, html, markdown
 
-SCHEMA = """@@@!atrep
+SCHEMA = """@@@!quire
 
 @=== section
 @# lemma
@@ -147,8 +147,8 @@ def test_errors(text, kind):
 
 
 def test_schema_inheritance_and_order():
-    base = "\\\\\\!atrep\n\n\\=== zeta\n\\! grammata !\\\n===\\\n\n\\=== aside\n\\< grammata <\\\n===\\\n"
-    child = "@@@!atrep\n\n@@::base\n\n@@::base::! ?\n\n@=== mid\n@- grammata -@\n===@\n"
+    base = "\\\\\\!quire\n\n\\=== zeta\n\\! grammata !\\\n===\\\n\n\\=== aside\n\\< grammata <\\\n===\\\n"
+    child = "@@@!quire\n\n@@::base\n\n@@::base::! ?\n\n@=== mid\n@- grammata -@\n===@\n"
     cat = Catalog({"base.dia": base, "child.dia": child})
     text = write_definition(cat.schema("child"))
     assert [x[5:] for x in text.split("\n") if x.startswith("@=== ")] == ["aside", "mid", "zeta", "zeta"]
@@ -156,19 +156,19 @@ def test_schema_inheritance_and_order():
     assert write_definition(Catalog({"c.dia": text}).schema("c")) == text
     for bad in ("@@::base\n\n@@::base\n", "@==% v\na: x\nb: x\n%==@\n", "@=== e\n@& lemma=v\ngrammata\n&@\n===@\n", "junk\n"):
         with pytest.raises(DocumentError):
-            Catalog({"base.dia": base, "x.dia": "@@@!atrep\n\n" + bad}).schema("x")
+            Catalog({"base.dia": base, "x.dia": "@@@!quire\n\n" + bad}).schema("x")
     assert read_localized("@@@=at-x=>ru\n\n! имя\n? другое\n")[2] == {"!": "имя", "?": "другое"}
 
 
 def test_vocabularies_cannot_fork_the_id():
-    dia = "@@@!atrep\n\n@=== entry\n@& lemma\ngrammata\n&@\n@% genera\n===@\n\n@=== field\n@: lemma=campi\ngrammata\n:@\n===@\n\n@==% genera\nliber: book livre\n%==@\n\n@==% campi\nauctor: author auteur\n%==@\n"
+    dia = "@@@!quire\n\n@=== entry\n@& lemma\ngrammata\n&@\n@% genera\n===@\n\n@=== field\n@: lemma=campi\ngrammata\n:@\n===@\n\n@==% genera\nliber: book livre\n%==@\n\n@==% campi\nauctor: author auteur\n%==@\n"
     cat = Catalog({"biblio.dia": dia})
     one, two = (canonicalize(f"@@@!biblio\n\n@& k1\n@: {w}\nPope\n:@\n&@.{c}\n", cat) for w, c in (("auteur", "livre"), ("Author", "book")))
     assert one.text == two.text and "@: auctor" in one.text and "&@.liber" in one.text
     assert essence(one.document, cat) == essence(two.document, cat) and "&@.liber" in essence(one.document, cat)[0]
 
 
-LEX = "@@@!atrep\n\n@=== entry\n@![(taxis)] lemma\nautonym\ngrammata\n!@\n===@\n"
+LEX = "@@@!quire\n\n@=== entry\n@![(taxis)] lemma\nautonym\ngrammata\n!@\n===@\n"
 
 
 def test_auto_anchors():
@@ -329,7 +329,7 @@ def test_archive_is_reproducible():
     tar = tarfile.open(fileobj=io.BytesIO(gzip.decompress(one)))
     assert tar.getnames() == ["intro.atk", "media-manifest.json", "media/m1.svg"] and {m.mtime for m in tar} == {0}
     assert tar.extractfile("intro.atk").read().decode() == made.text
-    assert is_definition(SCHEMA) and is_definition("#!x\n@@@!atrep@0.1\n") and not is_definition(SOURCE)
+    assert is_definition(SCHEMA) and is_definition("#!x\n@@@!quire@0.1\n") and not is_definition(SOURCE)
     assert set(check_any(SCHEMA, "exempli", catalog()).elements) == {"#", "=", ":", "<", "^", "~"}
 
 

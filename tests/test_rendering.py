@@ -7,8 +7,8 @@ from quire.model.rendering import hang, inherit, read_pattern, read_rules, rende
 from quire.model.schema import Catalog
 from quire.model.tree import DocumentError
 
-DIA = "@@@!atrep\n\n@=== section\n@# lemma\ngrammata\n#@\n===@\n\n@=== figure\n@=[(taxis)] [lemma]\ngrammata\n=@\n===@\n\n@=== em\n@: grammata :@\n===@\n\n@=== ref\n@^(param)\n===@\n\n@=== width\n@>(width)\n===@\n\n@=== table\n@+ [lemma]\nstichos\n+@\n===@\n"
-HTML = """@@@!atrep-exo
+DIA = "@@@!quire\n\n@=== section\n@# lemma\ngrammata\n#@\n===@\n\n@=== figure\n@=[(taxis)] [lemma]\ngrammata\n=@\n===@\n\n@=== em\n@: grammata :@\n===@\n\n@=== ref\n@^(param)\n===@\n\n@=== width\n@>(width)\n===@\n\n@=== table\n@+ [lemma]\nstichos\n+@\n===@\n"
+HTML = """@@@!quire-exo
 @=doc=>html
 
 @%
@@ -101,7 +101,7 @@ HTML = """@@@!atrep-exo
 <th>@(grammata)</th>
 >-@
 """
-CAT = Catalog({"doc.dia": DIA, "heir.dia": "@@@!atrep\n\n@@::doc:-:[:]\n\n@@::doc::: ~\n"}, library={})
+CAT = Catalog({"doc.dia": DIA, "heir.dia": "@@@!quire\n\n@@::doc:-:[:]\n\n@@::doc::: ~\n"}, library={})
 
 
 def shown(body, rules=HTML):
@@ -136,12 +136,12 @@ def test_missing_and_malformed_rules():
     assert e.value.kind == "ExoUnhandled"
     for bad in ("junk\n", "@-> #\nx\n>-@\n\n@-> #\ny\n>-@\n", "@-> *nothing\nx\n>-@\n", "@-> #\n@(nope)\n>-@\n", "@-> #\n@[x]@\n>-@\n", "@-> #\n@(?taxis)\n>-@\n", "@-> #\nx\n"):
         with pytest.raises(DocumentError):
-            read_rules("@@@!atrep-exo\n@=doc=>html\n" + bad, CAT.schema("doc"))
+            read_rules("@@@!quire-exo\n@=doc=>html\n" + bad, CAT.schema("doc"))
     assert read_pattern("= in #.a.b".replace(".a.b", ""), CAT.schema("doc"))[0] == ("within", "=", "#")
 
 
 def test_rules_follow_the_lineage():
-    tables = {"doc.html": read_rules(HTML, CAT.schema("doc")), "heir.html": read_rules("@@@!atrep-exo\n@=heir=>html\n\n@-> *paragraph\n<div>@(grammata)</div>\n>-@\n", CAT.schema("heir"))}
+    tables = {"doc.html": read_rules(HTML, CAT.schema("doc")), "heir.html": read_rules("@@@!quire-exo\n@=heir=>html\n\n@-> *paragraph\n<div>@(grammata)</div>\n>-@\n", CAT.schema("heir"))}
     rules = inherit(tables, CAT.schema("heir"), CAT, "html")
     doc = canonicalize("@@@!heir\n\na @~b~@ <\n", CAT).document
     assert render(doc, rules)[0] == "<body>\n<div>a <em>b</em> &lt;</div>\n</body>"
@@ -149,10 +149,10 @@ def test_rules_follow_the_lineage():
 
 
 def test_embedded_parts_are_placed_or_go_beside():
-    inner = read_rules("@@@!atrep-exo\n@=meta=>html\n\n@-> *paragraph\n(@(grammata))\n>-@\n", CAT.schema("doc"))
-    cat = Catalog({"doc.dia": DIA, "meta.dia": "@@@!atrep\n"}, library={})
+    inner = read_rules("@@@!quire-exo\n@=meta=>html\n\n@-> *paragraph\n(@(grammata))\n>-@\n", CAT.schema("doc"))
+    cat = Catalog({"doc.dia": DIA, "meta.dia": "@@@!quire\n"}, library={})
     doc = canonicalize("@@@!doc\n\nx\n\n@@@!(meta)\ny\n!@@@\n", cat).document
-    base = "@@@!atrep-exo\n@=doc=>html\n\n@-> *paragraph\n@(grammata)\n>-@\n\n@-> *englossis\n<@(dialect)>@(grammata)\n>-@\n"
+    base = "@@@!quire-exo\n@=doc=>html\n\n@-> *paragraph\n@(grammata)\n>-@\n\n@-> *englossis\n<@(dialect)>@(grammata)\n>-@\n"
     assert render(doc, read_rules(base, cat.schema("doc")), lambda a, b: inner)[0] == "x\n<meta>(y)"
     put = read_rules(base + "\n@-> *document\n@(!meta)|@(grammata)\n>-@\n", cat.schema("doc"))
     assert render(doc, put, lambda a, b: inner)[0] == "<meta>(y)|x"

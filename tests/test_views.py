@@ -12,7 +12,7 @@ from quire.model.tree import DocumentError
 from quire.model.views import outline, points, spelled, unresolved_labels
 from quire.model.writer import blocks, write
 
-DIA = "@@@!atrep\n\n@=== section\n@# [lemma]\ngrammata\n#@ [hypograph]\n===@\n\n@=== em\n@: grammata :@\n===@\n\n@=== poem\n@~ [lemma]\nstichos\n~@ [hypograph]\n===@\n\n@=== label\n@! grammata !@\n===@\n"
+DIA = "@@@!quire\n\n@=== section\n@# [lemma]\ngrammata\n#@ [hypograph]\n===@\n\n@=== em\n@: grammata :@\n===@\n\n@=== poem\n@~ [lemma]\nstichos\n~@ [hypograph]\n===@\n\n@=== label\n@! grammata !@\n===@\n"
 CAT = Catalog({"doc.dia": DIA}, library={})
 
 
