@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text
 from quire.operators import documents, graphs, rows, tables, witnesses
+from quire.sources import corpora
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -589,3 +590,38 @@ HTML_RULES = "@@@!quire-exo\n@=at-html=>html\n\n@%\n& &amp;\n< &lt;\n> &gt;\n%@\
     ]
     if pattern != "*deixis ^"
 )
+
+
+# Line formats and composed coordinates.
+
+
+@query(rf"""SELECT doc, sent, tok, form, CASE WHEN tok > 1 THEN tok - 1 END AS head, form[:3] AS lemma FROM (
+  SELECT doc_id AS doc, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS sent, CAST(k AS INTEGER) AS tok, w AS form FROM (
+    SELECT doc_id, s, unnest(x) AS w, generate_subscripts(x, 1) AS k FROM (SELECT doc_id, s, list_filter(regexp_split_to_array(l, '{_WS}+'), lambda w: w <> '') AS x
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS s FROM documents))))""")
+def conllu_tokens(spark, sf_dir):
+    """Documents as token files, a line of text a sentence, each word headed by the one before it."""
+    words = lambda line: text.words(line)
+    row = lambda w, k: F.concat_ws("\t", (k + 1).cast("string"), w, F.substring(w, 1, 3), F.lit("X"), F.lit("_"), F.lit("_"), k.cast("string"), F.lit("dep"), F.lit("_"), F.lit("_"))
+    sentence = lambda line: F.array_join(F.transform(words(line), row), "\n")
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.array_join(F.transform(F.split("text", "\n"), sentence), "\n\n").alias("text"))
+    return corpora.conllu_tokens(files).select("doc", "sent", "tok", "form", "head", "lemma")
+
+
+@query("""SELECT n_regionkey + 1 AS doc, 1 AS sura, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INTEGER) AS aya, n_name AS text, CAST(NULL AS VARCHAR) AS error FROM nation""")
+def numbered_verses(spark, sf_dir):
+    """A region's nations as numbered lines."""
+    by = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("xs"))
+    lines = F.transform("xs", lambda x, k: F.concat(F.lit("1|"), k + 1, F.lit("|"), x["n_name"]))
+    return corpora.numbered_verses(by.select((F.col("n_regionkey") + 1).alias("doc"), F.array_join(lines, "\n").alias("text")))
+
+
+@query("""SELECT event_id, user_id || '.' || chapter || CASE WHEN event_type = 'click' THEN '.' || event_id ELSE '' END AS coordinate FROM (
+  SELECT *, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS chapter FROM events)
+WHERE event_type IN ('signup', 'click') AND chapter IS NOT NULL""")
+def composed_coordinates(spark, sf_dir):
+    """Chapter and verse marks composed to ``book.chapter.verse`` by the chapter at or before them."""
+    marks = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type").where("event_type IN ('signup', 'click')")
+    found = rows.anchor_asof(marks, ["user_id"], ["event_id"], F.when(F.col("event_type") == "signup", F.col("event_id")), "chapter")
+    verse = F.when(F.col("event_type") == "click", F.col("event_id").cast("string"))
+    return found.where("chapter IS NOT NULL").select("event_id", F.concat_ws(".", F.col("user_id").cast("string"), F.col("chapter").cast("string"), verse).alias("coordinate"))
