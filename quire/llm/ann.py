@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is approximated by a sum of full-dimensional code words, one of each codebook, found by a beam
-search over the residuals. Codebooks start as k-means over residuals of a bounded sample and are then
-solved together by least squares. The index keeps each vector's codes, the squared norm of its
+search over the residuals. Codebooks are k-means over the residuals of a bounded sample; ``rounds`` of
+least squares can solve them together, which takes a square matrix of all words. The index keeps each vector's codes, the squared norm of its
 approximation and the vector. A query is scored against all rows by sums of table entries; the best of each
 block of rows by that score are ranked by their exact distance.
 
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import Written
 
-SAMPLE = 8192
-BOOKS, WORDS, BEAM, ROUNDS = 8, 256, 4, 2
+SAMPLE = 16384
+BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 4, 0
 QUERIES = 20_000
-RERANK = 100
+RERANK = 256
 ROWS = 8192
 SEED = 17
 

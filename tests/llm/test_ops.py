@@ -562,6 +562,26 @@ def test_ann_recall(spark, sf):
     assert hits >= 0.9 * total
 
 
+def test_ann_recall_beyond_one_block():
+    """Vectors without structure, the hardest ones to quantise, in several blocks of rows."""
+    rng = np.random.default_rng(2)
+    x, ids = rng.normal(size=(20_000, 64)), np.arange(20_000)
+    books = ann.train(x[:8192])
+    codes = ann.encode(x, books)
+    norm = (ann.decode(codes, books) ** 2).sum(axis=1)
+    q, found = ids[::400], defaultdict(list)
+    for at in range(0, len(x), ann.ROWS):
+        b = slice(at, at + ann.ROWS)
+        for query, vec, score in ann.score_block(x[q], q, codes[b], norm[b], ids[b], x[b], books, 10, ann.RERANK):
+            found[query].append((score, vec))
+    hits = 0
+    for k in q:
+        d = ((x - x[k]) ** 2).sum(axis=1)
+        d[k] = np.inf
+        hits += len({v for _, v in sorted(found[k])[:10]} & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.9 * 10 * len(q)
+
+
 def test_ann_odd(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [float("inf"), 1.0]), (8, [1.0, 2.0, 3.0]), (100, [1.0, 1.0]), (100, [1.0, 1.0]), (9, [])]
