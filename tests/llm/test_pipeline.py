@@ -111,3 +111,35 @@ def test_odd_and_empty_tables(spark, odd, empty):  # noqa: F811
             out = f(spark, docs, SF)
             assert k == 4 or out.columns == docs.columns
             out.count()
+
+
+def test_near_dedup_at_four_fifths(spark):
+    """Near copies whose fingerprints lie further apart than op5's 3 bits, against all pairs by their sets."""
+    import random
+
+    rng = random.Random(8)
+    docs, kinds = {}, [f"w{k}" for k in range(3000)]
+    for base in range(25):
+        words = rng.choices(kinds, k=rng.randint(30, 300))
+        for copy in range(6):
+            own = list(words)
+            for _ in range(rng.randint(0, len(words) // 25 + 1) if copy else 0):
+                own[rng.randrange(len(own))] = rng.choice(kinds)
+            docs[base * 10 + copy] = " ".join(own)
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for d, t in docs.items()}
+    root = {d: d for d in docs}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    far = 0
+    for a in docs:
+        for b in docs:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                far += (plain_fingerprint(docs[a]) ^ plain_fingerprint(docs[b])).bit_count() > 3
+                a1, b1 = top(a), top(b)
+                root[max(a1, b1)] = min(a1, b1)
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs.items()], DOCS).repartition(5)
+    assert far and {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == {d for d in docs if top(d) == d}
