@@ -379,11 +379,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def documents_without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` without later lines of a class; a document whose every line that takes part went goes too."""
+    """``docs`` without later lines of a class; a document of which only blanks stay goes too."""
     rows = packed(docs).select("row", "key_a", "key_b", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
     found = packed(docs).join(line_classes(rows.select("doc_id", "key_a", "key_b", "text")), ["key_a", "key_b"], "left")
-    stays = F.coalesce(F.exists("lines", lambda x: ~x["gone"]), F.lit(True))
     text = F.when(F.col("lines").isNull(), F.col("row.text")).otherwise(_kept(F.col("row.text"), F.col("lines")))
-    found = found.where(stays).select("row", text.alias("new"))
+    found = found.select("row", text.alias("new"), F.coalesce(F.exists("lines", lambda x: x["gone"]), F.lit(False)).alias("cut"))
+    found = found.where(~F.col("cut") | (F.btrim("new", F.lit(SPACES)) != ""))
     cols = [F.col("new").alias(c) if c == "text" else F.length("new").cast(t).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c, t in docs.dtypes]
     return found.select(*cols)

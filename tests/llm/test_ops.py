@@ -416,6 +416,14 @@ def test_line_join_odd(odd, empty):
     assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 1, 2, 4, 5, 7, 8]
 
 
+def test_short_lines_outlive_a_repeated_line(spark):
+    """Only a document of which blanks stay goes; lines too short to take part are no repeats."""
+    licence = "All of this text is free to copy and share."
+    docs = [(1, licence), (2, f"a red fox\n{licence}\nran home"), (3, f" \n{licence}\n"), (4, "tiny"), (5, "")]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], DOCS)
+    assert {r.doc_id: r.text for r in line_join.documents_without_repeats(df).collect()} == {1: licence, 2: "a red fox\nran home", 4: "tiny", 5: ""}
+
+
 # 7
 
 
