@@ -1,13 +1,14 @@
 """Removal of repeated runs of sentences.
 
-Every run of ``RUN`` consecutive sentences is hashed (128 bits, over sentences with white space collapsed);
-a sentence of ``LONG`` words is a run of its own as well, since a long passage can be one sentence.
+From each sentence on, and back from each, the least run of ``RUN`` or more consecutive sentences that has
+``MIN_WORDS`` words is hashed (128 bits, over sentences with white space collapsed), so that a passage of
+short sentences is covered whole; a sentence of ``LONG`` words is a run of its own as well, since a long passage can be one sentence.
 Runs that occur more than once anywhere are found by a partial aggregation on the hash, which also gives
 the first place; every sentence covered by a run that is not at its first place is removed. Places are
 ordered by doc_id (null last), then by the row's key and the sentence's number.
 
-Defined cases: a null text has no sentences; a document of fewer sentences than a run is one run; runs of
-under ``MIN_WORDS`` words are left alone, as short sentences repeat by chance; a row repeated in full is
+Defined cases: a null text has no sentences; a document of fewer sentences than a run is one run;
+passages of under ``MIN_WORDS`` words are left alone, as short sentences repeat by chance; a row repeated in full is
 one document given twice and both keep the same; an empty table gives no rows.
 """
 
@@ -42,19 +43,30 @@ def run_hashes(texts: list[str], run: int, min_words: int, long: int = LONG) ->
     words = [t.split() for t in texts]
     n = np.array([len(w) for w in words])
     h = np.array([xxh3_64_intdigest(" ".join(w)) for w in words], np.uint64)
+    size = min(run, len(texts))
     out: list[tuple[int, int, int, int]] = []
-    for size, least in {min(run, len(texts)): min_words, 1: long if len(texts) > 1 and run > 1 else min_words}.items():
-        m = len(texts) - size + 1
-        a, b, total = np.zeros(m, np.uint64), np.full(m, size, np.uint64), np.zeros(m, np.int64)
+    total = np.concatenate(([0], np.cumsum(n)))
+    # from each start, and to each end, to the least number of sentences that has the words
+    start = np.arange(len(texts) - size + 1)
+    stop = np.maximum(start + size, np.searchsorted(total, total[start] + min_words))
+    end = np.arange(size, len(texts) + 1)
+    first = np.minimum(end - size, np.searchsorted(total, total[end] - min_words, "right") - 1)
+    ahead, back = stop <= len(texts), first >= 0
+    runs = np.unique(np.concatenate((start[ahead] << 32 | stop[ahead] - start[ahead], first[back] << 32 | end[back] - first[back])))
+    at, width = runs >> 32, runs & 0xFFFFFFFF
+    if size > 1:
+        one = np.flatnonzero(n >= long)
+        at, width = np.concatenate((at, one)), np.concatenate((width, np.ones(len(one), np.int64)))
+    for size in np.unique(width).tolist():
+        here = at[width == size]
+        a, b = np.zeros(len(here), np.uint64), np.full(len(here), size, np.uint64)
         for k in range(size):
-            x = h[k : k + m]
+            x = h[here + k]
             a = (a ^ x) * np.uint64(0x9E3779B97F4A7C15)
             a ^= a >> np.uint64(31)
             b = (b + x) * np.uint64(0xC2B2AE3D27D4EB4F)
             b ^= b >> np.uint64(29)
-            total += n[k : k + m]
-        at = np.flatnonzero(total >= least)
-        out += zip(a[at].view(np.int64).tolist(), b[at].view(np.int64).tolist(), at.tolist(), [size] * len(at))
+        out += zip(a.view(np.int64).tolist(), b.view(np.int64).tolist(), here.tolist(), [size] * len(here))
     return out
 
 

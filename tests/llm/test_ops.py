@@ -221,6 +221,15 @@ def test_sentence_spans_odd(odd, empty):
     assert {r.doc_id for r in rows if r.n_removed} == {5, 6}
 
 
+def test_sentence_spans_of_short_sentences(spark):
+    """A passage of over 50 words in sentences of three stays once only, to its last sentence."""
+    verse = [f"{a} {b} end" for a, b in zip("one two three four five six seven eight nine ten eleven twelve lamb wolf bear fox hen owl".split(), "red blue green white black brown grey pink gold plum rose teal mint sand rust wine jade onyx".split())]
+    docs = [(1, "Alpha opens here\n" + "\n".join(verse) + "\nAlpha closes here"), (2, "Beta opens there\n" + "\n".join(verse) + "\nBeta closes there")]
+    rows = {r.doc_id: r for r in sentence_spans.remove_repeated_sentences(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert rows[1].n_removed == 0 and rows[1].kept == docs[0][1]
+    assert rows[2].n_removed == len(verse) and rows[2].kept == "Beta opens there\nBeta closes there"
+
+
 # 5
 
 
