@@ -80,7 +80,8 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def row_key(df: DataFrame) -> list[Column]:
     """128 bits over all columns, as two longs: equal for rows that agree in every column."""
-    cols = [F.col(f"`{c}`") if not isinstance(t, str) or not t.startswith("map") else F.map_entries(F.col(f"`{c}`")) for c, t in df.dtypes]
+    # maps have no hash: a column that holds one anywhere counts as its JSON
+    cols = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t else F.col(f"`{c}`") for c, t in df.dtypes]
     return [F.xxhash64(*cols).alias("key_a"), F.xxhash64(F.lit("b"), *cols).alias("key_b")]
 
 
@@ -101,6 +102,55 @@ def per_worker(key: tuple, make: Callable[[], T]) -> T:
     return held[key]
 
 
+def give_back() -> None:
+    """Returns freed memory of this Python worker to the system, since workers live on beside later stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def mapped(df: DataFrame, fn: Callable, schema, rows: int | None = None) -> DataFrame:
+    """``mapInArrow`` that gives its memory back at the end of a task and, with ``rows``, sees so many rows at once."""
+
+    def run(it):
+        parts = it if rows is None else (b.slice(k, rows) for b in it for k in range(0, b.num_rows, rows))
+        try:
+            yield from fn(parts)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def whole_groups(it, key: str, names: tuple[str, ...], rows: int = 250_000):
+    """Columns ``key`` and ``names`` as arrays, some whole groups of equal keys at a time; the rows come sorted by key.
+
+    What is held is ``rows`` rows, or one group if that is larger.
+    """
+    import numpy as np
+
+    held: list[tuple] = []
+    size = 0
+    for b in it:
+        if not b.num_rows:
+            continue
+        held.append(tuple(np.asarray(b.column(c)) for c in (key, *names)))
+        size += b.num_rows
+        last = held[-1][0]
+        if size < rows or (last[0] == last[-1] and held[0][0][0] == last[0]):
+            continue
+        cols = [np.concatenate(c) for c in zip(*held)]
+        stop = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1
+        yield [c[:stop] for c in cols]
+        held, size = [tuple(c[stop:].copy() for c in cols)], len(cols[0]) - stop
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
 class Memo:
     """A table in two generations of bounded size: what is asked for again outlives what is not."""
 

@@ -29,12 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Written, release, row_key
+from quire.llm.common import Written, mapped, release, row_key
 
 LENGTH = 400
 REACH, GRAM = 300, 16
-HOT = 20_000
-BLOCK = 1 << 20
+HOT = 10_000
+#: Bytes per window of a text, per comparison within a bucket, and per bucket; rows per batch given out and per batch taken in.
+BLOCK = 1 << 18
+PART, BUCKET = 1 << 20, 8 << 20
+FLUSH, ROWS = 50_000, 500
+#: Suffixes up to which the multikey quicksort sorts by all keys at once.
+SMALL = 256
 _U = np.uint64
 
 
@@ -91,112 +96,141 @@ def anchors(x: np.ndarray, length: int, reach: int, gram: int) -> tuple[np.ndarr
 
 def _anchor_rows(docs: DataFrame, length: int, reach: int, gram: int) -> DataFrame:
     lead = length - reach + 1
+    names = ["key_a", "key_b", "a", "lo", "hi", "lead", "c1", "c2"]
+    types = [pa.int64()] * 2 + [pa.int32()] * 3 + [pa.int64()] * 3
 
     def run(it):
         from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
+        out: list[tuple] = []
         for b in it:
-            out: list[list] = [[] for _ in range(8)]
             for ka, kb, text in zip(*(b.column(c).to_pylist() for c in ("key_a", "key_b", "text"))):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 if len(data) < length:
                     continue
                 view = memoryview(data)
-                found = [x.tolist() for x in anchors(np.frombuffer(data, np.uint8), length, reach, gram)]
-                for a, lo, hi in zip(*found):
-                    out[2].append(a)
-                    out[3].append(lo)
-                    out[4].append(hi)
-                    out[5].append(xxh3_64_intdigest(view[a : a + lead]) - (1 << 63))
+                for a, lo, hi in zip(*(x.tolist() for x in anchors(np.frombuffer(data, np.uint8), length, reach, gram))):
                     c = xxh3_128_digest(view[lo : hi + length], a - lo)
-                    out[6].append(int.from_bytes(c[:8], "little", signed=True))
-                    out[7].append(int.from_bytes(c[8:], "little", signed=True))
-                n = len(out[2]) - len(out[0])
-                out[0].extend([ka] * n)
-                out[1].extend([kb] * n)
-            types = [pa.int64()] * 2 + [pa.int32()] * 3 + [pa.int64()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["key_a", "key_b", "a", "lo", "hi", "lead", "c1", "c2"])
+                    lead_id = xxh3_64_intdigest(view[a : a + lead]) - (1 << 63)
+                    out.append((ka, kb, a, lo, hi, lead_id, int.from_bytes(c[:8], "little", signed=True), int.from_bytes(c[8:], "little", signed=True)))
+                    if len(out) == FLUSH:
+                        yield _batch(out, names, types)
+                        out = []
+        if out:
+            yield _batch(out, names, types)
 
-    return docs.mapInArrow(run, "key_a long, key_b long, a int, lo int, hi int, lead long, c1 long, c2 long")
+    return mapped(docs, run, "key_a long, key_b long, a int, lo int, hi int, lead long, c1 long, c2 long", ROWS)
 
 
-def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows of big-endian 64-bit keys, and the number of the run of equal rows each is in.
+def multikey_order(words: np.ndarray) -> np.ndarray:
+    """Order of the rows of big-endian 64-bit keys by multikey quicksort.
 
-    The first key orders all rows; each further one only those still tied, within their ties.
+    A part is split by one key into less, equal and greater than a pivot; only the equal ones go on to the
+    next key. Parts of up to ``SMALL`` rows are sorted by all keys that are left.
     """
-    order = np.argsort(words[:, 0], kind="stable")
-    first = words[order, 0]
-    new = np.concatenate(([True], first[1:] != first[:-1]))
-    for k in range(1, words.shape[1]):
-        run = np.cumsum(new)
-        tied = np.flatnonzero(~new | ~np.concatenate((new[1:], [True])))
-        if not len(tied):
-            break
-        col = words[order[tied], k]
-        by = np.lexsort((col, run[tied]))
-        order[tied] = order[tied[by]]
-        col, run = col[by], run[tied]
-        new[tied] |= np.concatenate(([True], (col[1:] != col[:-1]) | (run[1:] != run[:-1])))
-    return order, np.cumsum(new) - 1
+    order = np.arange(len(words))
+    todo = [(0, len(words), 0)]
+    while todo:
+        lo, hi, k = todo.pop()
+        if hi - lo < 2 or k == words.shape[1]:
+            continue
+        part = order[lo:hi]
+        if hi - lo <= SMALL:
+            order[lo:hi] = part[np.lexsort(words[part, k:].T[::-1])]
+            continue
+        key = words[part, k]
+        pivot = np.partition(key[:: max(1, len(key) // 9)][:9], 4)[4]
+        less, more = key < pivot, key > pivot
+        sides = [part[less], part[~less & ~more], part[more]]
+        order[lo:hi] = np.concatenate(sides)
+        i, j = lo + len(sides[0]), hi - len(sides[2])
+        todo += [(lo, i, k), (i, j, k + 1), (j, hi, k)]
+    return order
 
 
 def _repeats(data: list[bytes], back: list[int], group: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
-    """(row, first start, last start) of strings that another row of the group has at the same place."""
-    sizes = np.array([len(d) for d in data])
-    base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    h = rolling(np.frombuffer(b"".join(data), np.uint8), length, 7)
-    n = sizes - length + 1
-    row = np.repeat(np.arange(len(data)), n)
-    start = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    place = np.asarray(back)[row] - start  # bytes before the anchor
-    key = h[base[row] + start] ^ (group[row].astype(_U) * _U(0x9E3779B97F4A7C15) + place.astype(_U) * _U(0xC2B2AE3D27D4EB4F))
-    order = np.argsort(key, kind="stable")
-    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
-    partner = np.full(len(row), -1)
-    partner[order[same + 1]] = order[same]
-    partner[order[same]] = order[same + 1]
-    hit = np.flatnonzero(partner >= 0)
-    if not len(hit):
+    """(row, first start, last start) of strings that another row of the group has at the same place.
+
+    Hashes are kept by row and place (bytes before the anchor); the places are compared one at a time.
+    """
+    n, back = len(data), np.asarray(back)
+    places = int(back.max()) + 1
+    h, held = np.zeros((n, places), np.uint64), np.zeros((n, places), bool)
+    at = 0
+    while at < n:
+        stop, size = at, 0
+        while stop < n and (size == 0 or size + len(data[stop]) <= PART):
+            size += len(data[stop])
+            stop += 1
+        sizes = np.fromiter(map(len, data[at:stop]), np.int64, stop - at)
+        base = np.cumsum(sizes) - sizes
+        found = rolling(np.frombuffer(b"".join(data[at:stop]), np.uint8), length, 7)
+        starts = sizes - length + 1
+        row = np.repeat(np.arange(stop - at), starts)
+        start = np.arange(len(row)) - np.repeat(np.cumsum(starts) - starts, starts)
+        place = back[at:stop][row] - start
+        h[row + at, place] = found[base[row] + start]
+        held[row + at, place] = True
+        at = stop
+    mixed = group.astype(np.uint64) * _U(0x9E3779B97F4A7C15)
+    partner = np.full((n, places), -1, np.int32)
+    for p in range(places):
+        rows = np.flatnonzero(held[:, p])
+        key = h[rows, p] ^ mixed[rows]
+        order = np.argsort(key, kind="stable")
+        same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+        one, two = rows[order[same]], rows[order[same + 1]]
+        partner[two, p] = one
+        partner[one, p] = two
+    row, place = np.nonzero(partner >= 0)
+    if not len(row):
         return
-    other, there = row[partner[hit]], start[partner[hit]]
-    breaks = np.flatnonzero((row[hit][1:] != row[hit][:-1]) | (start[hit][1:] != start[hit][:-1] + 1) | (other[1:] != other[:-1])) + 1
-    for i, j in zip(np.concatenate(([0], breaks)).tolist(), np.concatenate((breaks, [len(hit)])).tolist()):
-        r, s, e, o, t = int(row[hit[i]]), int(start[hit[i]]), int(start[hit[j - 1]]), int(other[i]), int(there[i])
-        if data[r][s : e + length] == data[o][t : t + e - s + length]:
+    other = partner[row, place]
+    breaks = np.flatnonzero((row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1) | (other[1:] != other[:-1])) + 1
+    for i, j in zip(np.concatenate(([0], breaks)).tolist(), np.concatenate((breaks, [len(row)])).tolist()):
+        r, o, e = int(row[i]), int(other[i]), int(back[row[i]] - place[i])
+        s, off = e - (j - 1 - i), int(back[other[i]] - back[row[i]])
+        if data[r][s : e + length] == data[o][s + off : e + off + length]:
             yield r, s, e
         else:
-            for k in range(i, j):
-                r, s, o, t = int(row[hit[k]]), int(start[hit[k]]), int(other[k]), int(there[k])
-                if data[r][s : s + length] == data[o][t : t + length]:
-                    yield r, s, s
+            for k in range(s, e + 1):
+                if data[r][k : k + length] == data[o][k + off : k + off + length]:
+                    yield r, k, k
 
 
 def _bucket(length: int, lead: int):
+    """Of one range of leads: sorts the suffixes, then goes through them a few leads at a time."""
+    width = -(-lead // 8) * 8
+
     def run(it):
         # a row repeated in full brings its contexts again
         rows = list({r[:2]: r for b in it for r in zip(*(b.column(c).to_pylist() for c in ("c1", "c2", "back", "data")))}.values())
         if not rows:
             return
-        width = -(-lead // 8) * 8
-        keys = b"".join(d[k : k + lead].ljust(width, b"\0") for _, _, k, d in rows)
-        order, group = multikey_order(np.frombuffer(keys, ">u8").reshape(len(rows), -1).astype(_U))
+        keys = np.frombuffer(b"".join(d[k : k + lead].ljust(width, b"\0") for _, _, k, d in rows), ">u8").reshape(len(rows), -1).astype(_U)
+        order = multikey_order(keys)
+        new = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
+        group = np.concatenate(([0], np.cumsum(new)))
+        ends = np.append(np.flatnonzero(new) + 1, len(order))
+        del keys
         at = 0
+        size = np.cumsum([len(rows[k][3]) for k in order])
         while at < len(order):
-            stop = min(len(order), at + 4000)
-            stop = int(np.searchsorted(group, group[stop - 1], "right"))
-            part = [rows[k] for k in order[at:stop]]
-            out = [(part[r][0], part[r][1], s, e) for r, s, e in _repeats([p[3] for p in part], [p[2] for p in part], group[at:stop], length)]
-            if out:
-                yield _batch(out)
+            most = np.searchsorted(size, (size[at - 1] if at else 0) + PART, "right")
+            fits = np.searchsorted(ends, max(most, at + 1), "right") - 1
+            stop = int(ends[fits]) if fits >= 0 and ends[fits] > at else int(ends[np.searchsorted(ends, at, "right")])
+            if stop - at > 1:
+                part = [rows[k] for k in order[at:stop]]
+                out = [(part[r][0], part[r][1], s, e) for r, s, e in _repeats([p[3] for p in part], [p[2] for p in part], group[at:stop], length)]
+                for k in range(0, len(out), FLUSH):
+                    yield _batch(out[k : k + FLUSH], ["c1", "c2", "s", "e"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
             at = stop
 
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["c1", "c2", "s", "e"])
+def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
 def _hot_repeats(contexts: DataFrame, length: int) -> DataFrame:
@@ -212,7 +246,7 @@ def _hot_repeats(contexts: DataFrame, length: int) -> DataFrame:
                     [pa.array(h1), pa.array(h2), pa.array([c1] * n), pa.array([c2] * n), pa.array(np.arange(n, dtype=np.int32))], ["h1", "h2", "c1", "c2", "s"]
                 )
 
-    strings = Written(contexts.mapInArrow(run, "h1 long, h2 long, c1 long, c2 long, s int"), "strings").df
+    strings = Written(mapped(contexts, run, "h1 long, h2 long, c1 long, c2 long, s int", ROWS), "strings").df
     context = F.struct("c1", "c2")
     twice = strings.groupBy("h1", "h2").agg(F.min(context).alias("x"), F.max(context).alias("y")).where("x <> y").select("h1", "h2")
     return strings.join(twice, ["h1", "h2"]).select("c1", "c2", "s", F.col("s").alias("e"))
@@ -235,30 +269,29 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, reach: int = REACH, g
     per_lead = Written(contexts.df.groupBy("lead").count().where(F.col("count") > hot).select("lead"), "hot")
     wanted = contexts.df.join(per_lead.df.withColumn("hot", F.lit(True)), "lead", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     by_doc = wanted.groupBy("key_a", "key_b").agg(F.collect_list(F.struct("c1", "c2", "a", "lo", "hi", "hot")).alias("xs"))
+
     def cut(it):
+        out, size = [], 0
         for b in it:
-            out: list[tuple] = []
-            size = 0
             for text, xs in zip(b.column("text").to_pylist(), b.column("xs").to_pylist()):
                 data = text.encode("utf-8", "surrogatepass")
                 for x in xs:
                     part = data[x["lo"] : x["hi"] + length]
-                    out.append((x["c1"], x["c2"], x["a"] - x["lo"], x["hot"], part[x["a"] - x["lo"] :][:32], part))
+                    out.append((x["c1"], x["c2"], x["a"] - x["lo"], x["hot"], part))
                     size += len(part)
-                    if size > 8_000_000:
-                        yield contexts_batch(out)
+                    if size > 4 * PART:
+                        yield _batch(out, names, types)
                         out, size = [], 0
-            if out:
-                yield contexts_batch(out)
+        if out:
+            yield _batch(out, names, types)
 
-    def contexts_batch(out):
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["c1", "c2", "back", "hot", "head", "data"])
-
-    cuts = Written(keyed.join(by_doc, ["key_a", "key_b"]).select("text", "xs").mapInArrow(cut, "c1 long, c2 long, back int, hot boolean, head binary, data binary"), "cuts")
+    names, types = ["c1", "c2", "back", "hot", "data"], [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+    cuts = Written(mapped(keyed.join(by_doc, ["key_a", "key_b"]).select("text", "xs"), cut, "c1 long, c2 long, back int, hot boolean, data binary", ROWS), "cuts")
     release(spark)
-    ranged = cuts.df.where("not hot").repartitionByRange("head")
-    repeats = ranged.select("c1", "c2", "back", "data").mapInArrow(_bucket(length, lead), "c1 long, c2 long, s int, e int")
+    total = contexts.df.agg(F.sum(F.col("hi") - F.col("lo") + length)).first()[0] or 0
+    suffix = F.expr(f"substring(data, back + 1, {lead})")
+    ranged = cuts.df.where("not hot").select("c1", "c2", "back", "data").repartitionByRange(1 + total // BUCKET, suffix)
+    repeats = mapped(ranged, _bucket(length, lead), "c1 long, c2 long, s int, e int")
     if per_lead.df.limit(1).count():
         repeats = repeats.union(_hot_repeats(cuts.df.where("hot").select("c1", "c2", "back", "data"), length))
     pair = F.array("s", "e")
@@ -283,10 +316,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     spans = Written(repeated_spans(keyed.select("key_a", "key_b", "text"), length, **how), "spans").df
     release(docs.sparkSession)
 
+    names = ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+
     def run(it):
+        out: list[tuple] = []
+        size = 0
         for b in it:
-            out: list[tuple] = []
-            size = 0
             for doc, text, starts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "starts"))):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 kept, end, spans = [], 0, 0
@@ -299,16 +335,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
                 rest = b"".join(kept)
                 out.append((doc, rest, len(data), len(data) - len(rest), spans))
                 size += len(rest)
-                if size > 8_000_000:
-                    yield kept_batch(out)
+                if size > 4 * PART:
+                    yield _batch(out, names, types)
                     out, size = [], 0
-            if out:
-                yield kept_batch(out)
-
-    def kept_batch(out):
-        types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+        if out:
+            yield _batch(out, names, types)
 
     rows = keyed.join(spans, ["key_a", "key_b"], "left").select("doc_id", "text", "starts")
-    return rows.mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
-
+    return mapped(rows, run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long", ROWS)
