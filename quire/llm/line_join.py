@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACES, Written, packed, release, row_key, small
+from quire.llm.common import SPACES, Written, mapped, packed, release, row_key, small, whole_groups
 from quire.llm.components import components
 
 LEAST = 20
@@ -32,8 +32,14 @@ PER_EDIT, MOST_EDITS = 40, 2
 #: Distinct lines whose texts are needed, up to which their ids are broadcast (8 bytes each).
 WANTED = 1_000_000
 SEEN = 500_000
-#: Lines of one key up to which they are compared in one task, and the share of documents that shows such keys.
+#: Lines of one key up to which they are compared in one task, and the share of lines that shows such keys.
 TILE, SHARE = 50_000, 16
+#: Rows per batch given out and per batch taken in, and characters whose keys are made at a time.
+FLUSH, ROWS, CHARS = 50_000, 500, 1 << 17
+_U = np.uint64
+#: An odd base of the polynomial hash and its inverse.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def edits(length: int) -> int:
@@ -51,17 +57,12 @@ def segments(length: int, t: int) -> list[tuple[int, int]]:
     return out
 
 
-_PLANS: dict[int, list[tuple[int, int, int, int]]] = {}
-
-
 def probes(length: int) -> list[tuple[int, int, int, int]]:
     """(seed, start, end, role) of the substrings of a line of this length; role 1 indexes, 2 probes, 3 both.
 
     A segment i of a line of length l can start in the longer line at most i - 1 places off its own start,
     and, counted from the end, at most t + 1 - i off, or an earlier or later segment would match as well.
     """
-    if (known := _PLANS.get(length)) is not None:
-        return known
     found: dict[tuple[int, int, int], int] = {}
     if t := edits(length):
         for i, (at, n) in enumerate(segments(length, t)):
@@ -75,14 +76,57 @@ def probes(length: int) -> list[tuple[int, int, int, int]]:
             high = min(length - n, at + i, at + more + (t - i))
             for s in range(low, high + 1):
                 found[l * 4 + i, s, s + n] = found.get((l * 4 + i, s, s + n), 0) | 2
-    _PLANS[length] = out = [(*k, role) for k, role in found.items()]
-    return out
+    return [(*k, role) for k, role in found.items()]
+
+
+_PLANS: dict[int, np.ndarray] = {}
+
+
+def _plan(length: int) -> np.ndarray:
+    if (known := _PLANS.get(length)) is None:
+        if len(_PLANS) > 20_000:
+            _PLANS.clear()
+        known = _PLANS[length] = np.array(probes(length), np.int64).reshape(-1, 4).T
+    return known
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
+    return x ^ (x >> _U(32))
+
+
+def _codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the lines one after another, and the lines' lengths."""
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4"), sizes
+
 
+def sketches(lines: list[str]) -> np.ndarray:
+    """Sixteen counts of characters by code point, modulo 16, of each line."""
+    code, sizes = _codes(lines)
+    place = np.repeat(np.arange(len(lines)) * 16, sizes) + code % 16
+    n = np.bincount(place, minlength=16 * len(lines)).reshape(-1, 16) & 15
+    return (n.astype(_U) << np.arange(0, 64, 4, dtype=_U)).sum(axis=1, dtype=_U)
 
-def sketch(line: str) -> int:
-    """Sixteen counts of characters by code point, modulo 16."""
-    n = np.bincount(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4") % 16, minlength=16) & 15
-    return int((n.astype(np.uint64) << np.arange(0, 64, 4, dtype=np.uint64)).sum())
+
+def segment_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, role, number of the line) for all probes of the lines.
+
+    A key mixes the seed with a polynomial hash of the substring, taken from the running sums of all lines;
+    equal keys of different substrings only make candidates more.
+    """
+    code, sizes = _codes(lines)
+    up = np.cumprod(np.full(len(code) + 1, _BASE, _U))
+    down = np.cumprod(np.full(len(code) + 1, _INVERSE, _U))
+    total = np.concatenate((np.zeros(1, _U), np.cumsum(_mixed(code.astype(_U) + _U(1)) * up[:-1], dtype=_U)))
+    plans = [_plan(n) for n in sizes.tolist()]
+    count = np.fromiter((x.shape[1] for x in plans), np.int64, len(plans))
+    seed, i, j, role = np.concatenate(plans, axis=1) if plans else np.zeros((4, 0), np.int64)
+    line = np.repeat(np.arange(len(lines)), count)
+    base = (np.cumsum(sizes) - sizes)[line]
+    found = (total[base + j] - total[base + i]) * down[base + i]
+    return _mixed(found ^ _mixed(seed.astype(_U))).view(np.int64), role.astype(np.int8), line
 
 
 def sketch_gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -107,9 +151,9 @@ def _shared(a: str, b: str) -> int:
 
 
 def within(a: str, b: str, t: int) -> bool:
-    """Is the edit distance at most t? Bit j of row d: j characters of ``a`` match what was read with d edits.
+    """Is the edit distance at most t? Bit k of row d: all but d of what was read match ``a`` up to k - t places off.
 
-    Only the 2t + 1 bits around the diagonal are kept at each step.
+    Each row has the 2t + 1 bits around the diagonal, so a step costs the same at any place of a long line.
     """
     if abs(len(a) - len(b)) > t:
         return False
@@ -119,25 +163,35 @@ def within(a: str, b: str, t: int) -> bool:
     a, b = a[: len(a) - at], b[: len(b) - at]
     if not a or not b:
         return max(len(a), len(b)) <= t
-    where: dict[str, int] = {}
-    for j, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << j + 1
-    rows = [(1 << d + 1) - 1 for d in range(t + 1)]
+    width = 2 * t + 1
+    full = (1 << width) - 1
+    # a row is shifted by one at each step: an insertion keeps its place in a, so it moves down
+    rows = [full >> t - d & -(1 << t) for d in range(t + 1)]
+    padded = "\0" * t + a + "\0" * t
+    low_edge, high_edge = t, len(a) + t
     for i, c in enumerate(b, 1):
-        band = (1 << i + t + 1) - 1 & -(1 << max(0, i - t))
-        match, before, fresh = where.get(c, 0), 0, 0
+        match = 0
+        # bit k stands for the place i - t + k in a, whose last character is padded[i - 1 + k]
+        at = padded.find(c, max(i - 1, low_edge), min(i - 1 + width, high_edge))
+        while at >= 0:
+            match |= 1 << at - i + 1
+            at = padded.find(c, at + 1, min(i - 1 + width, high_edge))
+        before = fresh = 0
+        # places below 0 or past the end of a do not exist
+        exists = full & -(1 << max(0, t - i))
         for d in range(t + 1):
             old = rows[d]
-            new = old << 1 & match
+            new = old & match
             if d:
-                new |= before | before << 1 | fresh << 1
-            new &= band
-            if i <= d:
-                new |= 1
-            rows[d], before, fresh = new, old, new
+                new |= before | before_down | fresh << 1
+            if i <= d and i <= t:
+                new |= 1 << t - i  # all of b so far inserted
+            new &= exists
+            rows[d], before, before_down, fresh = new, old, old >> 1, new
         if not rows[t]:
             return False
-    return bool(rows[t] >> len(a) & 1)
+    k = len(a) - len(b) + t
+    return bool(rows[t] >> k & 1)
 
 
 def lines_of(text: str | None) -> Iterator[tuple[int, str]]:
@@ -155,15 +209,24 @@ def line_hash(line: str) -> int:
 
 
 def _occurrences(keyed: DataFrame) -> DataFrame:
+    """Places of all lines; one line in SHARE, by its hash, has its segment keys beside it."""
+
     def run(it):
         for b in it:
             out: list[tuple] = []
             for doc, ka, kb, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "key_a", "key_b", "text"))):
-                out.extend((line_hash(s), doc, ka, kb, k) for k, s in lines_of(text))
+                for k, s in lines_of(text):
+                    h = line_hash(s)
+                    out.append((h, doc, ka, kb, k, None if h % SHARE else segment_keys([s])[0].tolist()))
+                    if len(out) == FLUSH:
+                        yield _batch(out, names, types)
+                        out = []
             if out:
-                yield _batch(out, ["line_id", "doc_id", "key_a", "key_b", "at"], [pa.int64()] * 4 + [pa.int32()])
+                yield _batch(out, names, types)
 
-    return keyed.mapInArrow(run, "line_id long, doc_id long, key_a long, key_b long, at int")
+    names = ["line_id", "doc_id", "key_a", "key_b", "at", "keys"]
+    types = [pa.int64()] * 4 + [pa.int32(), pa.list_(pa.int64())]
+    return mapped(keyed, run, "line_id long, doc_id long, key_a long, key_b long, at int, keys array<long>", ROWS)
 
 
 def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
@@ -174,37 +237,32 @@ def _keys(texts: DataFrame) -> DataFrame:
     """Segment keys of the lines, one task giving a line it has just seen only once."""
 
     def run(it):
-        from xxhash import xxh3_64_intdigest
-
         seen: set[int] = set()
+        lines, ids, size = [], [], 0
         for b in it:
-            key, line_id, role, bag = [], [], [], []
             for text in b.column("text").to_pylist():
                 for _, s in lines_of(text):
-                    plan = probes(len(s))
-                    if not plan or (h := line_hash(s)) in seen:
+                    if len(s) < PER_EDIT or (h := line_hash(s)) in seen:
                         continue
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(h)
-                    sk = sketch(s) - (1 << 63)
-                    plain = s.isascii()
-                    raw = memoryview(s.encode()) if plain else None
-                    for seed, i, j, r in plan:
-                        key.append(xxh3_64_intdigest(raw[i:j] if plain else s[i:j].encode("utf-8", "surrogatepass"), seed) - (1 << 63))
-                        role.append(r)
-                    line_id.extend([h] * len(plan))
-                    bag.extend([sk] * len(plan))
-                    if len(key) > 200_000:
-                        yield _columns(key, line_id, role, bag)
-                        key, line_id, role, bag = [], [], [], []
-            if key:
-                yield _columns(key, line_id, role, bag)
-
-    def _columns(key, line_id, role, bag):
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(line_id, pa.int64()), pa.array(role, pa.int8()), pa.array(bag, pa.int64())], ["key", "line_id", "role", "bag"])
-
-    return texts.mapInArrow(run, "key long, line_id long, role byte, bag long")
+                    lines.append(s)
+                    ids.append(h)
+                    size += len(s)
+                    if size > CHARS:
+                        yield _columns(lines, ids)
+                        lines, ids, size = [], [], 0
+        if lines:
+            yield _columns(lines, ids)
+
+    def _columns(lines, ids):
+        key, role, line = segment_keys(lines)
+        bag = sketches(lines).view(np.int64)
+        cols = [key, np.array(ids, np.int64)[line], role, bag[line]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "line_id", "role", "bag"])
+
+    return mapped(texts, run, "key long, line_id long, role byte, bag long", ROWS)
 
 
 def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -213,78 +271,69 @@ def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (roles != 0) & ((a >> 2 == 0) | (a >> 2 != b >> 2))
 
 
-def _pairs(role: np.ndarray, bag: np.ndarray, block: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j) within one key group whose roles meet and whose sketches are near, a block at a time."""
-    n = len(role)
-    rows = max(1, block // n)
-    for at in range(0, n - 1, rows):
-        i = np.repeat(np.arange(at, min(n, at + rows)), n)
-        j = np.tile(np.arange(n), min(n, at + rows) - at)
-        ok = (j > i) & _meet(role[i], role[j])
+def _pairs(group: np.ndarray, role: np.ndarray, bag: np.ndarray, block: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) within the groups, which are numbered from 0 in order, whose roles meet and whose sketches are near."""
+    n = len(group)
+    end = np.searchsorted(group, group, "right")
+    total = np.concatenate(([0], np.cumsum(end - np.arange(n) - 1)))
+    start = 0
+    while start < n:
+        stop = max(start + 1, int(np.searchsorted(total, total[start] + block, "right")) - 1)
+        width = np.diff(total[start : stop + 1])
+        i = np.repeat(np.arange(start, stop), width)
+        j = i + 1 + np.arange(len(i)) - np.repeat(total[start:stop] - total[start], width)
+        start = stop
+        ok = _meet(role[i], role[j])
         i, j = i[ok], j[ok]
         ok = sketch_gap(bag[i], bag[j]) <= 2 * MOST_EDITS
         yield i[ok], j[ok]
 
 
 def _meeting(it):
-    """Of one partition's keys: rows (key, line_id, role) that have a possible partner under their key."""
-    parts = [tuple(np.asarray(b.column(c)) for c in ("key", "line_id", "role", "bag")) for b in it]
-    if not parts:
-        return
-    key, line, role, bag = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((line, key))
-    key, line, role, bag = key[order], line[order], role[order].astype(np.int64), bag[order].view(np.uint64) ^ np.uint64(1 << 63)
-    fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])))
-    at = np.flatnonzero(fresh)
-    role = np.bitwise_or.reduceat(role, at)  # one line can hold a text at its own and at a probed place
-    key, line, bag = key[at], line[at], bag[at]
-    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    size = np.diff(np.concatenate((start, [len(key)])))
-    keep = np.zeros(len(key), bool)
-    two = start[size == 2]
-    if len(two):
-        two = two[_meet(role[two], role[two + 1])]
-        two = two[sketch_gap(bag[two], bag[two + 1]) <= 2 * MOST_EDITS]
-        keep[two] = keep[two + 1] = True
-    for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
-        for i, j in _pairs(role[s : s + n], bag[s : s + n]):
-            keep[s + i] = keep[s + j] = True
-    at = np.flatnonzero(keep)
-    for k in range(0, len(at), 100_000):
-        p = at[k : k + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(key[p]), pa.array(line[p]), pa.array(role[p].astype(np.int8))], ["key", "line_id", "role"])
+    """Rows (key, line_id, role) that have a possible partner under their key."""
+    for key, line, role, bag in whole_groups(it, "key", ("line_id", "role", "bag")):
+        more = np.zeros(len(key), bool)
+        same = key[1:] == key[:-1]
+        more[1:] |= same
+        more[:-1] |= same
+        key, line, role, bag = key[more], line[more], role[more].astype(np.int64), bag[more].view(_U)
+        if not len(key):
+            continue
+        order = np.lexsort((line, key))
+        key, line, role, bag = key[order], line[order], role[order], bag[order]
+        at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (line[1:] != line[:-1]))))
+        role = np.bitwise_or.reduceat(role, at)  # one line can hold a text at its own and at a probed place
+        key, line, bag = key[at], line[at], bag[at]
+        keep = np.zeros(len(key), bool)
+        for i, j in _pairs(np.cumsum(np.concatenate(([0], key[1:] != key[:-1]))), role, bag):
+            keep[i] = keep[j] = True
+        at = np.flatnonzero(keep)
+        for k in range(0, len(at), FLUSH):
+            p = at[k : k + FLUSH]
+            yield pa.RecordBatch.from_arrays([pa.array(key[p]), pa.array(line[p]), pa.array(role[p].astype(np.int8))], ["key", "line_id", "role"])
 
 
 def _verified(it):
     """Links as they are found; lines that are tied already in this group are not compared again."""
-    rows = [r for b in it for r in zip(*(b.column(c).to_pylist() for c in ("key", "line_id", "role", "line")))]
-    rows.sort()
-    out, s = [], 0
-    while s < len(rows):
-        e = s
-        while e < len(rows) and rows[e][0] == rows[s][0]:
-            e += 1
-        if e - s > 1:
-            role = np.array([r[2] for r in rows[s:e]], np.int64)
-            bag = np.array([sketch(r[3]) for r in rows[s:e]], np.uint64)
-            root = list(range(e - s))
-
-            def top(x, root=root):
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            for ii, jj in _pairs(role, bag):
-                for i, j in zip(ii.tolist(), jj.tolist()):
-                    if (p := top(i)) != (q := top(j)):
-                        x, y = rows[s + i][3], rows[s + j][3]
-                        if within(x, y, edits(min(len(x), len(y)))):
-                            root[max(p, q)] = min(p, q)
-                            out.append((rows[s + i][1], rows[s + j][1]))
-        s = e
-    if out:
-        yield _batch(out, ["a", "b"], [pa.int64()] * 2)
+    for key, line_id, role, line in whole_groups(it, "key", ("line_id", "role", "line"), 20_000):
+        order = np.lexsort((line_id, key))
+        key, line_id, role, line = key[order], line_id[order].tolist(), role[order].astype(np.int64), line[order].tolist()
+        root = list(range(len(key)))
+
+        def top(x, root=root):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out = []
+        for ii, jj in _pairs(np.cumsum(np.concatenate(([0], key[1:] != key[:-1]))), role, sketches(line)):
+            for i, j in zip(ii.tolist(), jj.tolist()):
+                if (p := top(i)) != (q := top(j)) and within(line[i], line[j], edits(min(len(line[i]), len(line[j])))):
+                    root[max(p, q)] = min(p, q)
+                    out.append((line_id[i], line_id[j]))
+        if out:
+            yield _batch(out, ["a", "b"], [pa.int64()] * 2)
 
 
 def _texts(docs_text: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -303,19 +352,19 @@ def _texts(docs_text: DataFrame, wanted: DataFrame) -> DataFrame:
             if out:
                 yield _batch(list(out.items()), ["line_id", "line"], [pa.int64(), pa.string()])
 
-    lines = docs_text.mapInArrow(run, "line_id long, line string")
+    lines = mapped(docs_text, run, "line_id long, line string", ROWS)
     return lines.join(small(wanted, WANTED), "line_id", "left_semi").groupBy("line_id").agg(F.min("line").alias("line"))
 
 
-def _tiled(docs_text: DataFrame, tile: int, share: int) -> DataFrame:
+def _tiled(docs_text: DataFrame, places: DataFrame, tile: int) -> DataFrame:
     """The segment keys; one that very many lines share is dealt as pairs of tiles of its lines.
 
-    Such keys show in a share of the documents. They only set how rows are dealt: each pair of lines still
-    meets in one group.
+    Such keys show in the sampled lines, at half the number. The sample only sets how rows are dealt: each
+    pair of lines still meets in one group.
     """
     keys = _keys(docs_text)
-    some = _keys(docs_text.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0))
-    hot = Written(some.groupBy("key").agg((F.count(F.lit(1)) * share).alias("n")).where(F.col("n") > tile), "hot-keys")
+    some = places.where("keys is not null").select(F.explode("keys").alias("key"))
+    hot = Written(some.groupBy("key").agg((F.count(F.lit(1)) * SHARE).alias("n")).where(F.col("n") > tile / 2), "hot-keys")
     if not hot.df.limit(1).count():
         return keys
     tiles = F.ceil(F.coalesce("n", F.lit(1)) / tile).cast("int")
@@ -327,15 +376,19 @@ def _tiled(docs_text: DataFrame, tile: int, share: int) -> DataFrame:
     return rows.select(key.alias("key"), "line_id", F.col("role").bitwiseOR(side.cast("byte")).alias("role"), "bag")
 
 
-def line_links(docs_text: DataFrame, tile: int = TILE, share: int = SHARE) -> Written:
+def _by_key(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key")
+
+
+def line_links(docs_text: DataFrame, places: DataFrame, tile: int = TILE) -> Written:
     """Links (a, b) between hashes of distinct lines within the edit limit, enough to tie each class."""
     spark = docs_text.sparkSession
-    meeting = Written(_tiled(docs_text, tile, share).repartition("key").mapInArrow(_meeting, "key long, line_id long, role byte"), "meeting")
+    meeting = Written(mapped(_by_key(_tiled(docs_text, places, tile)), _meeting, "key long, line_id long, role byte"), "meeting")
     release(spark)
     wanted = Written(meeting.df.select("line_id").distinct(), "wanted")
     texts = Written(_texts(docs_text, wanted.df), "texts")
-    both = meeting.df.join(texts.df, "line_id").select("key", "line_id", "role", "line").repartition("key")
-    found = Written(both.mapInArrow(_verified, "a long, b long"), "line-links")
+    both = meeting.df.join(texts.df, "line_id").select("key", "line_id", "role", "line")
+    found = Written(mapped(_by_key(both), _verified, "a long, b long"), "line-links")
     for x in (meeting, wanted, texts):
         x.drop()
     release(spark)
@@ -345,10 +398,10 @@ def line_links(docs_text: DataFrame, tile: int = TILE, share: int = SHARE) -> Wr
 def line_classes(keyed: DataFrame) -> DataFrame:
     """keyed: doc_id, key_a, key_b, text. (key_a, key_b, lines): structs (at, class, gone) of lines that take part."""
     places = Written(_occurrences(keyed), "places")
-    links = line_links(keyed.select("text"))
+    links = line_links(keyed.select("text"), places.df)
     roots = Written(components(links.df).select(F.col("node").alias("line_id"), F.col("root")), "roots")
     links.drop()
-    rows = places.df.join(small(roots.df), "line_id", "left").withColumn("class", F.coalesce("root", "line_id")).drop("root")
+    rows = places.df.drop("keys").join(small(roots.df), "line_id", "left").withColumn("class", F.coalesce("root", "line_id")).drop("root")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_a", "key_b", "at")
     several = rows.groupBy("class").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     several = Written(several.select("class", "first"), "several")
@@ -379,7 +432,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def documents_without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` without later lines of a class; a document of which only blanks stay goes too."""
+    """``docs`` without later lines of a class; a document of which only blanks stay goes too.
+
+    A column called ``n_chars`` is set to the new text's length.
+    """
     rows = packed(docs).select("row", "key_a", "key_b", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
     found = packed(docs).join(line_classes(rows.select("doc_id", "key_a", "key_b", "text")), ["key_a", "key_b"], "left")
     text = F.when(F.col("lines").isNull(), F.col("row.text")).otherwise(_kept(F.col("row.text"), F.col("lines")))
