@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.alignment import CLAUSE, SENTENCE, WORD
+
 #: White space that layout may vary (fixed value): space, tab, line feed, carriage return.
 LAYOUT = r"[ \t\n\r]+"
 #: Code points with the property White_Space (fixed value).
 WHITE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Alphanumeric code points: letters, letter-like signs and numbers of every kind.
 ALNUM = r"\p{IsAlphabetic}\p{Nd}\p{Nl}\p{No}"
-#: Marks after which a text may be cut, by tier (fixed values).
-SENTENCE_MARKS, CLAUSE_MARKS = ".!?…;·", ",:"
 
 
 def lines(text: Column) -> Column:
@@ -63,29 +63,39 @@ def closing_symbol(symbol: Column) -> Column:
     return F.translate(F.reverse(symbol), "()[]{}<>", ")(][}{><")
 
 
-def _pieces(text: Column, marks: str | None) -> Column:
-    """The text cut right after each single white space that follows one of the marks (any character, if None)."""
-    before = r"[\s\S]" if marks is None else f"[{marks}]"
-    return F.split(text, rf"(?<={before}[ \t\n\r])(?=[^ \t\n\r])")
+def _pieces(text: Column, marks: str) -> Column:
+    """What stands before and between the cuts: each piece ends with a mark and the white space behind it.
+
+    The piece after the last cut is left out. A space, as a mark, is its own white space.
+    """
+    space = "*" if marks == WORD else "+"
+    return F.regexp_extract_all(text, F.lit(rf"\G[\s\S]*?[{marks}]{WHITE}{space}(?=[^{WHITE[1:-1]}])"), F.lit(0))
+
+
+def cut_count(text: Column, marks: str) -> Column:
+    pieces = _pieces(text, marks)
+    first = F.get(pieces, F.lit(0))
+    return F.size(pieces) - F.when(_blank_before(first, marks), 1).otherwise(0)
 
 
-def cut_count(text: Column, marks: str | None) -> Column:
-    return F.size(_pieces(text, marks)) - 1
+def _blank_before(piece: Column, marks: str) -> Column:
+    """Has a first piece nothing but blanks before its mark? Then there is no cut after it."""
+    return F.coalesce(piece.rlike(rf"^{WHITE}*[{marks}]{WHITE}*$"), F.lit(False))
 
 
-def nearest_cut(text: Column, marks: str | None) -> Column:
+def nearest_cut(text: Column, marks: str) -> Column:
     """Offset of the cut nearest to the middle; of two at equal distance the earlier; null without cuts."""
     half = F.floor(F.length(text) / 2).cast("int")
-    pieces = _pieces(text, marks)
     # the middle travels in the state, or each step would measure the text again
     start = F.struct(F.lit(0).alias("at"), half.alias("half"), F.lit(None).cast("struct<off:int,at:int>").alias("best"))
 
     def step(acc, piece):
         at = acc["at"] + F.length(piece)
-        return F.struct(at.alias("at"), acc["half"].alias("half"), F.least(acc["best"], F.struct(F.abs(at - acc["half"]).alias("off"), at.alias("at"))).alias("best"))
+        found = F.struct(F.abs(at - acc["half"]).alias("off"), at.alias("at"))
+        lands = (acc["at"] > 0) | ~_blank_before(piece, marks)
+        return F.struct(at.alias("at"), acc["half"].alias("half"), F.when(lands, F.least(acc["best"], found)).otherwise(acc["best"]).alias("best"))
 
-    inner = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-    return F.aggregate(inner, start, step)["best"]["at"]
+    return F.aggregate(_pieces(text, marks), start, step)["best"]["at"]
 
 
 def is_url(text: Column) -> Column:

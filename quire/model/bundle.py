@@ -9,7 +9,7 @@ import tarfile
 from collections.abc import Callable
 
 from quire.model.canon import Canonical
-from quire.model.schema import METAS, Catalog, Schema, read_definition
+from quire.model.schema import KEYWORD, Catalog, Schema, declared, defines, read_definition
 from quire.model.markup import parse
 from quire.model.tree import Document
 
@@ -28,13 +28,22 @@ def archive(made: Canonical, name: str, read: Callable[[str], bytes]) -> bytes:
     return gzip.compress(raw.getvalue(), mtime=0)
 
 
-def is_definition(source: str) -> bool:
-    """Does the first content line declare a schema definition, not a document?"""
-    lines = source.removeprefix("﻿").split("\n")
-    first = (lines[1] if lines[0].startswith("#!") and len(lines) > 1 else lines[0]).strip()
-    return first.startswith(("@@@!", "\\\\\\!")) and first[4:].split("@")[0] in METAS
+def is_definition(source: str, catalog: Catalog | None = None) -> bool:
+    """Does the first content line declare a schema definition, not a document?
+
+    It does with this library's own keyword; with another, if that names no schema and the text defines something.
+    """
+    lines = source.removeprefix("\ufeff").split("\n")
+    found = declared((lines[1] if lines[0].startswith("#!") and len(lines) > 1 else lines[0]).strip())
+    if found is None or found[2]:
+        return False
+    if found[1] == KEYWORD:
+        return True
+    catalog = catalog or Catalog()
+    known = found[1] in catalog.library or any(f"{found[1]}{e}" in catalog.texts for e in (".lektos", ".dia"))
+    return not known and defines(source)
 
 
 def check_any(source: str, name: str, catalog: Catalog) -> Document | Schema:
     """The document or the definition that a source holds, checked against its schema."""
-    return read_definition(source, name, catalog, (name,)) if is_definition(source) else parse(source, catalog)
+    return read_definition(source, name, catalog, (name,)) if is_definition(source, catalog) else parse(source, catalog)

@@ -32,7 +32,18 @@ class Canonical:
 
 def canonicalize(text: str, catalog: Catalog, path: str = "document", media: Callable[[str], bytes] | None = None) -> Canonical:
     """The canonical document. ``media`` reads a resource by name; without it names are kept as they are."""
-    doc = load(text, catalog, path, ())
+    return canonicalize_tree(load(text, catalog, path, ()), catalog, media)
+
+
+def composed(doc: Document) -> Document:
+    """A tree that a reader made, as a source would give it: its texts in Unicode's composed form."""
+    for n in walk(doc.blocks):
+        n.text = unicodedata.normalize("NFC", n.text)
+    return doc
+
+
+def canonicalize_tree(doc: Document, catalog: Catalog, media: Callable[[str], bytes] | None = None) -> Canonical:
+    """As ``canonicalize``, of a tree without inclusions; the tree itself is changed."""
     doc.blocks = expand_macros(doc.blocks)
     check_points(doc.blocks)
     schema = catalog.schema(doc.schema)

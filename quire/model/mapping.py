@@ -7,14 +7,15 @@ what follows it. Tables are checked before any document is touched, and routes o
 from __future__ import annotations
 
 from collections import Counter, deque
+from collections.abc import Iterator
 from collections.abc import Mapping as Named
 from copy import deepcopy
 from dataclasses import dataclass, field, replace
 
 from quire.model.canon import check_references, number_blocks
 from quire.model.names import valid_class
-from quire.model.schema import META, METAS, REQUIRED, UNSUPPORTED, Catalog, Element, Schema
-from quire.model.tree import Document, DocumentError, Node, walk
+from quire.model.schema import KEYWORD, REQUIRED, UNSUPPORTED, Catalog, Element, Schema, declared
+from quire.model.tree import Document, DocumentError, Node, has_blocks, walk
 
 RENAME, DROP, UNWRAP, EXTRACT = "rename", "drop", "unwrap", "extract"
 #: What opens a region, by spelling: with its heading as head, as a wrapper without, dropped, or relabelled.
@@ -81,8 +82,9 @@ def _fits(a: Element, b: Element, both_ways: bool) -> bool:
 def read_mapping(text: str, catalog: Catalog, reverse: bool = False) -> SchemaMap:
     """Rules: ``@:: a b .c`` rename, ``@<< a`` unwrap, ``@<# a h .c`` extract, ``@-- a`` drop, and regions."""
     lines = [x.strip() for x in text.split("\n") if x.strip() and not x.strip().startswith("@@/")]
-    both = bool(lines) and lines[0].startswith(tuple(f"@@@!{m}-iso" for m in METAS))
-    if len(lines) < 2 or not (both or lines[0].startswith(tuple(f"@@@!{m}-hom" for m in METAS))):
+    kind = (declared(lines[0]) or ("", "", ""))[2] if lines else ""
+    both = kind == "-iso"
+    if len(lines) < 2 or kind not in ("-hom", "-iso"):
         raise _bad("no declaration")
     left, arrow, right = lines[1].removeprefix("@=").partition("<=>" if both else "=>")
     if not arrow or (reverse and not both):
@@ -175,11 +177,19 @@ class Atlas:
         self.routes: dict[tuple[str, str], list[SchemaMap]] = {}
 
     def direct(self, a: str, b: str) -> SchemaMap | None:
-        """A file a to b, one that goes both ways, or the embedding that the lineage implies."""
+        """A file a to b, one that goes both ways, a built-in mapping, or the embedding that the lineage implies."""
+        from quire.model import maps
+
         for name, reverse in ((f"{a}.{b}.hom", False), (f"{a}.{b}.iso", False), (f"{b}.{a}.iso", True)):
             if name in self.files:
                 return read_mapping(self.files[name], self.catalog, reverse)
-        return embedding(self.catalog.schema(a), self.catalog.schema(b))
+        return maps.built_in(a, b, self.catalog) or embedding(self.catalog.schema(a), self.catalog.schema(b))
+
+    def known_route(self, a: str, b: str) -> list[SchemaMap]:
+        """As ``route``, found once."""
+        if (a, b) not in self.routes:
+            self.routes[a, b] = self.route(a, b)
+        return self.routes[a, b]
 
     def names(self) -> list[str]:
         listed = {p for f in self.files for p in f.rsplit(".", 1)[0].split(".")}
@@ -241,7 +251,7 @@ def apply_route(doc: Document, maps: list[SchemaMap], catalog: Catalog, fuse: bo
 def apply(doc: Document, m: SchemaMap, catalog: Catalog) -> Document:
     if doc.schema != m.source.id:
         raise _bad(f"the document is `{doc.schema}`, the mapping from `{m.source.id}`")
-    missing = {n.symbol for n in walk(doc.blocks) if n.symbol and n.symbol not in m.rules and not m.region(n.symbol)}
+    missing = {n.symbol for n in _own(doc.blocks, doc.schema) if n.symbol and n.symbol not in m.rules and not m.region(n.symbol)}
     if missing:
         raise DocumentError("MorphUnmapped", ", ".join(sorted(missing)))
     out = Document(m.target.id, blocks=_blocks(deepcopy(doc.blocks), m))
@@ -250,6 +260,18 @@ def apply(doc: Document, m: SchemaMap, catalog: Catalog) -> Document:
     return out
 
 
+def _own(blocks: list[Node], schema: str) -> Iterator[Node]:
+    """All nodes but those of embedded parts that answer to another schema."""
+    for b in blocks:
+        if b.kind == "embed" and b.text != schema:
+            continue
+        if has_blocks(b):
+            yield from walk([replace(b, body=[])])
+            yield from _own(b.body, schema)
+        else:
+            yield from walk([b])
+
+
 def _flips(m: SchemaMap, symbol: str) -> bool:
     e = m.target.elements.get(symbol)
     return e.flips if e is not None else True
@@ -343,11 +365,11 @@ def _run(seq: list[Node], m: SchemaMap) -> list[Node]:
     return out
 
 
-def write_mapping(m: SchemaMap) -> str:
+def write_mapping(m: SchemaMap, keyword: str = KEYWORD) -> str:
     """The normal form: regions by rank, then rules by symbol, without those that change nothing."""
     marks = {v: k for k, v in REGIONS.items()}
     notes = lambda classes: "".join(f" .{c}" for c in classes)
-    lines = [f"@@@!{META}-hom", f"@={m.source.id}=>{m.target.id}", ""]
+    lines = [f"@@@!{keyword}-hom", f"@={m.source.id}=>{m.target.id}", ""]
     lines += [f"{marks[r.kind]} {r.trigger}{' ' + r.to if r.to else ''}{notes(r.classes)}" for r in sorted(m.regions, key=lambda r: r.rank)]
     for s, r in sorted(m.rules.items(), key=lambda x: x[0].encode()):
         if r == Rule(RENAME, s):

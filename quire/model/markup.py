@@ -11,7 +11,7 @@ import re
 from dataclasses import dataclass
 
 from quire.model.names import ALIAS, SIGIL, alphanumeric, symbolic, valid_anchor, valid_class, valid_point
-from quire.model.schema import METAS, OPTIONAL, REQUIRED, UNSUPPORTED, Catalog, Element, Schema
+from quire.model.schema import KEYWORD, OPTIONAL, REQUIRED, UNSUPPORTED, Catalog, Element, Schema
 from quire.model.tree import AUTO, Document, DocumentError, Node
 
 DEPTH = 256
@@ -59,7 +59,7 @@ class Reader:
         name, mark, version = line[4:].rstrip().partition("@")
         if not re.fullmatch(r"[\w-]+", name) or (mark and not re.fullmatch(r"\d+(\.\d+)?", version)):
             self.fail("InvalidDeclaration", line)
-        if name in METAS:
+        if name == KEYWORD:
             self.fail("InvalidDeclaration", "a definition is not a document")
         schema = self.catalog.schema(name)
         self.at += 1

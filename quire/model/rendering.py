@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from quire.model.names import ALIAS, SIGIL, valid_class
-from quire.model.schema import METAS, Catalog, Schema
+from quire.model.schema import Catalog, Schema, declared
 from quire.model.tree import Document, DocumentError, Node
 
 #: Slots of node values, those escaped on output first; and structural patterns (fixed values).
@@ -81,9 +81,10 @@ def _bad(message: str) -> DocumentError:
 def read_rules(text: str, schema: Schema) -> RuleTable:
     lines = [x.removesuffix("\r") for x in text.split("\n")]
     at = 1 if lines[0].startswith("#!") else 0
-    sig = next((s for s in (SIGIL, ALIAS) if lines[at].strip() in [f"{s * 3}!{m}-exo" for m in METAS]), None)
-    if sig is None:
+    found = declared(lines[at].strip()) if at < len(lines) else None
+    if found is None or found[2] != "-exo":
         raise _bad("missing declaration")
+    sig = found[0]
     out = RuleTable("", "")
     at += 1
 
@@ -246,8 +247,19 @@ def hang(value: str, prefix: str) -> str:
     return "\n".join([first, *[prefix + x if x else prefix.rstrip() for x in rest]]) + end
 
 
+def overlaid(base: RuleTable, over: RuleTable) -> RuleTable:
+    """A table whose rules, escapes and files win over those of another."""
+    out = RuleTable(base.source, base.target, base.escape | over.escape, {k: list(v) for k, v in base.rules.items()}, base.beside | over.beside, base.assets | over.assets)
+    for key, rules in over.rules.items():
+        _overlay(out, key, rules)
+    return out
+
+
 def inherit(tables: Mapping[str, RuleTable], schema: Schema, catalog: Catalog, target: str) -> RuleTable:
-    """A schema's own rules over those of its parents, renamed to its symbols; later parents win over earlier."""
+    """A schema's own rules over those of its parents, renamed to its symbols; later parents win over earlier.
+
+    ``tables`` gives the own rules of a name ``schema.target``.
+    """
     out = RuleTable(schema.id, target)
     for parent, kind, words in schema.lineage:
         theirs = inherit(tables, catalog.schema(parent), catalog, target)
@@ -263,13 +275,8 @@ def inherit(tables: Mapping[str, RuleTable], schema: Schema, catalog: Catalog, t
                 continue
             key = (k, new.get(a, a) if on_symbol else a, new[b] if k == "within" else b)
             _overlay(out, key, rules)
-    if (own := tables.get(f"{schema.id}.{target}")) is not None:
-        out.escape |= own.escape
-        out.beside |= own.beside
-        out.assets |= own.assets
-        for key, rules in own.rules.items():
-            _overlay(out, key, rules)
-    return out
+    own = tables.get(f"{schema.id}.{target}")
+    return out if own is None else overlaid(out, own)
 
 
 def _overlay(out: RuleTable, key: Key, rules: list[Rule]) -> None:

@@ -7,16 +7,29 @@ or ``<id>.dia`` of the catalog first, then the built-in library.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 
 from quire.model.names import ALIAS, SIGIL, symbolic, valid_name
 from quire.model.tree import DocumentError, closing_symbol
 
 REQUIRED, OPTIONAL, UNSUPPORTED = "required", "optional", "unsupported"
-#: The keyword that declares a definition or rule file (fixed value of the format), and this library's own.
-META = "atrep"
-METAS = (META, "quire")
+#: The keyword that files written here declare. Files read may declare any other: what they are shows by their suffix
+#: (-hom, -iso, -exo) or by what they hold.
+KEYWORD = "quire"
+_DECLARATION = re.compile(r"(@@@|\\\\\\)!([^\W_]+)(-[a-z]+)?(?:@\S*)?\s*")
+_DEFINES = re.compile(r"(?m)^(?:[@\\](?:=== |==% )|(?:@@|\\\\)::)")
+
+
+def declared(line: str) -> tuple[str, str, str] | None:
+    """(sigil, keyword, suffix) of the line that declares a definition or rule file."""
+    m = _DECLARATION.fullmatch(line)
+    return m and (m[1][0], m[2], m[3] or "")
+
+
+def defines(source: str) -> bool:
+    """Does a text hold elements, vocabularies or inheritance?"""
+    return bool(_DEFINES.search(source))
 
 
 @dataclass(frozen=True)
@@ -75,13 +88,13 @@ class Schema:
 
 
 class Catalog:
-    """Named texts, with schemas resolved from them."""
+    """Named texts, with schemas resolved from them; ``library`` makes those that no text defines."""
 
-    def __init__(self, texts: Mapping[str, str] | None = None, library: Mapping[str, str] | None = None):
+    def __init__(self, texts: Mapping[str, str] | None = None, library: Mapping[str, Callable[[Catalog], Schema]] | None = None):
         from quire.model import library as built_in
 
         self.texts = dict(texts or {})
-        self.library = built_in.DEFINITIONS if library is None else library
+        self.library = built_in.SCHEMAS if library is None else library
         self._known: dict[str, Schema] = {}
 
     def schema(self, name: str, stack: tuple[str, ...] = ()) -> Schema:
@@ -89,10 +102,13 @@ class Catalog:
         if name in stack:
             raise DocumentError("InvalidLektos", "inheritance cycle: " + " > ".join((*stack, name)))
         if name not in self._known:
-            source = next((self.texts[f"{name}{e}"] for e in (".lektos", ".dia") if f"{name}{e}" in self.texts), self.library.get(name))
-            if source is None:
+            source = next((self.texts[f"{name}{e}"] for e in (".lektos", ".dia") if f"{name}{e}" in self.texts), None)
+            if source is not None:
+                self._known[name] = read_definition(source, name, self, (*stack, name))
+            elif name in self.library:
+                self._known[name] = self.library[name](self)
+            else:
                 raise DocumentError("UnresolvableDialektos", name)
-            self._known[name] = read_definition(source, name, self, (*stack, name))
         return self._known[name]
 
 
@@ -121,11 +137,11 @@ def read_definition(source: str, name: str, catalog: Catalog, stack: tuple[str,
     if src.more() and src.peek().startswith("#!"):
         src.next()
     opening = src.next() if src.more() else ""
-    sig = next((s for s in (SIGIL, ALIAS) if opening.startswith(s * 3 + "!")), None)
-    if sig is None:
+    if not opening.startswith((SIGIL * 3 + "!", ALIAS * 3 + "!")):
         raise DocumentError("MissingDeclaration", "", src.at, 1)
-    if opening[4:].split("@")[0].strip() not in METAS:
-        raise _bad(f"a definition declares `{META}`, not `{opening[4:]}`", src.at)
+    if (found := declared(opening)) is None or found[2]:
+        raise _bad(f"`{opening[4:]}` declares no definition", src.at)
+    sig = found[0]
     out = Schema(name)
     while src.more():
         line = src.next()
@@ -180,16 +196,22 @@ def _inherit(out: Schema, spec: str, catalog: Catalog, stack: tuple[str, ...], l
             raise _bad(f"expected a list of symbols, found `{rest}`", line)
         listed = rest[1:-1].split()
     if kind == "import":
-        parts = rest.split()
-        if not 1 <= len(parts) <= 2:
+        listed = rest.split()
+        if not 1 <= len(listed) <= 2:
             raise _bad(f"malformed import `{rest}`", line)
-        if len(parts) == 2 and not all(symbolic(c) and c not in "{}" for c in parts[1]):
-            raise _bad(f"`{parts[1]}` cannot be a symbol", line)
-        brought = {parts[0]: parts[-1]}
+        if len(listed) == 2 and not all(symbolic(c) and c not in "{}" for c in listed[1]):
+            raise _bad(f"`{listed[1]}` cannot be a symbol", line)
+    bring(out, parent, kind, tuple(listed), line)
+
+
+def bring(out: Schema, parent: Schema, kind: str = "full", words: tuple[str, ...] = (), line: int = 0) -> None:
+    """Takes over a parent's elements (kind: all, all but some, some, or one under a new symbol) with their names and terms."""
+    if kind == "import":
+        brought = {words[0]: words[-1]}
     elif kind == "list":
-        brought = {s: s for s in listed}
+        brought = {s: s for s in words}
     else:
-        brought = {s: s for s in parent.elements if s not in listed}
+        brought = {s: s for s in parent.elements if s not in words}
     for old, new in brought.items():
         if old not in parent.elements:
             raise DocumentError("UndefinedSim", old, line, 1)
@@ -205,7 +227,7 @@ def _inherit(out: Schema, spec: str, catalog: Catalog, stack: tuple[str, ...], l
             mine = out.vocabularies.setdefault(v, {})
             for t, aliases in terms.items():
                 mine.setdefault(t, set()).update(aliases)
-    out.lineage.append((parent_name, kind, tuple(listed) or tuple(rest.split())))
+    out.lineage.append((parent.id, kind, words))
 
 
 def _vocabulary(out: Schema, name: str, src: _Lines, sig: str) -> None:
@@ -353,9 +375,9 @@ def read_localized(source: str) -> tuple[str, str, dict[str, str]]:
     return schema.strip(), language.strip(), names
 
 
-def write_definition(schema: Schema) -> str:
+def write_definition(schema: Schema, keyword: str = KEYWORD) -> str:
     """The canonical definition: all elements, inherited ones included, by name and then symbol."""
-    out = [f"{SIGIL * 3}!{META}\n"]
+    out = [f"{SIGIL * 3}!{keyword}\n"]
     for e in sorted(schema.elements.values(), key=lambda e: (e.name.encode(), e.symbol.encode())):
         out.append("\n".join(_shown(e)) + "\n")
     for name in sorted(schema.vocabularies):

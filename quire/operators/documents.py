@@ -14,16 +14,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from quire.model import slicing
-from quire.model.canon import canonicalize
+from quire.model.canon import Canonical, canonicalize, canonicalize_tree, composed
+from quire.model.choosing import Book
 from quire.model.essence import essence
 from quire.model.mapping import Atlas, apply_route
 from quire.model.markup import parse
-from quire.model.rendering import inherit, read_rules, render
+from quire.model.rendering import render
 from quire.model.schema import Catalog
 from quire.model.tree import NODE_SCHEMA, Document, DocumentError, encode
-from quire.model.views import outline
+from quire.model.views import outline, spelled
 from quire.model.writer import write
-from quire.sources import corpora, html, lightweight, markdown, scripture
+from quire.sources import corpora, dictionary, docbook, ebook, html, lightweight, markdown, office, scripture, tei, treebanks
 
 #: Readers by file extension.
 READERS: dict[str, Callable[[str], Document]] = {
@@ -31,19 +32,50 @@ READERS: dict[str, Callable[[str], Document]] = {
     "markdown": markdown.read,
     "html": html.read,
     "htm": html.read,
+    "rst": lightweight.read_rst,
+    "org": lightweight.read_org,
+    "dj": lightweight.read_djot,
+    "djot": lightweight.read_djot,
+    "xml": tei.read_xml,
+    "tei": tei.read_tei,
+    "dbk": docbook.read_docbook,
+    "docbook": docbook.read_docbook,
+    "jats": docbook.read_jats,
     "bib": corpora.read_bibtex,
     "osis": scripture.read_osis,
     "usfm": scripture.read_usfm,
     "sfm": scripture.read_usfm,
-    "org": lightweight.read_org,
-    "rst": lightweight.read_rst,
-    "dj": lightweight.read_djot,
-    "djot": lightweight.read_djot,
+    "usx": scripture.read_usx,
+    "tanzil": scripture.read_numbered,
+    "dsl": dictionary.read_dsl,
+    "fb2": ebook.read_fb2,
+    "rnc": treebanks.read_rnc,
+    "opencorpora": treebanks.read_opencorpora,
+    "oc": treebanks.read_opencorpora,
+    "proiel": treebanks.read_proiel,
+    "conllu": treebanks.read_conllu,
+    "conll": treebanks.read_conllu,
+}
+#: Readers of bytes.
+BINARY: dict[str, Callable[[bytes], Document]] = {"docx": office.read_docx, "dsl": dictionary.read_dsl, "dsl.dz": dictionary.read_dsl}
+#: Formats that are written by code of their own.
+WRITERS: dict[str, Callable[[Document], str | bytes]] = {
+    "fb2": ebook.write_fb2,
+    "docx": office.write_docx,
+    **{name: (lambda doc, name=name: treebanks.export(doc, name)) for name in treebanks.WRITERS},
+    "atd": write,
+    "atk": write,
 }
 NATIVE = ("atd", "atk")
 
 
-def read_document(text: str, extension: str, catalog: Catalog) -> Document:
+def read_document(text: str | bytes, extension: str, catalog: Catalog) -> Document:
+    """A file's text, or its bytes: those of a text format are UTF-8."""
+    if extension in BINARY and not (extension in READERS and isinstance(text, str)):
+        return BINARY[extension](text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass"))
+    if isinstance(text, bytes):
+        text = text.decode("utf-8-sig")
+    text = text.removeprefix("\ufeff")
     if extension in NATIVE:
         return parse(text, catalog)
     if extension not in READERS:
@@ -59,12 +91,13 @@ def _mapped(df: DataFrame, columns: list[str], schema: str, f: Callable[..., Ite
         for b in it:
             out: list[tuple] = []
             seen = 0
-            for row in zip(*(b.column(c).to_pylist() for c in columns)):
-                out.extend(f(*row))
-                seen += sum(len(x) for x in row if isinstance(x, str))
-                if seen > size:
-                    yield from batch(out)
-                    out, seen = [], 0
+            for at in range(0, b.num_rows, 256):
+                for row in zip(*(b.slice(at, 256).column(c).to_pylist() for c in columns)):
+                    out.extend(f(*row))
+                    seen += sum(len(x) for x in row if isinstance(x, (str, bytes)))
+                    if seen > size:
+                        yield from batch(out)
+                        out, seen = [], 0
             yield from batch(out)
 
     def batch(rows):
@@ -74,32 +107,56 @@ def _mapped(df: DataFrame, columns: list[str], schema: str, f: Callable[..., Ite
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def nodes(files: DataFrame, texts: Mapping[str, str] | None = None) -> DataFrame:
-    """files: doc_id, extension, text. The interval-encoded node table of those that can be read."""
-    texts = dict(texts or {})
-
-    def rows(doc_id, extension, text):
-        try:
-            yield from encode(doc_id, read_document(text or "", extension, _atlas(texts, {}).catalog))
-        except DocumentError:
-            return
+#: What an unreadable file raises besides typed errors: numbers and nestings beyond what can be held.
+_UNREADABLE = (ValueError, RecursionError, OverflowError)
+_STATUS = "doc_id long, status string, error_kind string, error string, line int, col int"
+_FILE = ["doc_id", "extension", "text"]
 
-    return _mapped(files, ["doc_id", "extension", "text"], NODE_SCHEMA, rows)
 
-
-_STATUS = "doc_id long, status string, error_kind string, error string, line int, col int"
+def _told(e: Exception) -> tuple:
+    """(kind, message, line, column) of an error."""
+    if isinstance(e, DocumentError):
+        return e.kind, e.message, e.line or None, e.col or None
+    return "Syntax", f"{type(e).__name__}: {str(e)[:200]}", None, None
 
 
 def _guarded(f: Callable[..., tuple], empty: tuple):
     def rows(doc_id, extension, text):
         try:
             yield (doc_id, "ok", None, None, None, None, *f(text or "", extension))
-        except DocumentError as e:
-            yield (doc_id, "error", e.kind, e.message, e.line or None, e.col or None, *empty)
+        except (DocumentError, *_UNREADABLE) as e:
+            yield (doc_id, "error", *_told(e), *empty)
+
+    return rows
+
+
+def _several(f: Callable[..., Iterator[tuple]], width: int):
+    """Rows (status, kind, message, ...) of f; of a file that cannot be read one row with its error."""
+
+    def rows(doc_id, *args):
+        try:
+            found = [(doc_id, "ok", None, None, *r) for r in f(doc_id, *args)]
+        except (DocumentError, *_UNREADABLE) as e:
+            found = [(doc_id, "error", *_told(e)[:2], *[None] * width)]
+        return found
 
     return rows
 
 
+_SEVERAL = "doc_id long, status string, error_kind string, error string, "
+
+
+def nodes(files: DataFrame, texts: Mapping[str, str] | None = None) -> DataFrame:
+    """files: doc_id, extension, text. The interval-encoded node table, with an error row for each file that fails."""
+    texts = dict(texts or {})
+
+    def rows(doc_id, extension, text):
+        return (r[1:] for r in encode(doc_id, read_document(text or "", extension, _atlas(texts, {}).catalog)))
+
+    columns = NODE_SCHEMA.partition(", ")[2]
+    return _mapped(files, _FILE, _SEVERAL + columns, _several(rows, len(_parse_datatype_string(columns))))
+
+
 def check(files: DataFrame, texts: Mapping[str, str] | None = None) -> DataFrame:
     """(doc_id, status, error...) of reading each file."""
     texts = dict(texts or {})
@@ -108,18 +165,25 @@ def check(files: DataFrame, texts: Mapping[str, str] | None = None) -> DataFrame
         read_document(text, extension, _atlas(texts, {}).catalog)
         return ()
 
-    return _mapped(files, ["doc_id", "extension", "text"], _STATUS, _guarded(one, ()))
+    return _mapped(files, _FILE, _STATUS, _guarded(one, ()))
 
 
 def to_native(files: DataFrame, texts: Mapping[str, str] | None = None) -> DataFrame:
     """Each file as native source text."""
     texts = dict(texts or {})
     one = lambda text, extension: (write(read_document(text, extension, _atlas(texts, {}).catalog)),)
-    return _mapped(files, ["doc_id", "extension", "text"], _STATUS + ", native string", _guarded(one, (None,)))
+    return _mapped(files, _FILE, _STATUS + ", native string", _guarded(one, (None,)))
+
+
+def _canonical(text: str, extension: str, catalog: Catalog) -> Canonical:
+    """Native source is parsed with its inclusions; what another reader gives is brought to canonical form as it is."""
+    if extension in NATIVE:
+        return canonicalize(text.decode("utf-8-sig") if isinstance(text, bytes) else text, catalog)
+    return canonicalize_tree(composed(read_document(text, extension, catalog)), catalog)
 
 
 def canonical(files: DataFrame, texts: Mapping[str, str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Canonical text and content id of each file; other formats are read into native source first.
+    """Canonical text and content id of each file.
 
     keep: further columns that pass through, each as its name and type.
     """
@@ -127,50 +191,69 @@ def canonical(files: DataFrame, texts: Mapping[str, str] | None = None, keep: tu
 
     def one(text, extension):
         catalog = _atlas(texts, {}).catalog
-        source = text if extension in NATIVE else write(read_document(text, extension, catalog))
-        made = canonicalize(source, catalog)
+        made = _canonical(text, extension, catalog)
         return (made.text, essence(made.document, catalog)[1])
 
     rows, schema = _guarded(one, (None, None)), _STATUS + ", canonical string, content_id string"
     if not keep:
-        return _mapped(files, ["doc_id", "extension", "text"], schema, rows)
+        return _mapped(files, _FILE, schema, rows)
     kept = lambda doc_id, extension, text, *rest: ((*r, *rest) for r in rows(doc_id, extension, text))
-    return _mapped(files, ["doc_id", "extension", "text", *[k.split()[0] for k in keep]], ", ".join([schema, *keep]), kept)
+    return _mapped(files, [*_FILE, *[k.split()[0] for k in keep]], ", ".join([schema, *keep]), kept)
+
+
+def canonical_nodes(files: DataFrame, texts: Mapping[str, str] | None = None) -> DataFrame:
+    """The node table of each file's canonical form."""
+    texts = dict(texts or {})
+
+    def rows(doc_id, extension, text):
+        return (r[1:] for r in encode(doc_id, _canonical(text or "", extension, _atlas(texts, {}).catalog).document))
+
+    columns = NODE_SCHEMA.partition(", ")[2]
+    return _mapped(files, _FILE, _SEVERAL + columns, _several(rows, len(_parse_datatype_string(columns))))
 
 
 def outlines(files: DataFrame, texts: Mapping[str, str] | None = None) -> DataFrame:
-    """(doc_id, kind, symbol, name, depth, start, end, head, anchor, classes) of native sources' blocks."""
+    """(doc_id, status..., kind, symbol, name, depth, start, end, head, anchor, classes) of native sources' blocks."""
     texts = dict(texts or {})
 
     def rows(doc_id, extension, text):
         catalog = _atlas(texts, {}).catalog
-        try:
-            doc = read_document(text or "", extension, catalog)
-            for x in outline(doc, catalog.schema(doc.schema)):
-                yield (doc_id, *x.values())
-        except DocumentError:
-            return
+        doc = read_document(text or "", extension, catalog)
+        return (tuple(x.values()) for x in outline(doc, catalog.schema(doc.schema)))
+
+    columns = "kind string, symbol string, name string, depth int, start int, end int, head string, anchor string, classes array<string>"
+    return _mapped(files, _FILE, _SEVERAL + columns, _several(rows, 9))
+
+
+def respelled(files: DataFrame, language: str | None = None, texts: Mapping[str, str] | None = None) -> DataFrame:
+    """Each file as native source with its elements spelled out by name, in a language where names are localized."""
+    texts = dict(texts or {})
 
-    schema = "doc_id long, kind string, symbol string, name string, depth int, start int, end int, head string, anchor string, classes array<string>"
-    return _mapped(files, ["doc_id", "extension", "text"], schema, rows)
+    def one(text, extension):
+        catalog = _atlas(texts, {}).catalog
+        doc = read_document(text, extension, catalog)
+        return (spelled(doc, catalog.schema(doc.schema), language),)
+
+    return _mapped(files, _FILE, _STATUS + ", spelled string", _guarded(one, (None,)))
 
 
 def slices(files: DataFrame, scheme: str, texts: Mapping[str, str] | None = None) -> DataFrame:
-    """files: doc_id (the work), witness, extension, text. (work, witness, pos, coord, text) for ``witnesses``.
+    """files: doc_id (the work), witness, extension, text. (work, witness, pos, coord, text, error) for ``witnesses``.
 
-    The text of a slice is its words; what stands before the first coordinate has none.
+    The text of a slice is its words; what stands before the first coordinate has none. A file that cannot be read
+    is one row with its error and no place.
     """
     texts = dict(texts or {})
 
     def rows(doc_id, witness, extension, text):
         try:
             doc = read_document(text or "", extension, _atlas(texts, {}).catalog)
-        except DocumentError:
-            return
-        for k, s in enumerate(slicing.slices(doc.blocks, scheme)):
-            yield (doc_id, witness, k, None if s.point is None else s.point.text, " ".join(slicing.words(s.nodes)))
+            found = [(doc_id, witness, k, None if s.point is None else s.point.text, " ".join(slicing.words(s.nodes)), None) for k, s in enumerate(slicing.slices(doc.blocks, scheme))]
+        except (DocumentError, *_UNREADABLE) as e:
+            found = [(doc_id, witness, None, None, None, ": ".join(_told(e)[:2]))]
+        return found
 
-    return _mapped(files, ["doc_id", "witness", "extension", "text"], "work long, witness string, pos int, coord string, text string", rows)
+    return _mapped(files, ["doc_id", "witness", "extension", "text"], "work long, witness string, pos int, coord string, text string, error string", rows)
 
 
 def translate(files: DataFrame, target: str, texts: Mapping[str, str] | None = None, maps: Mapping[str, str] | None = None) -> DataFrame:
@@ -182,14 +265,8 @@ def translate(files: DataFrame, target: str, texts: Mapping[str, str] | None = N
 
 def _routed(text: str, extension: str, target: str, texts: dict, maps: dict) -> tuple[Document, Catalog]:
     atlas = _atlas(texts, maps)
-    source = text if extension in NATIVE else write(read_document(text, extension, atlas.catalog))
-    doc = canonicalize(source, atlas.catalog).document
-    if doc.schema == target:
-        return doc, atlas.catalog
-    key = (doc.schema, target)
-    if key not in atlas.routes:
-        atlas.routes[key] = atlas.route(*key)
-    return apply_route(doc, atlas.routes[key], atlas.catalog), atlas.catalog
+    doc = _canonical(text, extension, atlas.catalog).document
+    return (doc if doc.schema == target else apply_route(doc, atlas.known_route(doc.schema, target), atlas.catalog)), atlas.catalog
 
 
 _ATLASES: dict[tuple, Atlas] = {}
@@ -204,16 +281,64 @@ def _atlas(texts: dict, maps: dict) -> Atlas:
     return _ATLASES[key]
 
 
-def export(files: DataFrame, schema: str, target: str, rules: Mapping[str, str], texts: Mapping[str, str] | None = None, maps: Mapping[str, str] | None = None) -> DataFrame:
-    """Each file carried to ``schema`` and rendered by the rule tables ``<schema>.<target>``."""
-    texts, maps, rules = dict(texts or {}), dict(maps or {}), dict(rules)
+_BOOKS: dict[tuple, Book] = {}
+
+
+def _book(rules: dict, atlas: Atlas) -> Book:
+    key = (id(atlas), tuple(sorted(rules.items())))
+    if key not in _BOOKS:
+        _BOOKS.clear()
+        _BOOKS[key] = Book(atlas.catalog, rules)
+    return _BOOKS[key]
+
+
+def _exported(text, extension: str, schema: str | None, target: str, variant: str | None, texts: dict, maps: dict, rules: dict) -> tuple[str, list[tuple]]:
+    atlas = _atlas(texts, maps)
+    book = _book(rules, atlas)
+    if schema is None:
+        doc = _canonical(text, extension, atlas.catalog).document
+        route, table = book.choose(atlas, doc.schema, target, variant)
+        doc = apply_route(doc, route, atlas.catalog) if route else doc
+    else:
+        doc, _ = _routed(text, extension, schema, texts, maps)
+        table = book.table(schema, target, variant)
+    return render(doc, table, book.table)
+
+
+def export(
+    files: DataFrame,
+    schema: str | None,
+    target: str,
+    rules: Mapping[str, str] | None = None,
+    texts: Mapping[str, str] | None = None,
+    maps: Mapping[str, str] | None = None,
+    variant: str | None = None,
+) -> DataFrame:
+    """Each file rendered for a target by rule tables: a caller's (``schema.target``) before the built-in ones.
+
+    It is carried to ``schema`` first; without one, to the nearest schema that can be written so.
+    """
+    texts, maps, rules = dict(texts or {}), dict(maps or {}), dict(rules or {})
 
     def one(text, extension):
-        doc, catalog = _routed(text, extension, schema, texts, maps)
-        tables = {name: read_rules(body, catalog.schema(name.split(".")[0])) for name, body in rules.items()}
-        made = lambda a, b: inherit(tables, catalog.schema(a), catalog, b)
-        body, beside = render(doc, made(schema, target), made)
+        body, beside = _exported(text, extension, schema, target, variant, texts, maps, rules)
         return body, [{"schema": a, "target": b, "text": t} for a, b, t in beside]
 
     more = ", rendered string, beside array<struct<schema: string, target: string, text: string>>"
-    return _mapped(files, ["doc_id", "extension", "text"], _STATUS + more, _guarded(one, (None, None)))
+    return _mapped(files, _FILE, _STATUS + more, _guarded(one, (None, None)))
+
+
+def write_files(files: DataFrame, target: str, texts: Mapping[str, str] | None = None, maps: Mapping[str, str] | None = None, rules: Mapping[str, str] | None = None) -> DataFrame:
+    """Each file as the bytes of another format (``content binary``): e-books, Word and annotated corpora are written by
+    their own writers, anything else by rule tables.
+    """
+    texts, maps, rules = dict(texts or {}), dict(maps or {}), dict(rules or {})
+
+    def one(text, extension):
+        if target in WRITERS:
+            made = WRITERS[target](_canonical(text, extension, _atlas(texts, maps).catalog).document)
+        else:
+            made = _exported(text, extension, None, target, None, texts, maps, rules)[0]
+        return (made if isinstance(made, bytes) else made.encode("utf-8", "surrogatepass"),)
+
+    return _mapped(files, _FILE, _STATUS + ", content binary", _guarded(one, (None,)))

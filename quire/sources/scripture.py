@@ -498,3 +498,162 @@ def usfm_note(body: str) -> list[Node]:
         elif told:
             out += ([Node("text", text=" ")] if out else []) + usfm_inlines(told)
     return out
+
+
+# USX: the same books as XML.
+
+#: Styles of a note's parts that are running text (fixed values).
+NOTE_TEXT = ("ft", "xt", "fk", "fq", "fqa", "fl", "xq", "w", "wh")
+#: Words in lists and glosses, whose text stays.
+WORDS = ("w", "wh", "wg", "wa", "rb")
+
+
+class _Usx:
+    def fail(self, message: str):
+        raise DocumentError("Syntax", f"usx import: {message}")
+
+    def style(self, e) -> str:
+        if e.get("style") is None:
+            self.fail(f"<{e.tag}> without a style")
+        return e.get("style")
+
+    def run(self, e, inside: str = "") -> list[Node]:
+        """Text, verses, phrases, notes and references; a quotation runs from its opening to its closing mark."""
+        out: list[Node] = []
+        quoted: tuple[int, str] | None = None
+
+        def end() -> None:
+            nonlocal quoted
+            if quoted is not None:
+                at, who = quoted
+                if body := trim(out[at:]):
+                    out[at:] = [_span(",", "said", [*([mark(PERSON, who)] if who else []), *body])]
+                else:
+                    del out[at:]
+                quoted = None
+
+        def spaced(told: str = "") -> None:
+            if out and out[-1].kind == "void" and not told.startswith(" "):
+                out.append(Node("text", text=" "))
+
+        for k in e.kids:
+            if isinstance(k, str):
+                told = _collapse(k)
+                spaced(told)
+                out.append(Node("text", text=told))
+            elif k.tag == "verse":
+                if k.get("number"):
+                    if out and not (out[-1].kind == "text" and out[-1].text[-1:].isspace()):
+                        out.append(Node("text", text=" "))
+                    out.append(Node("void", "|", text=k.get("number")))
+            elif k.tag == "char":
+                style, body = self.style(k), self.run(k, inside)
+                if style in WORDS or (inside and style in NOTE_TEXT):
+                    out += body
+                elif body := trim(body):
+                    spaced()
+                    out.append(_span(",", style, ([mark(PERSON, "Jesus")] if style == "wj" else []) + body))
+            elif k.tag == "note":
+                if k.kids:
+                    kind = {"x": "x", "ex": "x", "fe": "fe"}.get(k.get("style") or "f", "f")
+                    out.append(_span("^", kind, self.run(k, kind)))
+            elif k.tag in ("ref", "optbreak"):
+                out += [Node("text", text=" ")] if k.tag == "optbreak" else []
+                body = self.run(k, inside)
+                out += [_span(",", "ref", [mark(TARGET, _place(k.get("loc"))), *trim(body)])] if k.get("loc") else body
+            elif k.tag == "ms":
+                style = k.get("style") or ""
+                if style.startswith("qt") and style.endswith("-s"):
+                    end()
+                    quoted = (len(out), k.get("who") or "")
+                elif style.startswith("qt") and style.endswith("-e"):
+                    end()
+            else:
+                self.fail(f"unexpected <{k.tag}> in inline content")
+        end()
+        return out
+
+    def document(self, root) -> Document:
+        books: list[_Book] = []
+        for e in root.own():
+            if e.tag == "book":
+                if e.get("code") is None:
+                    self.fail("<book> without a code")
+                books.append(_Book(e.get("code").lower()))
+                continue
+            if not books:
+                self.fail("missing <book code>")
+            book = books[-1]
+            if e.tag == "chapter":
+                if e.get("number"):
+                    book.settle()
+                    book.out.append(Node("para", body=[Node("void", "##", text=e.get("number"))], is_block=True))
+            elif e.tag == "para":
+                self.paragraph(book, e)
+            else:
+                self.fail(f"unexpected <{e.tag}> at book level")
+        if not books:
+            self.fail("missing <book code>")
+        return Document("at-usfm", blocks=[b.node() for b in books])
+
+    def paragraph(self, book: _Book, e) -> None:
+        style = self.style(e)
+        style = SAME.get(style, style)
+        run = trim(self.run(e))
+        if style == "b" or not e.kids:
+            if style == "b" and run:
+                self.fail('<para style="b"> with content')
+            if style == "b" and book.stanzas:
+                book.stanzas.append([])
+        elif re.fullmatch(r"q[0-9]?|qr|qc|qm[1-3]?", style):
+            book.stanzas = book.stanzas or [[]]
+            book.stanzas[-1].append([_span(",", {"q": "q1", "qm": "qm1"}.get(style, style), run)])
+        elif style not in UNKEPT:
+            book.settle()
+            if style != "p" and style not in PARAGRAPHS and style not in HEADINGS:
+                self.fail(f"unsupported para style `{style}`")
+            if run:
+                book.out.append(Node("para", body=run, is_block=True) if style == "p" else _line(style, run))
+
+
+def _place(loc: str) -> str:
+    """``GEN 1:2`` as ``Gen.1.2``."""
+    book, _, rest = loc.strip().partition(" ")
+    return ".".join(x for x in (book[:1].upper() + book[1:].lower(), *re.split(r"[:\s]+", rest)) if x)
+
+
+def read_usx(text: str) -> Document:
+    from quire.sources.xmltree import read_tree
+
+    root = read_tree(text, "usx")
+    if root.tag != "usx":
+        _Usx().fail(f"unexpected <{root.tag}> at document level")
+    return _Usx().document(root)
+
+
+def read_numbered(text: str, scheme: str = "quran") -> Document:
+    """Lines ``sura|aya|text``: suras run on from 1 to 114; verses are coordinates of the scheme."""
+
+    def bad(message: str):
+        raise DocumentError("Syntax", f"tanzil import: {message}")
+
+    out: list[Node] = []
+    at = 0
+    for line in text.split("\n"):
+        line = line.strip()
+        if not line or line.startswith("#"):
+            continue
+        m = re.fullmatch(r"([0-9]{1,9})\|([0-9]{1,9})\|(.*)", line)
+        if not m:
+            bad(f"malformed line: {line[:60]}")
+        sura, aya = int(m[1]), int(m[2])
+        if sura != at:
+            if sura != at + 1:
+                bad(f"sura {sura} after {at}")
+            at = sura
+            out.append(Node("para", body=[Node("point", scheme=scheme, text=str(sura))], is_block=True))
+            out.append(Node("verse", "~", body=[[]], is_block=True))
+        out[-1].body[0].append([Node("point", scheme=scheme, text=f"{sura}.{aya}"), Node("text", text=f" {m[3].strip()}")])
+    if at != 114:
+        bad(f"expected 114 suras, got {at}")
+    return Document("at-usfm", blocks=[Node("block", "#", head=[Node("text", text="quran")], body=out, is_block=True)])

@@ -8,17 +8,17 @@ from quire.model.writer import write
 
 
 def doc(a, b, schema="lit"):
-    point = lambda v: Node("point", scheme="steph", text=v)
+    point = lambda v: Node("point", scheme="mark", text=v)
     text = lambda t: Node("text", text=t)
     return Document(schema, blocks=[Node("para", body=[point("1a"), text(a), point("1b"), text(b)], is_block=True)])
 
 
 def test_replacement_omission_and_addition():
-    base = doc("the quick brown fox jumps", "over the lazy dog tonight")
-    out = write(collate([("B", base), ("T", doc("the quick red fox jumps", "over the lazy dog cat tonight")), ("W", doc("the quick brown fox", "over the lazy dog tonight"))], "steph", "B"))
-    for part in ("1a brown B : red T", "1a jumps B : om. W", "1b post dog add. cat T", "brown@^!(app-1a-1)", "jumps@^!(app-1a-2)", "dog@^!(app-1b-1)", "@^!\n1a brown B : red T\n!^@(app-1a-1)"):
+    base = doc("a small grey boat drifts", "past the old pier today")
+    out = write(collate([("B", base), ("T", doc("a small blue boat drifts", "past the old pier lamp today")), ("W", doc("a small grey boat", "past the old pier today"))], "mark", "B"))
+    for part in ("1a grey B : blue T", "1a drifts B : om. W", "1b post pier add. lamp T", "grey@^!(app-1a-1)", "drifts@^!(app-1a-2)", "pier@^!(app-1b-1)", "@^!\n1a grey B : blue T\n!^@(app-1a-1)"):
         assert part in out, out
-    assert base.blocks[0].body[1].text == "the quick brown fox jumps"
+    assert base.blocks[0].body[1].text == "a small grey boat drifts"
 
 
 def test_heads_belong_to_the_slice_that_they_open():
@@ -43,6 +43,6 @@ def test_checks():
         ([("B", one)], "B", "at least two"),
     ):
         with pytest.raises(DocumentError, match=told):
-            collate(witnesses, "steph", base)
-    led = write(collate([("B", one), ("T", doc("new x", "y"))], "steph", "B"))
+            collate(witnesses, "mark", base)
+    led = write(collate([("B", one), ("T", doc("new x", "y"))], "mark", "B"))
     assert "app-" not in led

@@ -4,7 +4,7 @@ import pytest
 
 from quire.model.mapping import Atlas, apply, apply_route, compose, read_mapping, write_mapping
 from quire.model.markup import parse
-from quire.model.schema import META, Catalog
+from quire.model.schema import KEYWORD, Catalog
 from quire.model.tree import DocumentError
 from quire.model.writer import write
 from quire.sources import markdown
@@ -84,5 +84,5 @@ def test_normal_form():
     a = atlas()
     m = a.direct("flat", "deep")
     text = write_mapping(m)
-    assert text == f"@@@!{META}-hom\n@=flat=>deep\n\n@># # # .top\n@># ## ##\n@:: * /\n"
+    assert text == f"@@@!{KEYWORD}-hom\n@=flat=>deep\n\n@># # # .top\n@># ## ##\n@:: * /\n"
     assert write_mapping(read_mapping(text, a.catalog)) == text

@@ -18,74 +18,75 @@ from quire.sources import corpora, html, markdown
 
 SCHEMA = """@@@!quire
 
-@=== section
+@=== passage
 @# lemma
 grammata
 #@
-@"a titled section"@
+@"a passage under a heading"@
 ===@
 
-@=== figure
+@=== exhibit
 @=[(taxis)] lemma
 grammata
 =@
 ===@
 
-@=== caption
+@=== legend
 @: grammata :@
 ===@
 
-@=== quote
+@=== cited
 @< grammata <@
 ===@
 
-@=== ref
+@=== see
 @^(param)
 ===@
 
-@=== poem
+@=== song
 @~ [lemma]
 stichos
 ~@ [hypograph]
 ===@
 """
 SOURCE = """#!/usr/bin/env tool
-\\\\\\!exempli
+\\\\\\!harbour
 
-\\\\/ a note
+\\\\/ not for readers
 
-\\# Introduction
-Meaning\tand   form
-apart. See \\^(figure-one) for it
-(from me@example.com).
-#\\(intro).overview
+\\# Low water
+The pier\tstands   dry
+at noon, as \\^(the-gauge) shows. Write
+(to pilot@example.com).
+#\\(noon).daily
 
-\\=() Pipeline
-\\\\\\\\(pipeline.svg)
-\\:The pipeline.:\\
-=\\(figure-one).diagram
+\\=() The gauge
+\\\\\\\\(gauge.svg)
+\\:Marks in feet.:\\
+=\\(the-gauge).drawing
 
-\\\\\\+(steps.txt)
+\\\\\\+(log.txt)
 """
-CANONICAL = """@@@!exempli
+#: Fixed by the format: the source above in canonical form.
+CANONICAL = """@@@!harbour
 
-@# Introduction
-Meaning and form apart. See @^(o1) for it (from me\\@example.com).
-#@.overview
+@# Low water
+The pier stands dry at noon, as @^(o1) shows. Write (to pilot\\@example.com).
+#@.daily
 
-@=(1) Pipeline
+@=(1) The gauge
 @@@@(media/m1.svg)
-@:The pipeline.:@
-=@(o1).diagram
+@:Marks in feet.:@
+=@(o1).drawing
 
 @@@"
-parse -> validate
+ebb -> flood
 "@@@
 """
 
 
 def catalog(**texts):
-    return Catalog({"exempli.lektos": SCHEMA, "steps.txt": "parse -> validate\n", **texts})
+    return Catalog({"harbour.lektos": SCHEMA, "log.txt": "ebb -> flood\n", **texts})
 
 
 def svg(name):
@@ -95,20 +96,20 @@ def svg(name):
 def test_canonical_form_and_media():
     made = canonicalize(SOURCE, catalog(), media=svg)
     assert made.text == CANONICAL
-    assert made.media == [("m1.svg", "pipeline.svg", hashlib.sha256(b"<svg/>").hexdigest())]
+    assert made.media == [("m1.svg", "gauge.svg", hashlib.sha256(b"<svg/>").hexdigest())]
     assert canonicalize(made.text, catalog(), media=svg).text == made.text
 
 
 def test_content_id_drops_metadata():
     made = canonicalize(SOURCE, catalog(), media=svg)
     text, digest = essence(made.document, catalog(), svg)
-    assert "See for it" in text and "overview" not in text and "[SHA256:" in text
+    assert "as shows. Write" in text and "daily" not in text and "[SHA256:" in text
     assert digest == hashlib.sha256(text.encode()).hexdigest()
-    plain = canonicalize(SOURCE.replace(".overview", "").replace("(intro)", ""), catalog(), media=svg)
+    plain = canonicalize(SOURCE.replace(".daily", "").replace("(noon)", ""), catalog(), media=svg)
     assert essence(plain.document, catalog(), svg)[1] == digest
 
 
-BODY = "@@@!exempli\n\n"
+BODY = "@@@!harbour\n\n"
 
 
 @pytest.mark.parametrize(
@@ -161,9 +162,9 @@ def test_schema_inheritance_and_order():
 
 
 def test_vocabularies_cannot_fork_the_id():
-    dia = "@@@!quire\n\n@=== entry\n@& lemma\ngrammata\n&@\n@% genera\n===@\n\n@=== field\n@: lemma=campi\ngrammata\n:@\n===@\n\n@==% genera\nliber: book livre\n%==@\n\n@==% campi\nauctor: author auteur\n%==@\n"
-    cat = Catalog({"biblio.dia": dia})
-    one, two = (canonicalize(f"@@@!biblio\n\n@& k1\n@: {w}\nPope\n:@\n&@.{c}\n", cat) for w, c in (("auteur", "livre"), ("Author", "book")))
+    dia = "@@@!quire\n\n@=== entry\n@& lemma\ngrammata\n&@\n@% genera\n===@\n\n@=== field\n@: lemma=campi\ngrammata\n:@\n===@\n\n@==% genera\nliber: tome bok\n%==@\n\n@==% campi\nauctor: writer skribent\n%==@\n"
+    cat = Catalog({"shelf.dia": dia})
+    one, two = (canonicalize(f"@@@!shelf\n\n@& k1\n@: {w}\nIda Lund\n:@\n&@.{c}\n", cat) for w, c in (("skribent", "bok"), ("Writer", "tome")))
     assert one.text == two.text and "@: auctor" in one.text and "&@.liber" in one.text
     assert essence(one.document, cat) == essence(two.document, cat) and "&@.liber" in essence(one.document, cat)[0]
 
@@ -173,9 +174,9 @@ LEX = "@@@!quire\n\n@=== entry\n@![(taxis)] lemma\nautonym\ngrammata\n!@\n===@\n
 
 def test_auto_anchors():
     cat = Catalog({"lex.dia": LEX})
-    text = "@@@!lex\n\n@! βαίνω\none.\n!@\n\n@!(1) bank note\na.\n!@\n\n@!(2) bank note\nb.\n!@\n\n@!() crane\nc.\n!@\n"
+    text = "@@@!lex\n\n@! θάλασσα\none.\n!@\n\n@!(1) ebb tide\na.\n!@\n\n@!(2) ebb tide\nb.\n!@\n\n@!() gull\nc.\n!@\n"
     made = canonicalize(text, cat)
-    assert "(βαίνω)" in made.text and "(bank-note-2)" in made.text and "(crane-1)" in made.text
+    assert "(θάλασσα)" in made.text and "(ebb-tide-2)" in made.text and "(gull-1)" in made.text
     assert canonicalize(made.text, cat).text == made.text
     for bad, told in (("@! a\nx\n!@\n\n@! a\ny\n!@", "duplicate onym"), ("@! a\nx\n!@(b)", "contradicts"), ("@! a\nx\n!@\n\n@!(2) a\ny\n!@", "must all carry a taxis"), ("@!(1) a\nx\n!@\n\n@!(3) a\ny\n!@", "1..n")):
         with pytest.raises(DocumentError, match=told):
@@ -229,8 +230,8 @@ def test_intervals_nest():
     assert sorted(x for r in rows for x in (r[1], r[2])) == list(range(1, 2 * len(rows) + 1))
 
 
-MD = "# Introduction\n\nText with *emphasis*, **strong**, and `code`.\n\n> A quote.\n>\n> Two.\n\n- one\n- two *emphatic*\n\n1. first\n2. second\n\n```rust\nfn main() {}\n```\n"
-MD_NATIVE = '@@@!at-markdown\n\n@#Introduction#@\n\nText with @*emphasis*@, @**strong**@, and @@"code"@@.\n\n@>\nA quote.\n\nTwo.\n>@\n\n@-\none\n-@\n\n@-\ntwo @*emphatic*@\n-@\n\n@.(1)\nfirst\n.@\n\n@.(2)\nsecond\n.@\n\n@@@"\nfn main() {}\n"@@@.rust\n'
+MD = "# Moorings\n\nRopes of *hemp*, **wire**, and `nylon`.\n\n> Mind the swell.\n>\n> Twice.\n\n- bow\n- stern *last*\n\n1. haul\n2. belay\n\n```sql\nSELECT 1\n```\n"
+MD_NATIVE = '@@@!at-markdown\n\n@#Moorings#@\n\nRopes of @*hemp*@, @**wire**@, and @@"nylon"@@.\n\n@>\nMind the swell.\n\nTwice.\n>@\n\n@-\nbow\n-@\n\n@-\nstern @*last*@\n-@\n\n@.(1)\nhaul\n.@\n\n@.(2)\nbelay\n.@\n\n@@@"\nSELECT 1\n"@@@.sql\n'
 
 
 def test_markdown():
@@ -295,25 +296,25 @@ def test_merged_order():
 
 
 def sentences(n, stem):
-    return " ".join(f"{stem} sentence number {i} with a bit of length to it." for i in range(1, n + 1))
+    return " ".join(f"{stem} reading {i} of the gauge, taken at slack water." for i in range(1, n + 1))
 
 
 def test_cut_plans_are_binary_and_in_step():
-    plans = alignment.plan_cuts([sentences(8, "Original"), sentences(8, "Translated")], 120)
+    plans = alignment.plan_cuts([sentences(8, "Morning"), sentences(8, "Abend")], 120)
     labels = [[p for p, _ in plan] for plan in plans]
     assert labels[0] == labels[1] and {"1", "0.1", "1.1"} <= set(labels[0])
-    text = sentences(8, "Original")
-    assert all(text[at:].startswith("Original") for _, at in plans[0])
+    text = sentences(8, "Morning")
+    assert all(text[at:].startswith("Morning") for _, at in plans[0])
     rounds = alignment.subdivide([("A", sentences(4, "One")), ("B", sentences(4, "Eins"))], 60)
     assert len(rounds) == 4 and all(t.startswith(("One", "Eins")) for r in rounds for _, t in r)
 
 
 def test_apparatus_text():
-    base, one, two = "the quick brown fox jumps".split(), "the quick red fox jumps".split(), "the quick brown fox".split()
+    base, one, two = "a small grey boat drifts".split(), "a small blue boat drifts".split(), "a small grey boat".split()
     notes = alignment.apparatus("1a", "B", base, [("T", *h) for h in alignment.word_hunks(base, one)] + [("W", *h) for h in alignment.word_hunks(base, two)])
-    assert notes == [(3, "app-1a-1", "1a brown B : red T"), (5, "app-1a-2", "1a jumps B : om. W")]
-    base = "over the lazy dog tonight".split()
-    assert alignment.apparatus("1b", "B", base, [("T", *h) for h in alignment.word_hunks(base, "so over the lazy dog cat tonight".split())]) == [(4, "app-1b-1", "1b post dog add. cat T")]
+    assert notes == [(3, "app-1a-1", "1a grey B : blue T"), (5, "app-1a-2", "1a drifts B : om. W")]
+    base = "past the old pier today".split()
+    assert alignment.apparatus("1b", "B", base, [("T", *h) for h in alignment.word_hunks(base, "so past the old pier lamp today".split())]) == [(4, "app-1b-1", "1b post pier add. lamp T")]
 
 
 def test_archive_is_reproducible():
@@ -324,13 +325,13 @@ def test_archive_is_reproducible():
     from quire.model.bundle import archive, check_any, is_definition
 
     made = canonicalize(SOURCE, catalog(), media=svg)
-    one, two = archive(made, "intro.atk", svg), archive(canonicalize(SOURCE, catalog(), media=svg), "intro.atk", svg)
+    one, two = archive(made, "noon.atk", svg), archive(canonicalize(SOURCE, catalog(), media=svg), "noon.atk", svg)
     assert one == two
     tar = tarfile.open(fileobj=io.BytesIO(gzip.decompress(one)))
-    assert tar.getnames() == ["intro.atk", "media-manifest.json", "media/m1.svg"] and {m.mtime for m in tar} == {0}
-    assert tar.extractfile("intro.atk").read().decode() == made.text
+    assert tar.getnames() == ["noon.atk", "media-manifest.json", "media/m1.svg"] and {m.mtime for m in tar} == {0}
+    assert tar.extractfile("noon.atk").read().decode() == made.text
     assert is_definition(SCHEMA) and is_definition("#!x\n@@@!quire@0.1\n") and not is_definition(SOURCE)
-    assert set(check_any(SCHEMA, "exempli", catalog()).elements) == {"#", "=", ":", "<", "^", "~"}
+    assert set(check_any(SCHEMA, "harbour", catalog()).elements) == {"#", "=", ":", "<", "^", "~"}
 
 
 def test_order_only():

@@ -41,14 +41,14 @@ def test_weave():
 
 
 def test_weave_in_step():
-    text = lambda w: '@("v:1")' + " ".join(f"{w} sentence number {k} with some length." for k in range(4)) + "\n"
-    woven = write(weave([("x", doc(text("One"))), ("y", doc(text("Eins")))], "v", 80))
+    text = lambda w: '@("v:1")' + " ".join(f"{w} reading {k} taken at slack water." for k in range(4)) + "\n"
+    woven = write(weave([("x", doc(text("One"))), ("y", doc(text("Eins")))], "v", 60))
     parts = [b.split("\n")[1] for b in woven.split("@@@.\n")[0:0] or woven.split(".@@@")[:-1]]
     assert woven.count(".zyg-x") == woven.count(".zyg-y") == 4 and len(parts) == 8
 
 
 def test_many_coordinates_are_linear():
-    body = "\n\n".join(f'@("v:{i}")Verse {i} of the witness, with a few words.' for i in range(5000)) + "\n"
+    body = "\n\n".join(f'@("v:{i}")Entry {i} of the log, some words long.' for i in range(5000)) + "\n"
     woven = weave([("x", doc(body)), ("y", doc(body))], "v", 200)
     assert len(woven.blocks) == 15_000
 
@@ -70,8 +70,8 @@ def test_spelling_round_trip():
 
 
 def test_unresolved_labels():
-    d = doc("@# bank\na @!fin!@ @!x!@ @!fin!@\n#@\n\n@!y!@\n")
-    assert unresolved_labels(d, "!", "#", {"x"}) == [("bank", "fin"), ("", "y")]
+    d = doc("@# quay\na @!naut!@ @!x!@ @!naut!@\n#@\n\n@!y!@\n")
+    assert unresolved_labels(d, "!", "#", {"x"}) == [("quay", "naut"), ("", "y")]
 
 
 def test_stream_keeps_each_content_once(spark, tmp_path):
@@ -90,9 +90,9 @@ def test_stream_keeps_each_content_once(spark, tmp_path):
 def test_slices_feed_the_witness_operators(spark):
     from quire.operators import documents, witnesses
 
-    text = lambda a, b: f'@@@!doc\n\n@("v:1")the quick {a} fox @("v:2")over {b} dog\n'
-    files = spark.createDataFrame([(1, "B", "atd", text("brown", "the lazy")), (1, "T", "atd", text("red", "the lazy")), (1, "W", "atd", text("brown", "lazy"))], "doc_id long, witness string, extension string, text string")
+    text = lambda a, b: f'@@@!doc\n\n@("v:1")a small {a} boat @("v:2")past {b} pier\n'
+    files = spark.createDataFrame([(1, "B", "atd", text("grey", "the old")), (1, "T", "atd", text("blue", "the old")), (1, "W", "atd", text("grey", "old"))], "doc_id long, witness string, extension string, text string")
     parts = documents.slices(files, "v", {"doc.dia": DIA})
     notes = witnesses.collate(parts.where("coord is not null"), "B").collect()
-    assert sorted(r.text for r in notes) == ["1 brown B : red T", "2 the B : om. W"]
+    assert sorted(r.text for r in notes) == ["1 grey B : blue T", "2 the B : om. W"]
     assert witnesses.weave(parts.where("coord is not null")).count() == 6
