@@ -2,13 +2,15 @@
 
 From each sentence on, and back from each, the least run of ``RUN`` or more consecutive sentences that has
 ``MIN_WORDS`` words is hashed (128 bits, over sentences with white space collapsed), so that a passage of
-short sentences is covered whole; a sentence of ``LONG`` words is a run of its own as well, since a long passage can be one sentence.
+short sentences is covered whole; a sentence of ``LONG`` words is a run of its own as well, since a long
+passage can be one sentence. Words and blanks are those of ``[^\x20\x09-\x0D]+``; a sentence ends at a line's
+end and at a blank after a full stop, exclamation or question mark.
 Runs that occur more than once anywhere are found by a partial aggregation on the hash, which also gives
 the first place; every sentence covered by a run that is not at its first place is removed. Places are
 ordered by doc_id (null last), then by the row's key and the sentence's number.
 
-Defined cases: a null text has no sentences; a document of fewer sentences than a run is one run;
-passages of under ``MIN_WORDS`` words are left alone, as short sentences repeat by chance; a row repeated in full is
+Defined cases: a null text has no sentences; a document of one sentence has no run but that sentence, if it is
+long; passages of under ``MIN_WORDS`` words are left alone, as short sentences repeat by chance; a row repeated in full is
 one document given twice and both keep the same; an empty table gives no rows.
 """
 
@@ -16,47 +18,54 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Written, release, row_key
+from quire.llm.common import SPACES, Written, mapped, release, row_key
 
 RUN = 2
 MIN_WORDS = 16
 LONG = 40
-#: A sentence ends after full stops, exclamation or question marks before white space, or at a line's end.
-SENTENCE = re.compile(r"\S(?:[^.!?\n]|[.!?]+(?!\s|$))*[.!?]*")
+FLUSH = 50_000
+END = re.compile(r"\n|(?<=[.!?])[\x20\x09-\x0D]")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def sentences(text: str) -> Iterator[tuple[int, int]]:
-    for m in SENTENCE.finditer(text):
-        yield m.span()
+    """(start, end) of the sentences, without the blanks before and after them."""
+    at = 0
+    for end in chain((m.start() for m in END.finditer(text)), (len(text),)):
+        part = text[at:end]
+        if inner := part.strip(SPACES):
+            start = at + len(part) - len(part.lstrip(SPACES))
+            yield start, start + len(inner)
+        at = end + 1
 
 
 def run_hashes(texts: list[str], run: int, min_words: int, long: int = LONG) -> list[tuple[int, int, int, int]]:
     """(h1, h2, number of the first sentence, sentences) of the runs of one document's sentences."""
     from xxhash import xxh3_64_intdigest
 
-    words = [t.split() for t in texts]
+    words = [WORD.findall(t) for t in texts]
     n = np.array([len(w) for w in words])
     h = np.array([xxh3_64_intdigest(" ".join(w)) for w in words], np.uint64)
-    size = min(run, len(texts))
+    size = run
     out: list[tuple[int, int, int, int]] = []
     total = np.concatenate(([0], np.cumsum(n)))
     # from each start, and to each end, to the least number of sentences that has the words
-    start = np.arange(len(texts) - size + 1)
+    start = np.arange(max(0, len(texts) - size + 1))
     stop = np.maximum(start + size, np.searchsorted(total, total[start] + min_words))
     end = np.arange(size, len(texts) + 1)
     first = np.minimum(end - size, np.searchsorted(total, total[end] - min_words, "right") - 1)
     ahead, back = stop <= len(texts), first >= 0
     runs = np.unique(np.concatenate((start[ahead] << 32 | stop[ahead] - start[ahead], first[back] << 32 | end[back] - first[back])))
     at, width = runs >> 32, runs & 0xFFFFFFFF
-    if size > 1:
-        one = np.flatnonzero(n >= long)
-        at, width = np.concatenate((at, one)), np.concatenate((width, np.ones(len(one), np.int64)))
+    one = np.flatnonzero(n >= long)
+    at, width = np.concatenate((at, one)), np.concatenate((width, np.ones(len(one), np.int64)))
     for size in np.unique(width).tolist():
         here = at[width == size]
         a, b = np.zeros(len(here), np.uint64), np.full(len(here), size, np.uint64)
@@ -73,18 +82,22 @@ def run_hashes(texts: list[str], run: int, min_words: int, long: int = LONG) ->
 def covered_sentences(keyed: DataFrame, run: int, min_words: int) -> DataFrame:
     """keyed: doc_id, key_a, key_b, text. (key_a, key_b, gone): numbers of the sentences to remove."""
 
+    names, types = ["doc_id", "key_a", "key_b", "h1", "h2", "at", "n"], [pa.int64()] * 5 + [pa.int32()] * 2
+
     def spans(it):
+        out: list[tuple] = []
         for b in it:
-            out: list[tuple] = []
             for doc, ka, kb, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "key_a", "key_b", "text"))):
                 found = [text[i:j] for i, j in sentences(text or "")]
                 if found:
                     out.extend((doc, ka, kb, *x) for x in run_hashes(found, run, min_words))
-            types = [pa.int64()] * 5 + [pa.int32()] * 2
-            cols = list(zip(*out)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "key_a", "key_b", "h1", "h2", "at", "n"])
+                if len(out) > FLUSH:
+                    yield _batch(out, names, types)
+                    out = []
+        if out:
+            yield _batch(out, names, types)
 
-    rows = Written(keyed.mapInArrow(spans, "doc_id long, key_a long, key_b long, h1 long, h2 long, at int, n int"), "runs")
+    rows = Written(mapped(keyed, spans, "doc_id long, key_a long, key_b long, h1 long, h2 long, at int, n int", 500), "runs")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_a", "key_b", "at")
     twice = rows.df.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     twice = Written(twice.select("h1", "h2", "first"), "twice")
@@ -110,13 +123,16 @@ def remove_repeated_sentences(docs: DataFrame, run: int = RUN, min_words: int =
                 out.append((doc, *kept_text(text or "", drop or ())))
                 size += len(text or "")
                 if size > 4_000_000:
-                    yield _batch(out)
+                    yield _batch(out, names, types)
                     out, size = [], 0
             if out:
-                yield _batch(out)
+                yield _batch(out, names, types)
+
+    names = ["doc_id", "n_sentences", "n_removed", "n_spans", "n_bytes", "n_bytes_removed", "kept"]
+    types = [pa.int64()] * 6 + [pa.string()]
 
     rows = keyed.join(gone, ["key_a", "key_b"], "left").select("doc_id", "text", "gone")
-    return rows.mapInArrow(keep, "doc_id long, n_sentences long, n_removed long, n_spans long, n_bytes long, n_bytes_removed long, kept string")
+    return mapped(rows, keep, "doc_id long, n_sentences long, n_removed long, n_spans long, n_bytes long, n_bytes_removed long, kept string", 500)
 
 
 def kept_text(text: str, gone: tuple | list) -> tuple:
@@ -134,7 +150,5 @@ def kept_text(text: str, gone: tuple | list) -> tuple:
     return len(spans), len(drop), runs, n, n - len(kept.encode("utf-8", "surrogatepass")), kept
 
 
-def _batch(out: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64()] * 6 + [pa.string()]
-    names = ["doc_id", "n_sentences", "n_removed", "n_spans", "n_bytes", "n_bytes_removed", "kept"]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
