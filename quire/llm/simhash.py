@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Written, packed, release
+from quire.llm.common import Written, mapped, release, whole_groups
 from quire.llm.components import components
 
 SHINGLE = 3
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(fps, pa.int64())], [*keep, "fp"])
 
     out = docs.select(*keep).schema.add("fp", "long")
-    return docs.select(*keep, "text").mapInArrow(run, out)
+    return mapped(docs.select(*keep, "text"), run, out, 500)
 
 
 def pivot_table(fps: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
@@ -136,28 +136,27 @@ def links(fps: DataFrame, most: int = MOST_BITS, tile: int = TILE) -> DataFrame:
     dealt = dealt.select("fp", F.xxhash64("triple", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"))
 
     def plain(it):
-        parts = [(np.asarray(b.column("bucket")), np.asarray(b.column("fp"))) for b in it]
-        if parts:
-            bucket, fp = (np.concatenate(x) for x in zip(*parts))
+        for bucket, fp in whole_groups(it, "bucket", ("fp",)):
             yield from _star_batches(bucket, fp.view(np.uint64), None, most)
 
     def sided(it):
-        parts = [tuple(np.asarray(b.column(c)) for c in ("bucket", "fp", "side")) for b in it]
-        if parts:
-            bucket, fp, side = (np.concatenate(x) for x in zip(*parts))
+        for bucket, fp, side in whole_groups(it, "bucket", ("fp", "side")):
             yield from _star_batches(bucket, fp.view(np.uint64), side, most)
 
+    def stars(rows, by):
+        return mapped(rows.repartition("bucket").sortWithinPartitions("bucket"), by, "a long, b long")
+
     large = Written(dealt.groupBy("bucket").count().where(F.col("count") > tile), "large")
     if not large.df.limit(1).count():
-        return dealt.repartition("bucket").mapInArrow(plain, "a long, b long")
-    rest = dealt.join(large.df, "bucket", "left_anti").repartition("bucket").mapInArrow(plain, "a long, b long")
+        return stars(dealt, plain)
+    rest = stars(dealt.join(large.df, "bucket", "left_anti"), plain)
     hot = dealt.join(large.df, "bucket").withColumn("tiles", F.ceil(F.col("count") / tile).cast("int"))
     hot = hot.withColumn("own", F.pmod(F.xxhash64("fp"), "tiles").cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j")))
     hot = hot.select("fp", "bucket", "own", F.explode(pair).alias("p"))
     side = F.when(F.col("p.i") == F.col("p.j"), 0).when(F.col("own") == F.col("p.i"), 1).otherwise(2)
     hot = hot.select("fp", F.xxhash64("bucket", "p.i", "p.j").alias("bucket"), side.cast("int").alias("side"))
-    return rest.union(hot.repartition("bucket").mapInArrow(sided, "a long, b long"))
+    return rest.union(stars(hot, sided))
 
 
 def _star_batches(bucket: np.ndarray, fps: np.ndarray, side: np.ndarray | None, most: int) -> Iterator[pa.RecordBatch]:
@@ -194,14 +193,3 @@ def _labelled(rows: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id, one row per row of ``docs``."""
     return _labelled(Written(fingerprints(docs.select("doc_id", "text")), "fingerprints").df)
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component one row with the least doc_id, with all columns."""
-    keyed = packed(docs).select("key_a", "key_b", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
-    rows = _labelled(Written(fingerprints(keyed), "fingerprints").df)
-    # one row per component: the least (doc_id, key); a component without doc_ids keeps its least key
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_a", "key_b"))
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
-    stays = rows.groupBy(group).agg(first.alias("x")).select("x.key_a", "x.key_b")
-    return packed(docs).join(stays, ["key_a", "key_b"]).dropDuplicates(["key_a", "key_b"]).select("row.*")
