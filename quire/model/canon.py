@@ -8,14 +8,13 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable
-from copy import deepcopy
 from dataclasses import dataclass, field
 
 from quire.model.markup import parse
 from quire.model.names import alphanumeric, valid_anchor
 from quire.model.schema import Catalog, Schema
 from quire.model.tables import expand_tables
-from quire.model.tree import AUTO, Document, DocumentError, Node, has_blocks, plain_text, rebuild, walk
+from quire.model.tree import AUTO, Document, DocumentError, Node, clone, has_blocks, plain_text, rebuild, walk
 from quire.model.writer import block, blocks as write_blocks, check_writable, inlines, write
 
 #: Most bytes that macros may expand to in one document.
@@ -139,7 +138,7 @@ def expand_macros(blocks: list[Node]) -> list[Node]:
             if found is None or found.is_block != as_block:
                 raise DocumentError("AxiomaBeforeDefinition", n.text)
             charge(found.body, n.text)
-            return deepcopy(found.body)
+            return clone(found.body)
         made = Node("raw", is_block=as_block)
         if found is not None:
             made.text = write_blocks(found.body) if found.is_block else inlines(found.body)

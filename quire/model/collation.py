@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import re
-from copy import deepcopy
 
 from quire.functions.alignment import apparatus, merged_order, word_hunks
 from quire.model.slicing import slices, words
-from quire.model.tree import Document, DocumentError, Node, has_blocks
+from quire.model.tree import Document, DocumentError, Node, clone, has_blocks
 
 NOTE = "^!"
 
@@ -30,7 +29,7 @@ def collate(witnesses: list[tuple[str, Document]], scheme: str, base: str) -> Do
     texts: dict[str, dict[str, list[str]]] = {}
     for n, d in witnesses:
         mine: dict[str, list[str]] = {}
-        for s in slices(deepcopy(d.blocks), scheme):
+        for s in slices(clone(d.blocks), scheme):
             if s.point is not None:
                 if s.point.text in mine:
                     raise DocumentError("Syntax", f"witness `{n}`: `{s.point.text}` stands twice")
@@ -44,7 +43,8 @@ def collate(witnesses: list[tuple[str, Document]], scheme: str, base: str) -> Do
     for coord, own in texts[base].items():
         hunks = [(n, *h) for n in names if n != base and coord in texts[n] for h in word_hunks(own, texts[n][coord])]
         notes[coord] = apparatus(coord, base, own, hunks)
-    doc = deepcopy(next(d for n, d in witnesses if n == base))
+    doc = next(d for n, d in witnesses if n == base)
+    doc = Document(doc.schema, doc.version, clone(doc.blocks))
     doc.blocks = _Placer(scheme, notes).sequence(doc.blocks)
     return doc
 
@@ -82,7 +82,7 @@ class _Placer:
 
     def opening(self, b: Node) -> str | None:
         """A head before the first coordinate of its block belongs to that coordinate's slice."""
-        first = next((s for s in slices([deepcopy(b)], self.scheme) if s.nodes), None)
+        first = next((s for s in slices(clone([b]), self.scheme) if s.nodes), None)
         if first is None or first.point is None:
             return None
         if self.early is None or self.early[0] != first.point.text:

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from copy import deepcopy
 
 from quire.model.canon import normalize_run
 from quire.model.schema import Catalog, Schema
-from quire.model.tree import Document, DocumentError, Node, has_blocks, walk
+from quire.model.tree import Document, DocumentError, Node, clone, has_blocks, walk
 from quire.model.writer import write
 
 
 def essence(doc: Document, catalog: Catalog | None = None, media: Callable[[str], bytes] | None = None) -> tuple[str, str]:
     """(stripped text, SHA-256). Class tags stay where they are terms of the block's vocabulary."""
-    doc = deepcopy(doc)
+    doc = Document(doc.schema, doc.version, clone(doc.blocks))
     referred = {n.text for n in walk(doc.blocks) if n.kind == "ref"}
     named: set[str] = set()
     schema = catalog.schema(doc.schema) if catalog else None

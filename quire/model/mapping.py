@@ -9,13 +9,12 @@ from __future__ import annotations
 from collections import Counter, deque
 from collections.abc import Iterator
 from collections.abc import Mapping as Named
-from copy import deepcopy
 from dataclasses import dataclass, field, replace
 
 from quire.model.canon import check_references, number_blocks
 from quire.model.names import valid_class
 from quire.model.schema import KEYWORD, REQUIRED, UNSUPPORTED, Catalog, Element, Schema, declared
-from quire.model.tree import Document, DocumentError, Node, has_blocks, walk
+from quire.model.tree import Document, DocumentError, Node, clone, has_blocks, walk
 
 RENAME, DROP, UNWRAP, EXTRACT = "rename", "drop", "unwrap", "extract"
 #: What opens a region, by spelling: with its heading as head, as a wrapper without, dropped, or relabelled.
@@ -254,7 +253,7 @@ def apply(doc: Document, m: SchemaMap, catalog: Catalog) -> Document:
     missing = {n.symbol for n in _own(doc.blocks, doc.schema) if n.symbol and n.symbol not in m.rules and not m.region(n.symbol)}
     if missing:
         raise DocumentError("MorphUnmapped", ", ".join(sorted(missing)))
-    out = Document(m.target.id, blocks=_blocks(deepcopy(doc.blocks), m))
+    out = Document(m.target.id, blocks=_blocks(clone(doc.blocks), m))
     check_references(out.blocks)
     number_blocks(out.blocks, Schema(m.target.id), catalog)
     return out

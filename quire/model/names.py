@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 SIGIL, ALIAS = "@", "\\"
 _NUMBERS = {"Nd", "Nl", "No"}
 
 
+@lru_cache(maxsize=1 << 16)
 def alphanumeric(c: str) -> bool:
     """Letters and letter-like marks, and numbers of every kind."""
     return c.isalpha() or unicodedata.category(c) in _NUMBERS or (unicodedata.category(c) in ("Mn", "Mc", "So") and _other_alphabetic(c))
@@ -17,6 +19,7 @@ def _other_alphabetic(c: str) -> bool:
     return "ͅ" == c or "Ⓐ" <= c <= "ⓩ" or (unicodedata.category(c) == "Mc")
 
 
+@lru_cache(maxsize=1 << 16)
 def symbolic(c: str) -> bool:
     return not (alphanumeric(c) or c.isspace() or c in (SIGIL, ALIAS))
 

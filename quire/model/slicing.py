@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from copy import deepcopy
 from dataclasses import dataclass, field, replace
 
 from quire.functions.alignment import CLAUSE, SENTENCE, WORD, cuts, merged_order, nearest
 from quire.model.names import valid_class
-from quire.model.tree import Document, DocumentError, Node
+from quire.model.tree import Document, DocumentError, Node, clone
 
 
 @dataclass
@@ -146,7 +145,7 @@ def weave(witnesses: list[tuple[str, Document]], scheme: str, most: int | None =
             raise DocumentError("Syntax", f"witness id `{name}` is not a valid identifier")
     if len({n for n, _ in witnesses}) < len(witnesses):
         raise DocumentError("Syntax", "duplicate witness id")
-    cut = [(name, slices(deepcopy(doc.blocks), scheme)) for name, doc in witnesses]
+    cut = [(name, slices(clone(doc.blocks), scheme)) for name, doc in witnesses]
     traces = []
     for name, mine in cut:
         trace = [s.point.text for s in mine if s.point is not None]

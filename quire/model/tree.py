@@ -47,6 +47,24 @@ class Node:
         return closing_symbol(self.symbol or "", self.flips)
 
 
+def clone(seq: list) -> list:
+    """A copy of a sequence of nodes, or of stanzas of lines of them, down to the leaves."""
+    out = []
+    for n in seq:
+        if isinstance(n, list):
+            out.append(clone(n))
+            continue
+        made = Node(n.kind, n.symbol, n.text, n.scheme, n.anchor, [*n.classes], n.ordinal, [], [], [], n.flips, n.verbatim, n.is_block, n.start, n.end)
+        if n.head:
+            made.head = clone(n.head)
+        if n.body:
+            made.body = clone(n.body)
+        if n.tail:
+            made.tail = clone(n.tail)
+        out.append(made)
+    return out
+
+
 @dataclass(slots=True)
 class Document:
     schema: str

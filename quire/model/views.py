@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from copy import deepcopy
 
 from quire.model.schema import Schema
-from quire.model.tree import Document, DocumentError, Node, has_blocks, walk
+from quire.model.tree import Document, DocumentError, Node, clone, has_blocks, walk
 from quire.model.writer import write
 
 
@@ -61,7 +60,7 @@ def spelled(doc: Document, schema: Schema, language: str | None = None) -> str:
     """The document with elements written by name, in a language where it has them; reading it back is lossless."""
     if language is not None and language not in schema.localized:
         raise DocumentError("UnresolvableDialektos", f"{schema.id}.{language}")
-    doc = deepcopy(doc)
+    doc = Document(doc.schema, doc.version, clone(doc.blocks))
     for n in walk(doc.blocks):
         if n.symbol:
             e = schema.elements.get(n.symbol)

@@ -6,6 +6,9 @@ own Arrow batches, and results leave it in batches of bounded size.
 
 from __future__ import annotations
 
+import hashlib
+import io
+import tarfile
 from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
@@ -14,13 +17,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from quire.model import slicing
+from quire.model.bundle import archive
 from quire.model.canon import Canonical, canonicalize, canonicalize_tree, composed
 from quire.model.choosing import Book
 from quire.model.essence import essence
 from quire.model.mapping import Atlas, apply_route
 from quire.model.markup import parse
 from quire.model.rendering import render
-from quire.model.schema import Catalog
+from quire.model.schema import Catalog, read_definition
 from quire.model.tree import NODE_SCHEMA, Document, DocumentError, encode
 from quire.model.views import outline, spelled
 from quire.model.writer import write
@@ -225,6 +229,63 @@ def outlines(files: DataFrame, texts: Mapping[str, str] | None = None) -> DataFr
     return _mapped(files, _FILE, _SEVERAL + columns, _several(rows, 9))
 
 
+def definitions(files: DataFrame, texts: Mapping[str, str] | None = None) -> DataFrame:
+    """The elements of definition files, inherited ones included: (doc_id, status..., name, symbol, form, body, parent)."""
+    texts = dict(texts or {})
+
+    def rows(doc_id, extension, text):
+        schema = read_definition(text or "", f"file-{doc_id}", _atlas(texts, {}).catalog, (f"file-{doc_id}",))
+        return ((e.name, e.symbol, e.form, e.body if e.form == "block" else None, e.parent) for e in schema.elements.values())
+
+    return _mapped(files, _FILE, _SEVERAL + "name string, symbol string, form string, body string, parent string", _several(rows, 5))
+
+
+def tokens(files: DataFrame, texts: Mapping[str, str] | None = None) -> DataFrame:
+    """Analysed words of documents: a row for each with its first analysis, its head by place in its sentence."""
+    texts = dict(texts or {})
+
+    def rows(doc_id, extension, text):
+        corpus = treebanks.from_document(read_document(text or "", extension, _atlas(texts, {}).catalog))
+        for k, s in enumerate(corpus.sentences()):
+            places = {t.name: j for j, t in enumerate(s.tokens(), 1) if t.name}
+            for j, t in enumerate(s.tokens(), 1):
+                p = t.parsings[0] if t.parsings else {}
+                yield (k, s.id, j, t.form, p.get("lemma"), p.get("pos"), p.get("features"), places.get(p.get("head")), p.get("relation"), len(t.parsings))
+
+    columns = "sent int, sent_id string, tok int, form string, lemma string, pos string, features string, head int, relation string, parsings int"
+    return _mapped(files, _FILE, _SEVERAL + columns, _several(rows, 10))
+
+
+def bundles(files: DataFrame, texts: Mapping[str, str] | None = None, media: Mapping[str, bytes] | None = None) -> DataFrame:
+    """Each file's canonical form with its media as one archive (``content binary``), the same bytes for the same content."""
+    texts, media = dict(texts or {}), dict(media or {})
+
+    def read(name: str) -> bytes:
+        if name not in media:
+            raise DocumentError("MissingResource", name)
+        return media[name]
+
+    def one(text, extension):
+        catalog = _atlas(texts, {}).catalog
+        made = canonicalize(text, catalog, media=read) if extension in NATIVE else canonicalize_tree(composed(read_document(text, extension, catalog)), catalog, read)
+        return (archive(made, "document.atk", read),)
+
+    return _mapped(files, _FILE, _STATUS + ", content binary", _guarded(one, (None,)))
+
+
+def bundle_members(bundled: DataFrame) -> DataFrame:
+    """(doc_id, member, size, sha256, content) of archives in ``content``."""
+
+    def rows(doc_id, content):
+        if content is not None:
+            with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as tar:
+                for m in tar:
+                    body = tar.extractfile(m).read()
+                    yield (doc_id, m.name, len(body), hashlib.sha256(body).hexdigest(), body)
+
+    return _mapped(bundled, ["doc_id", "content"], "doc_id long, member string, size long, sha256 string, content binary", rows)
+
+
 def respelled(files: DataFrame, language: str | None = None, texts: Mapping[str, str] | None = None) -> DataFrame:
     """Each file as native source with its elements spelled out by name, in a language where names are localized."""
     texts = dict(texts or {})

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.functions import text
+from quire.functions import alignment, text
 from quire.operators import documents, graphs, rows, tables, witnesses
+from quire.plans import scripts
 from quire.sources import corpora
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(scripts.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(scripts.ORACLE_SQL)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,14 +51,16 @@ def duplicate_works(spark, sf_dir):
 
 # Text operators. Java writes code points as \x{85}, the SQL engine's RE2 likewise.
 _WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_BLANK = "(' ', chr(9), chr(10), chr(13))"
-_CHARS = """WITH c AS (SELECT doc_id, unnest(x) AS ch, generate_subscripts(x, 1) AS i, len(x) AS n FROM (SELECT doc_id, string_split(text, '') AS x FROM documents)),
-w AS (SELECT doc_id, ch, i, n, lag(ch) OVER o AS before, lead(ch) OVER o AS after FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY i))"""
+#: Characters with the next one that shows: a cut stands before that one, if white space lies between (for words, a
+#: space), a mark ends what is before, and something shows before the mark.
+_CHARS = rf"""WITH c AS (SELECT doc_id, unnest(x) AS ch, generate_subscripts(x, 1) AS i, len(x) AS n FROM (SELECT doc_id, string_split(text, '') AS x FROM documents)),
+s AS (SELECT *, sum(CASE WHEN ch = ' ' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS spaces FROM c),
+v AS (SELECT *, lag(i) OVER o AS j, lag(ch) OVER o AS mark, lag(spaces) OVER o AS had, row_number() OVER o AS k FROM s WHERE NOT regexp_matches(ch, '{_WS}') WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+w AS (SELECT doc_id, 0 AS i, 0 AS j, 0 AS k, '' AS mark, 0 AS had, 0 AS spaces, 0 AS n FROM documents UNION ALL SELECT doc_id, i, j, k, mark, had, spaces, n FROM v)"""
 
 
-def _is_cut(marks: str | None) -> str:
-    mark = "before IS NOT NULL" if marks is None else f"contains('{marks}', before)"
-    return f"ch IN {_BLANK} AND {mark} AND after NOT IN {_BLANK}"
+def _is_cut(marks: str) -> str:
+    return "k > 1 AND spaces > had" if marks == alignment.WORD else f"k > 2 AND i > j + 1 AND contains('{marks}', mark)"
 
 
 @query(r"""SELECT doc_id, CAST(n - 1 AS INTEGER) AS n, l AS line FROM (
@@ -68,7 +71,7 @@ def line_scan(spark, sf_dir):
     return found.where(F.col("line").rlike(r"[^ \t\r]"))
 
 
-@query(r"""SELECT doc_id, CAST(k AS INTEGER) AS stanza, CAST(len(string_split(s, chr(10))) AS INTEGER) AS n_lines, s[:40] AS opening FROM (
+@query(r"""SELECT doc_id, CAST(k AS INTEGER) AS stanza, CAST(len(string_split(s, chr(10))) AS INTEGER) AS n_lines, md5(s) AS stanza_md5 FROM (
   SELECT doc_id, unnest(x) AS s, generate_subscripts(x, 1) - 1 AS k FROM (
     SELECT doc_id, list_filter(regexp_split_to_array(trim(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10)), '\n([ \t\r]*\n)+'), lambda s: s <> '') AS x FROM documents))""")
 def stanza_islands(spark, sf_dir):
@@ -76,7 +79,7 @@ def stanza_islands(spark, sf_dir):
     body = F.btrim(F.replace(F.col("text"), F.lit(". "), F.lit(".\n\n")), F.lit("\n"))
     stanzas = F.filter(F.split(body, r"\n(?:[ \t\r]*\n)+"), lambda s: s != "")
     found = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(stanzas).alias("stanza", "s"))
-    return found.select("doc_id", "stanza", F.size(F.split("s", "\n")).alias("n_lines"), F.substring("s", 1, 40).alias("opening"))
+    return found.select("doc_id", "stanza", F.size(F.split("s", "\n")).alias("n_lines"), F.md5("s").alias("stanza_md5"))
 
 
 @query(r"""SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'), ' ')) AS layout_md5 FROM documents""")
@@ -97,10 +100,15 @@ def content_id(spark, sf_dir):
 @query(rf"""SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (
   SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda w: w <> '')) AS word FROM documents) GROUP BY word""")
 def word_table(spark, sf_dir):
-    """Words are counted per document in its own row before anything is exchanged."""
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.words(F.col("text"))).alias("word"))
-    per_doc = found.groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("c"))
-    return per_doc.groupBy("word").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+    """A row's words are sorted in place, so that each word's first occurrence is marked before the one exchange."""
+    found = table(spark, sf_dir, "documents").select(F.explode(_firsts(text.words(F.col("text")))).alias("x"))
+    return found.groupBy(F.col("x.v").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x.first").cast("long")).alias("n_docs"))
+
+
+def _firsts(values):
+    """Sorted values, each with whether it is the first of its kind."""
+    held = F.array_sort(values)
+    return F.transform(held, lambda v, k: F.struct(v.alias("v"), ((k == 0) | (v != F.get(held, k - 1))).alias("first")))
 
 
 @query("""SELECT doc_id, CAST(sum(length(l)) AS BIGINT) AS mass FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY doc_id""")
@@ -109,21 +117,16 @@ def char_mass(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", total.alias("mass"))
 
 
-@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[.!?…;·]\s+\S')) AS INTEGER) AS n_cuts FROM documents""")
-def sentence_cuts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(rf"[{text.SENTENCE_MARKS}]\s+\S")).alias("n_cuts"))
-
-
-@query(f"""{_CHARS} SELECT doc_id, CAST(count(*) FILTER ({_is_cut(text.SENTENCE_MARKS)}) AS INTEGER) AS n_sentence, CAST(count(*) FILTER ({_is_cut(text.CLAUSE_MARKS)}) AS INTEGER) AS n_clause,
-  CAST(count(*) FILTER ({_is_cut(None)}) AS INTEGER) AS n_word FROM w GROUP BY doc_id""")
+@query(f"""{_CHARS} SELECT doc_id, CAST(count(*) FILTER ({_is_cut(alignment.SENTENCE)}) AS INTEGER) AS n_sentence, CAST(count(*) FILTER ({_is_cut(alignment.CLAUSE)}) AS INTEGER) AS n_clause,
+  CAST(count(*) FILTER ({_is_cut(alignment.WORD)}) AS INTEGER) AS n_word FROM w GROUP BY doc_id""")
 def tier_counts(spark, sf_dir):
     n = lambda marks, name: text.cut_count(F.col("text"), marks).alias(name)
-    return table(spark, sf_dir, "documents").select("doc_id", n(text.SENTENCE_MARKS, "n_sentence"), n(text.CLAUSE_MARKS, "n_clause"), n(None, "n_word"))
+    return table(spark, sf_dir, "documents").select("doc_id", n(alignment.SENTENCE, "n_sentence"), n(alignment.CLAUSE, "n_clause"), n(alignment.WORD, "n_word"))
 
 
-@query(f"""{_CHARS} SELECT doc_id, CAST(min({{'off': abs(i - n // 2), 'at': i}}) FILTER ({_is_cut(text.SENTENCE_MARKS)}).at AS INTEGER) AS cut FROM w GROUP BY doc_id""")
+@query(f"""{_CHARS} SELECT doc_id, CAST(min({{'off': abs(i - 1 - n // 2), 'at': i - 1}}) FILTER ({_is_cut(alignment.SENTENCE)}).at AS INTEGER) AS cut FROM w GROUP BY doc_id""")
 def midpoint_cut(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.nearest_cut(F.col("text"), text.SENTENCE_MARKS).alias("cut"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.nearest_cut(F.col("text"), alignment.SENTENCE).alias("cut"))
 
 
 @query(r"""SELECT doc_id, md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped_md5 FROM documents""")
@@ -309,9 +312,8 @@ def url_resolve(spark, sf_dir):
 
 @query(r"""SELECT tag, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)[ >]', 1)) AS tag FROM pages) GROUP BY tag""")
 def tag_stats(spark, sf_dir):
-    found = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)[ >]"), 1)).alias("tag"))
-    per_page = found.groupBy("tag", "page_id").agg(F.count(F.lit(1)).alias("c"))
-    return per_page.groupBy("tag").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_pages"))
+    found = table(spark, sf_dir, "pages").select(F.explode(_firsts(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)[ >]"), 1))).alias("x"))
+    return found.groupBy(F.col("x.v").alias("tag")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x.first").cast("long")).alias("n_pages"))
 
 
 @query(r"""SELECT page_id, CAST(n - 1 AS INTEGER) AS n, h[3:3]::INTEGER AS level, regexp_replace(h[5:-6], '<[^>]*>', '', 'g') AS heading FROM (
@@ -366,8 +368,8 @@ LEFT JOIN (SELECT * FROM {_NAMES_SQL} WHERE language = 'fr') a ON o_orderpriorit
 def respell(spark, sf_dir):
     """Symbols spelled out: the language's name, else the general one, else the symbol."""
     names = spark.createDataFrame(_NAMES, "symbol string, language string, name string")
-    local = F.broadcast(names.where("language = 'fr'").select(F.col("symbol").alias("o_orderpriority"), F.col("name").alias("a")))
-    general = F.broadcast(names.where("language IS NULL").select(F.col("symbol").alias("o_orderpriority"), F.col("name").alias("b")))
+    local = rows.small(names.where("language = 'fr'").select(F.col("symbol").alias("o_orderpriority"), F.col("name").alias("a")))
+    general = rows.small(names.where("language IS NULL").select(F.col("symbol").alias("o_orderpriority"), F.col("name").alias("b")))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority").join(local, "o_orderpriority", "left").join(general, "o_orderpriority", "left")
     return orders.select("o_orderkey", F.concat(F.lit("{"), F.coalesce("a", "b", "o_orderpriority"), F.lit("}")).alias("spelled"))
 
@@ -395,13 +397,13 @@ _MAP_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _MAP) + ") AS m(
 
 @query(f"SELECT event_id, coalesce(target, event_type) AS symbol FROM events LEFT JOIN {_MAP_SQL} ON event_type = source")
 def morph_rename(spark, sf_dir):
-    rules = F.broadcast(spark.createDataFrame(_MAP, "event_type string, target string"))
+    rules = rows.small(spark.createDataFrame(_MAP, "event_type string, target string"))
     return table(spark, sf_dir, "events").select("event_id", "event_type").join(rules, "event_type", "left").select("event_id", F.coalesce("target", "event_type").alias("symbol"))
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_type NOT IN ('error', 'signup')")
 def morph_drop(spark, sf_dir):
-    drop = F.broadcast(spark.createDataFrame([("error",), ("signup",)], "event_type string"))
+    drop = rows.small(spark.createDataFrame([("error",), ("signup",)], "event_type string"))
     return rows.undefined(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), drop, ["event_type"]).select("event_id", "user_id")
 
 
@@ -424,7 +426,7 @@ def morph_group(spark, sf_dir):
 @query(f"SELECT DISTINCT event_type AS symbol FROM events WHERE event_type NOT IN (SELECT source FROM {_MAP_SQL})")
 def morph_total(spark, sf_dir):
     """Symbols that a mapping has no rule for: none if it is total."""
-    rules = F.broadcast(spark.createDataFrame(_MAP, "symbol string, target string"))
+    rules = rows.small(spark.createDataFrame(_MAP, "symbol string, target string"))
     return rows.undefined(table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol")).distinct(), rules, ["symbol"])
 
 
@@ -507,7 +509,7 @@ def _markdown(spark, sf_dir):
 
 @query()
 def markdown_nodes(spark, sf_dir):
-    found = documents.nodes(_markdown(spark, sf_dir))
+    found = documents.nodes(_markdown(spark, sf_dir)).where("status = 'ok'")
     return found.groupBy("kind", "symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -532,7 +534,7 @@ def subdivide_rounds(spark, sf_dir):
 
 
 def _turns(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("work"), F.col("role").alias("witness"), F.col("turn").alias("pos"), F.floor(F.col("turn") / 2).cast("string").alias("coord"), "text").where("witness <> 'system'")
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("work"), F.col("role").alias("witness"), F.col("turn").alias("pos"), F.floor(F.col("turn") / 4).cast("string").alias("coord"), "text")
 
 
 @query()
@@ -551,10 +553,10 @@ def collate_words(spark, sf_dir):
 
 @query()
 def aligned_order(spark, sf_dir):
-    return witnesses.aligned_order(_turns(spark, sf_dir).dropDuplicates(["work", "witness", "coord"]))
+    return witnesses.aligned_order(_turns(spark, sf_dir).groupBy("work", "witness", "coord").agg(F.min("pos").alias("pos")))
 
 
-@query("SELECT conv_id, turn // 2 AS coord, role AS witness, count(*) AS n FROM conversations WHERE role <> 'system' GROUP BY ALL HAVING count(*) > 1")
+@query("SELECT conv_id, turn // 4 AS coord, role AS witness, count(*) AS n FROM conversations GROUP BY ALL HAVING count(*) > 1")
 def coord_repeats(spark, sf_dir):
     found = witnesses.repeated_coordinates(_turns(spark, sf_dir))
     return found.select(F.col("work").alias("conv_id"), F.col("coord").cast("long").alias("coord"), "witness", "n")
@@ -562,36 +564,11 @@ def coord_repeats(spark, sf_dir):
 
 @query()
 def markdown_to_html(spark, sf_dir):
-    """Markdown read, mapped to the HTML schema by its lineage, and rendered by a rule table."""
-    out = documents.export(_markdown(spark, sf_dir), "at-html", "html", rules={"at-html.html": HTML_RULES})
+    """Markdown read, mapped to the HTML schema by its lineage, and rendered by the built-in table."""
+    out = documents.export(_markdown(spark, sf_dir), "at-html", "html")
     return out.select("doc_id", "status", "error_kind", F.length("rendered").alias("n_chars"), F.md5("rendered").alias("rendered_md5"))
 
 
-#: A small rule table for the HTML schema.
-HTML_RULES = "@@@!quire-exo\n@=at-html=>html\n\n@%\n& &amp;\n< &lt;\n> &gt;\n%@\n" + "".join(
-    f"\n@-> {pattern}\n{template}\n>-@\n"
-    for pattern, template in [
-        ("*paragraph", "<p>@(grammata)</p>"),
-        *[(f"*solo {'#' * k}", f"<h{k}>@(grammata)</h{k}>") for k in range(1, 7)],
-        *[("#" * k, "<b>@(grammata)</b>") for k in range(1, 7)],
-        ("/", "<em>@(grammata)</em>"),
-        ("!", "<strong>@(grammata)</strong>"),
-        (",", '<span@[ class="@(genoses)"]@>@(grammata)</span>'),
-        ("><", '<a href="@((grammata))">@(grammata)</a>'),
-        (">", "<blockquote>\n@(grammata)\n</blockquote>"),
-        ("-", "<li>@(grammata)</li>"),
-        (".", '<li value="@(taxis)">@(grammata)</li>'),
-        ("*verbatim", '<pre@[ class="@(genoses)"]@>@(content)</pre>'),
-        ("*verbatim-inline", "<code>@(content)</code>"),
-        ("*media", '<img src="@(param)">'),
-        ("*deixis ^", '<a href="#@(onym)"></a>'),
-        ("*milestone", '<a id="@(scheme)-@(value)"></a>'),
-        ("*onym-anchor", '<a id="@(onym)"></a>'),
-    ]
-    if pattern != "*deixis ^"
-)
-
-
 # Line formats and composed coordinates.
 
 
