@@ -1,17 +1,18 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is approximated by a sum of full-dimensional code words, one of each codebook, found by a beam
-search over the residuals. Codebooks are k-means over the residuals of a bounded sample; ``rounds`` of
-least squares can solve them together, which takes a square matrix of all words. The index keeps each vector's codes, the squared norm of its
-approximation and the vector. A query is scored against all rows by sums of table entries; the best of each
-block of rows by that score are ranked by their exact distance.
+search over the residuals. Codebooks are k-means over the residuals of a bounded sample. The index keeps each
+vector's codes, the squared norm of its approximation and the vector. A query is scored against all rows by
+sums of table entries; the best of each block of rows by that score are ranked by their exact distance. A
+task keeps each query's nearest over all its blocks and gives them out once, at its end.
 
 The sample (``SAMPLE`` rows of least hash) bounds training only; every row is indexed. Queries are taken in
-blocks of ``QUERIES`` rows, which bounds what is broadcast.
+blocks of ``QUERIES`` rows, which bounds what is broadcast and what a task keeps; each block scans the index.
 
 Defined cases: vectors that are null, empty, zero, of another dimension than most of the sample, or hold
 null or non-finite components take no part; ties go to the smaller vec_id; a query's own vec_id is no
-candidate, and repeated rows of a vec_id are; with no valid rows the result is empty.
+candidate, and repeated rows of a vec_id are; a query's vec_id with several vectors asks with the least of
+them; with no valid rows the result is empty.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import Written
+from quire.llm.common import Written, mapped
 
 SAMPLE = 16384
-BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 4, 0
+BOOKS, WORDS, BEAM = 16, 256, 4
 QUERIES = 20_000
 RERANK = 256
 ROWS = 8192
@@ -81,23 +82,12 @@ def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
     return sum(books[j][codes[:, j]] for j in range(len(books)))
 
 
-def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = ROUNDS) -> np.ndarray:
+def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS) -> np.ndarray:
     rng, rest, out = np.random.default_rng(SEED), x.copy(), []
     for _ in range(books):
         out.append(kmeans(rest, words, rng))
         rest -= out[-1][_nearest(rest, out[-1])]
-    found = np.stack(out)
-    for _ in range(rounds):
-        codes = encode(x, found).astype(np.int64) + np.arange(books) * words
-        gram, right = np.zeros((books * words,) * 2), np.zeros((books * words, x.shape[1]))
-        for i in range(books):
-            np.add.at(right, codes[:, i], x)
-            for j in range(books):
-                np.add.at(gram, (codes[:, i], codes[:, j]), 1.0)
-        gram[np.diag_indices_from(gram)] += 0.1
-        right += 0.1 * found.reshape(books * words, -1)
-        found = np.linalg.solve(gram, right).reshape(found.shape)
-    return found
+    return np.stack(out)
 
 
 def build_index(vectors: DataFrame, sample: int = SAMPLE) -> tuple[Written, np.ndarray] | None:
@@ -121,12 +111,24 @@ def build_index(vectors: DataFrame, sample: int = SAMPLE) -> tuple[Written, np.n
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), packed, pa.array(norm)], ["vec_id", "v", "codes", "norm"])
 
     schema = "vec_id long, v array<double>, codes binary, norm double"
-    return Written(rows.where(F.size("v") == dim).mapInArrow(run, schema), "codes"), books
+    return Written(mapped(rows.where(F.size("v") == dim), run, schema), "codes"), books
+
+
+class Nearest:
+    """Ids and distances of the ``k`` nearest rows so far of each query, nearest first, ties by id."""
 
+    def __init__(self, n: int, k: int):
+        self.ids, self.far = np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), np.inf)
 
-def score_block(queries: np.ndarray, q_ids: np.ndarray, codes: np.ndarray, norm: np.ndarray, ids: np.ndarray, x: np.ndarray, books: np.ndarray, k: int, rerank: int) -> list[tuple]:
-    """(query_id, vec_id, score): the k nearest of one block of rows for each query."""
-    out = []
+    def add(self, i: int, ids: np.ndarray, far: np.ndarray) -> None:
+        k = self.ids.shape[1]
+        ids, far = np.concatenate((self.ids[i], ids)), np.concatenate((self.far[i], far))
+        best = np.lexsort((ids, far))[:k]
+        self.ids[i], self.far[i] = ids[best], far[best]
+
+
+def score_block(queries: np.ndarray, q_ids: np.ndarray, codes: np.ndarray, norm: np.ndarray, ids: np.ndarray, x: np.ndarray, books: np.ndarray, best: Nearest, rerank: int) -> None:
+    """Adds to ``best`` the nearest of one block of rows for each query."""
     order = np.argsort(ids, kind="stable")  # equal scores then favour the smaller id
     codes, norm, ids, x = codes[order], norm[order], ids[order], x[order]
     for at in range(0, len(queries), 256):
@@ -145,10 +147,7 @@ def score_block(queries: np.ndarray, q_ids: np.ndarray, codes: np.ndarray, norm:
             less = np.flatnonzero(row < edge[i])
             at_edge = np.flatnonzero((row == edge[i]) & (row < np.inf))[: max(0, rerank - len(less))]
             pick = np.concatenate((less, at_edge))
-            exact = np.sqrt(((x[pick] - q[i]) ** 2).sum(axis=1))
-            best = np.lexsort((ids[pick], exact))[:k]
-            out += zip([int(own[i])] * len(best), ids[pick][best].tolist(), exact[best].tolist())
-    return out
+            best.add(at + i, ids[pick], np.sqrt(((x[pick] - q[i]) ** 2).sum(axis=1)))
 
 
 def search(spark: SparkSession, index: DataFrame, books: np.ndarray, queries: DataFrame, k: int = 10, rerank: int = RERANK, block: int = QUERIES) -> DataFrame:
@@ -165,16 +164,19 @@ def search(spark: SparkSession, index: DataFrame, books: np.ndarray, queries: Da
 
         def run(it, shared=shared):
             q_ids, q, books = shared.value
+            best = Nearest(len(q), k)
             for b in it:
                 for at in range(0, len(b), ROWS):
                     part = b.slice(at, ROWS)
                     x = np.array(part.column("v").to_pylist())
                     codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(len(part), -1)
-                    rows = score_block(q, q_ids, codes, part.column("norm").to_numpy(), part.column("vec_id").to_numpy(), x, books, k, rerank)
-                    for i in range(0, len(rows), 100_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 100_000])], ["query_id", "vec_id", "score"])
+                    score_block(q, q_ids, codes, part.column("norm").to_numpy(), part.column("vec_id").to_numpy(), x, books, best, rerank)
+            who, place = np.nonzero(best.far < np.inf)
+            for at in range(0, len(who), 100_000):
+                i, j = who[at : at + 100_000], place[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(best.ids[i, j]), pa.array(best.far[i, j])], ["query_id", "vec_id", "score"])
 
-        found.append(Written(index.mapInArrow(run, "query_id long, vec_id long, score double"), "nearest").df)
+        found.append(Written(mapped(index, run, "query_id long, vec_id long, score double"), "nearest").df)
     near = found[0]
     for x in found[1:]:
         near = near.union(x)
@@ -190,7 +192,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     if built is None:
         return spark.createDataFrame([], empty)
     index, books = built
-    queries = index.df.where(F.col("vec_id") % every == 0).select("vec_id", "v").dropDuplicates(["vec_id"])
+    queries = index.df.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     if not queries.limit(1).count():
         return spark.createDataFrame([], empty)
     return search(spark, index.df, books, queries, k)
