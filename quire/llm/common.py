@@ -152,20 +152,30 @@ def whole_groups(it, key: str, names: tuple[str, ...], rows: int = 250_000):
 
 
 class Memo:
-    """A table in two generations of bounded size: what is asked for again outlives what is not."""
+    """A table in two generations of bounded size: what is asked for again outlives what is not.
 
-    def __init__(self, size: int):
-        self.size, self.new, self.old = size, {}, {}
+    ``limit`` bounds the bytes of a generation, by the length of the keys and what each entry takes besides.
+    Keys of over ``LONG`` characters are never kept: they seldom come again.
+    """
+
+    LONG, ENTRY = 64, 160
 
-    def missing(self, keys: Iterable) -> list:
+    def __init__(self, limit: int):
+        self.limit, self.size, self.new, self.old = limit, 0, {}, {}
+
+    def missing(self, keys: Iterable[str]) -> list[str]:
         """Those that are in neither generation; the others are moved to the new one."""
-        if len(self.new) > self.size:
-            self.new, self.old = {}, self.new
-        out = []
+        if self.size > self.limit:
+            self.new, self.old, self.size = {}, self.new, 0
+        new, old, out = self.new, self.old, []
         for k in keys:
-            if k not in self.new:
-                if k in self.old:
-                    self.new[k] = self.old[k]
+            if k not in new:
+                if (found := old.get(k)) is not None:
+                    self.put(k, found)
                 else:
                     out.append(k)
         return out
+
+    def put(self, key: str, value) -> None:
+        self.new[key] = value
+        self.size += 2 * len(key) + self.ENTRY

@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quire.llm.common import Memo, per_worker
+from quire.llm.common import Memo, mapped, per_worker
 
 WINDOW = 4096
 END = 2
 #: Documents pooled before packing starts, and those it leaves for later choice.
 POOL, POOL_KEEP = 4096, 1024
-#: Distinct pieces in each generation of the table; texts, and their length, tokenized at a time.
-MEMO = 700_000
+#: Bytes in each generation of the table of distinct pieces; texts, and their length, tokenized at a time.
+MEMO = 96 << 20
 TEXTS, CHARS = 256, 4_000_000
 CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 #: Code points up to U+0220 without the control marks that count as white space in some places only, and without
@@ -76,14 +76,20 @@ class WordIds:
     def many(self, texts: list[str]) -> list[bytes]:
         split = [self.pieces(t) for t in texts]
         new = self.memo.missing(set().union(*split))
+        long: dict[str, bytes] = {}
         for at in range(0, len(new), 8192):
             part = new[at : at + 8192]
             ids = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
             raw = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
             k = 0
             for c, x in zip(part, ids):
-                self.memo.new[c] = raw[k : (k := k + 4 * len(x))]
-        get = self.memo.new.__getitem__
+                own = raw[k : (k := k + 4 * len(x))]
+                if len(c) > Memo.LONG:
+                    long[c] = own
+                else:
+                    self.memo.put(c, own)
+        held = self.memo.new
+        get = (lambda c: long[c] if c in long else held[c]) if long else held.__getitem__
         return [b"".join(map(get, c)) for c in split]
 
 
@@ -247,7 +253,7 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", window: int = W
         if rows:
             yield _batch(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return mapped(docs.select("doc_id", "text"), run, SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

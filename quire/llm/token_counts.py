@@ -4,9 +4,10 @@ A task keeps a table of distinct pre-tokens and their number of pieces, filled b
 has not seen. The documents' pre-token frequencies are joined to it inside the task and summed. Only the
 counts leave the task, so nothing is shuffled; the table has a bounded size, and what is asked for again outlives what is not.
 
-Pre-tokens are found here by the tokenizer's published pattern for texts within a range of code points
-whose classes have been stable; any other text, and any that holds a special token's string, is counted by
-the library itself.
+Pre-tokens are found here by the tokenizer's published pattern in texts of code points whose classes all
+versions of the tables agree on; in any other text the library's own pre-tokenizer finds them, which knows
+every script. A special token's string is one token, and the text before and after it is split alone. Long
+texts are split in parts, cut where a pre-token ends in any case.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; repeated rows are counted alike; an empty
 table gives no rows; further columns are not read.
@@ -17,17 +18,23 @@ from __future__ import annotations
 import os
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quire.llm.common import Memo, per_worker
+from quire.llm.common import Memo, mapped, per_worker
 from quire.llm.packing import tokenizer_path
 
 LIMIT = 512
-MEMO = 400_000
-#: Latin with its extensions, Greek and Cyrillic letters, and general punctuation, without unassigned places.
+#: Bytes in each generation of the table.
+MEMO = 64 << 20
+#: Latin with its extensions and general punctuation, without unassigned places.
 PLAIN = re.compile("[\\x00-\\x1b\\x20-\\x84\\x86-\\u0220\\u2010-\\u2027\\u2030-\\u205e]*")
+#: Ends of pre-tokens whatever stands around: before a blank, and after ideographic marks before an ideograph.
+SAFE = re.compile("[!-~](?= )|[\\u3001\\u3002\\uff0c](?=[\\u4e00-\\u9fa5])")
+#: Before pre-tokens as the library shows them; no other pre-token holds it.
+MARK = "\uffff"
 #: The pre-tokenization pattern of this byte-level vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts are split into pre-tokens in parts of about this many characters, to bound memory.
@@ -36,6 +43,15 @@ PART = 1 << 20
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
+def parts(text: str, size: int) -> Iterator[str]:
+    """The text in parts of ``size`` or more characters, the last one shorter, whose pre-tokens are those of the text."""
+    at = 0
+    while len(text) - at > size and (m := SAFE.search(text, at + size)):
+        yield text[at : m.end()]
+        at = m.end()
+    yield text[at:]
+
+
 class PieceCounter:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,34 +59,39 @@ class PieceCounter:
         from tokenizers import Tokenizer
 
         self.tok, self.memo = Tokenizer.from_file(path), Memo(MEMO)
-        self.split = regex.compile(PATTERN).finditer
         self.find = regex.compile(PATTERN).findall
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))).split
+
+    def pieces(self, text: str) -> list[str]:
+        """Pre-tokens as the text has them, or, marked, as the library shows their bytes."""
+        if PLAIN.fullmatch(text):
+            return self.find(text)
+        return [MARK + p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(text)]
 
-    def frequencies(self, text: str) -> Counter:
-        if len(text) <= PART:
-            return Counter(self.find(text))
-        out: Counter = Counter()
-        part: list[str] = []
-        for m in self.split(text):
-            part.append(m[0])
-            if len(part) == PART // 4:
-                out.update(part)
-                part = []
-        out.update(part)
-        return out
+    def counts(self, pieces: list[str]) -> list[int]:
+        """Numbers of pieces the library's model cuts pre-tokens into."""
+        plain = [p for p in pieces if p[0] != MARK]
+        of = dict(zip(plain, map(len, self.tok.encode_batch_fast(plain, add_special_tokens=False))))
+        return [of[p] if p[0] != MARK else len(self.tok.model.tokenize(p[1:])) for p in pieces]
 
     def __call__(self, text: str) -> int:
-        if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return len(self.tok.encode(text, add_special_tokens=False).ids)
-        freq = self.frequencies(text)
-        # a pre-token is split alone as it is in its text: the pattern finds it whole
+        if any(s in text for s in self.special):
+            spans = self.split(text)
+            return len(spans) - 1 + sum(map(self, spans))
+        return sum(self.part(p) for p in parts(text, PART))
+
+    def part(self, text: str) -> int:
+        freq = Counter(self.pieces(text))
+        long = 0
         new = self.memo.missing(freq)
-        if new:
-            for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-                self.memo.new[p] = len(e.ids)
+        for p, n in zip(new, self.counts(new)):
+            if len(p) > Memo.LONG:
+                long += freq.pop(p) * n
+            else:
+                self.memo.put(p, n)
         count = self.memo.new
-        return sum(n * count[p] for p, n in freq.items())
+        return long + sum(n * count[p] for p, n in freq.items())
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = LIMIT) -> DataFrame:
@@ -87,4 +108,4 @@ def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return mapped(docs.select("doc_id", "text"), run, SCHEMA, 500)
