@@ -64,6 +64,13 @@ QUERIES = {f.__name__: f for f in (op1_cube_mixing, op2_warc_chunks, op3_bin_sla
 _RULES = " + ".join(f"CASE WHEN {fails} THEN {1 << k} ELSE 0 END" for k, (_, fails) in enumerate(quality.RULES))
 
 ORACLE_SQL = {
+    "op2_warc_chunks": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+r AS (SELECT *, CASE WHEN n >= {warc.LEAST_SHARED} THEN max(page_id) OVER (PARTITION BY t) END AS kept FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(t) AS payload_digest,
+       CASE WHEN page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> kept THEN kept END AS refers_to, true AS agrees
+FROM r""",
     "op7_rule_ledger": f"""
 WITH split AS (
   SELECT doc_id, coalesce(text, '') AS t,

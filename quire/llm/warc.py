@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import Written, new_path, row_key, small
+from quire.llm.common import Written, mapped, new_path, row_key, small
 
 CHUNK = 1 << 18
 ROLL = 1 << 28
@@ -111,7 +111,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, chunk: int = CHUNK)
     def manifest(*row):
         return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["path", "records", "bytes"])
 
-    return Written(chunk_table(pages, chunk).mapInArrow(run, "path string, records long, bytes long"), "manifest").df
+    return Written(mapped(chunk_table(pages, chunk), run, "path string, records long, bytes long", 200), "manifest").df
 
 
 class Stream:
@@ -200,4 +200,4 @@ def read_warc(spark: SparkSession, manifest: DataFrame, with_data: bool = True,
                         yield batch(rows)
 
     schema = "page_id long, record_type string, refers_to long, chunk_no int, last boolean, n long, sha1 string, agrees boolean, data binary"
-    return manifest.select("path").repartition(max(1, manifest.count())).mapInArrow(run, schema)
+    return mapped(manifest.select("path").repartition(max(1, manifest.count())), run, schema)

@@ -82,6 +82,16 @@ def test_flight_keeps_both_balances(units, seed):
     assert sum(p) == pytest.approx(before[0], abs=1e-4) and sum(s * x for s, x in zip(sizes, p)) == pytest.approx(before[1], abs=0.1)
 
 
+def test_mix_targets_of_odd_sources(spark):
+    """A null source comes last and weighs as such; with no words every target is 0."""
+    rows = [(k, "w " * 10, s, "en", 1) for s, n in (("a", 30), ("b", 20), (None, 50)) for k in range(n)]
+    df = spark.createDataFrame([(d, t, lang, s, n) for d, t, s, lang, n in rows], DOCS)
+    got = {(r.source, r.source_size, round(r.target, 6)) for r in mixing.mix(df).collect()}
+    assert got == {("a", 300, 625.0), ("b", 200, 250.0), (None, 500, 125.0)}
+    none = mixing.mix(spark.createDataFrame([(1, " ", "en", "a", 1), (2, None, "en", None, 1)], DOCS)).collect()
+    assert {(r.doc_id, r.target, r.taken, r.copies) for r in none} == {(1, 0.0, 0, 0), (2, 0.0, 0, 0)}
+
+
 def test_mix_odd_rows(odd, empty):
     rows = mixing.mix(odd).collect()
     assert len(rows) == 9 and {r.doc_id for r in rows} == {1, 2, 4, 5, 6, 7, 8, None}
@@ -171,7 +181,7 @@ def test_packing_query(spark, sf, documents):
 
 def test_packing_odd_texts():
     ids_of = packing.WordIds(packing.tokenizer_path("word_bpe_49k.json"))
-    texts = ["<|endoftext|> a<|endoftext|>b", "ΑΣ ΟΔΟΣ x y\x1cz \x85w", "é İstanbul ǅ", "", None, "don't 12345 ...!!", "日本語テキスト 漢字", "word " * 30000]
+    texts = ["汉字" * 5000 + " ok", "<|endoftext|> a<|endoftext|>b", "ΑΣ ΟΔΟΣ x y\x1cz \x85w", "é İstanbul ǅ", "", None, "don't 12345 ...!!", "日本語テキスト 漢字", "word " * 30000]
     rows = [dict(zip(("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"), r), ids_crc32=zlib.crc32(r[-1])) for r in packing.packed_rows(enumerate(texts), ids_of)]
     assert check_packing(rows, dict(enumerate(texts))) == 0
 
@@ -192,17 +202,27 @@ def test_fill_is_least_slack(counts, capacity):
 # 4
 
 
+def plain_sentences(text):
+    lines = re.sub(r"([.!?])[\x20\x09-\x0D]", "\\1\n", text or "").split("\n")
+    return [w for x in lines if (w := WORD.findall(x))]
+
+
 def plain_spans(docs, run, least, long):
-    seen, gone = {}, defaultdict(set)
-    for doc, text in sorted(docs.items()):
-        s = [" ".join(text[i:j].split()) for i, j in sentence_spans.sentences(text or "")]
-        for size in {min(run, len(s)), 1} if s else ():
-            for k in range(len(s) - size + 1):
-                t = tuple(s[k : k + size])
-                enough = long if size == 1 and len(s) > 1 else least
-                if sum(len(x.split()) for x in t) >= enough and seen.setdefault(t, (doc, k)) != (doc, k):
-                    if (doc, k) > seen[t]:
-                        gone[doc] |= set(range(k, k + size))
+    """Numbers of sentences that a run covers which is not at its first place."""
+    places = defaultdict(list)
+    for doc, text in docs.items():
+        s = plain_sentences(text)
+        runs = {(k, k + 1) for k, w in enumerate(s) if len(w) >= long}
+        for k in range(len(s)):
+            ahead = [j for j in range(k + run, len(s) + 1) if sum(map(len, s[k:j])) >= least]
+            back = [i for i in range(k + 1 - run, -1, -1) if sum(map(len, s[i : k + 1])) >= least]
+            runs |= {(k, j) for j in ahead[:1]} | {(i, k + 1) for i in back[:1]}
+        for i, j in runs:
+            places[tuple(map(tuple, s[i:j]))].append((doc, i, j))
+    gone = defaultdict(set)
+    for found in places.values():
+        for doc, i, j in sorted(found)[1:]:
+            gone[doc] |= set(range(i, j))
     return gone
 
 
@@ -218,7 +238,9 @@ def test_sentence_spans(spark, sf, documents):
 def test_sentence_spans_odd(odd, empty):
     rows = sentence_spans.remove_repeated_sentences(odd).collect()
     assert len(rows) == 9 and sentence_spans.remove_repeated_sentences(empty).count() == 0
+    # of two rows with one text the first keeps its first run, a row given twice keeps the same in both
     assert {r.doc_id for r in rows if r.n_removed} == {5, 6}
+    assert {(r.n_removed, r.kept) for r in rows if r.doc_id == 1} == {(0, "aa bb cc dd ee ff gg hh ii jj kk")}
 
 
 def test_sentence_spans_of_short_sentences(spark):
@@ -289,8 +311,6 @@ def test_simhash_odd(odd, empty):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == 9 and simhash.near_duplicates(empty).count() == 0
     assert {r.component_id for r in rows if r.fp == 0} == {2}
-    kept = simhash.one_of_each(odd)
-    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 5, 8]
 
 
 def test_components_on_paths(spark):
@@ -329,7 +349,7 @@ def test_linked_lines_meet_under_a_key(a, ops):
     keys = lambda s, bit: {(seed, s[i:j]) for seed, i, j, r in line_join.probes(len(s)) if r & bit}
     short, longer = sorted((a, b), key=len)
     assert keys(short, 1) & keys(longer, 2)
-    gap = line_join.sketch_gap(np.array([line_join.sketch(a)], np.uint64), np.array([line_join.sketch(b)], np.uint64))[0]
+    gap = line_join.sketch_gap(*(line_join.sketches([s]) for s in (a, b)))[0]
     assert gap <= 2 * edit_distance(a, b)
 
 
@@ -385,6 +405,24 @@ def test_line_join(spark):
             assert classes.setdefault(s, c) == c
 
 
+def test_segment_keys():
+    rng = np.random.default_rng(4)
+    lines = ["".join(rng.choice(list("abcdé中 "), rng.integers(40, 260))) for _ in range(60)]
+    key, role, line = line_join.segment_keys(lines)
+    flat = [(k, seed, s[i:j], r) for k, s in enumerate(lines) for seed, i, j, r in line_join.probes(len(s))]
+    assert [x[0] for x in flat] == line.tolist() and [x[3] for x in flat] == role.tolist()
+    names = {}
+    for x, k in zip(flat, key.tolist()):
+        assert names.setdefault(x[1:3], k) == k
+    assert len(set(names.values())) == len(names)
+
+
+def test_within_long_lines():
+    rng = np.random.default_rng(6)
+    a = "".join(rng.choice(list("abcdefg "), 1_000_000))
+    assert line_join.within(a, "x" + a[1:-1] + "y", 2) and not line_join.within(a, "x" + a[1:500] + a[501:-1] + "y", 2)
+
+
 @pytest.mark.parametrize("tile", [50_000, 3])
 def test_line_links_by_tiles(spark, tile):
     rng = np.random.default_rng(8)
@@ -398,7 +436,9 @@ def test_line_links_by_tiles(spark, tile):
     lines = sorted(lines)
     df = spark.createDataFrame([(s,) for s in lines], "text string")
     ids = {line_join.line_hash(s): s for s in lines}
-    got = {r.node: r.root for r in components.components(line_join.line_links(df, tile=tile, share=1).df).collect()}
+    keys = [(line_join.segment_keys([s])[0].tolist(),) for s in lines for _ in range(1 + 16 // tile)]
+    places = spark.createDataFrame(keys, "keys array<long>")
+    got = {r.node: r.root for r in components.components(line_join.line_links(df, places, tile).df).collect()}
     root = {s: s for s in lines}
 
     def top(x):
@@ -419,8 +459,20 @@ def test_line_links_by_tiles(spark, tile):
     assert sorted(map(sorted, classes.values())) == sorted(map(sorted, want.values())) and len(want) < len(lines)
 
 
+def test_line_join_query(spark, sf, documents):
+    texts = {d["doc_id"]: d["text"] for d in documents}
+    gone = plain_lines(texts)
+    for r in queries.op6_line_edit_join(spark, sf).collect():
+        lines = texts[r.doc_id].split("\n")
+        assert r.kept == "\n".join(s for k, s in enumerate(lines) if (r.doc_id, k) not in gone)
+        assert r.n_lines == sum(1 for _ in line_join.lines_of(texts[r.doc_id]))
+
+
 def test_line_join_odd(odd, empty):
-    assert line_join.dedup_lines(odd).count() == 9 and line_join.dedup_lines(empty).count() == 0
+    rows = line_join.dedup_lines(odd).collect()
+    assert len(rows) == 9 and line_join.dedup_lines(empty).count() == 0
+    assert {(r.n_lines, r.n_removed, r.kept) for r in rows if r.doc_id == 1} == {(1, 0, "aa bb cc dd ee ff gg hh ii jj kk")}
+    assert [(r.n_lines, r.n_removed) for r in sorted(rows, key=lambda r: r.doc_id or 0) if r.doc_id in (5, 6)] == [(1, 0), (1, 1)]
     kept = line_join.documents_without_repeats(odd)
     assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 1, 2, 4, 5, 7, 8]
 
@@ -478,6 +530,29 @@ def test_piece_counter_is_the_library(text):
     assert COUNTER(t) == len(COUNTER.tok.encode(t, add_special_tokens=False).ids)
 
 
+SCRIPTS = ["我们在这里，看书。学习中文！", "Ελληνικά γράμματα, ἀρχή. ", "Русские слова и цифры 123. ", "emoji 😀😃 👩‍👩‍👧 ok! ", "\0\0 nul￿ ", "ไทยไม่มีช่องว่าง ", "€ → ≤ x́ 　 हिन्दी "]
+
+
+@pytest.mark.parametrize("text", [*SCRIPTS, "".join(SCRIPTS)])
+def test_piece_counter_on_long_texts_of_every_script(text, monkeypatch):
+    monkeypatch.setattr(token_counts, "PART", 5_000)
+    count = token_counts.PieceCounter(packing.tokenizer_path("byte_bpe_50k.json"))
+    long = text * (100_000 // len(text)) + "<|endoftext|>" + text
+    assert list(token_counts.parts(long, 5_000)) != [] and "".join(token_counts.parts(long, 5_000)) == long
+    assert count(long) == len(count.tok.encode(long, add_special_tokens=False).ids)
+    assert count.memo.size <= token_counts.MEMO
+
+
+def test_memo_is_bounded_by_bytes():
+    from quire.llm.common import Memo
+
+    memo = Memo(10_000)
+    for k in range(1000):
+        for x in memo.missing([f"piece {k}", f"piece {k // 2}"]):
+            memo.put(x, k)
+        assert len(memo.new) <= 10_000 // Memo.ENTRY + 2 and f"piece {k}" in memo.new
+
+
 def test_token_counts_odd(odd, empty):
     rows = token_counts.count_tokens(odd).collect()
     assert len(rows) == 9 and token_counts.count_tokens(empty).count() == 0
@@ -505,7 +580,7 @@ def plain_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
+@pytest.mark.parametrize("hot", [10_000, 1])
 def test_suffix_small(spark, hot):
     rng = np.random.default_rng(11)
     letters = np.frombuffer(b"abcdefghij klm", np.uint8)
@@ -527,6 +602,26 @@ def test_suffix_small(spark, hot):
         assert (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) == want[r.doc_id], r.doc_id
 
 
+def test_multikey_order():
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 3, (5000, 6)).astype(np.uint64) << np.uint64(60)
+    assert [tuple(r) for r in words[suffix.multikey_order(words)].tolist()] == sorted(map(tuple, words.tolist()))
+
+
+def test_suffix_hot_head(spark):
+    """Very many contexts behind one long head, in one bucket and over several, with repeats among them."""
+    rng = np.random.default_rng(12)
+    rand = lambda n: rng.integers(97, 110, n).astype(np.uint8).tobytes()
+    head = rand(120)
+    texts = [rand(int(rng.integers(0, 30))) + head + rand(60) for _ in range(300)]
+    texts += [rand(5) + t[3:] for t in texts[:40]]
+    df = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = plain_repeats(texts, 40)
+    for hot in (10_000, 20):
+        for r in suffix.remove_repeats(df, 40, reach=25, gram=4, hot=hot).collect():
+            assert (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) == want[r.doc_id], (hot, r.doc_id)
+
+
 def test_suffix_query(spark, sf, documents):
     texts = [d["text"].encode() for d in documents]
     length, count = 400, Counter()
@@ -586,16 +681,16 @@ def test_ann_recall_beyond_one_block():
     books = ann.train(x[:8192])
     codes = ann.encode(x, books)
     norm = (ann.decode(codes, books) ** 2).sum(axis=1)
-    q, found = ids[::400], defaultdict(list)
+    q = ids[::400]
+    found = ann.Nearest(len(q), 10)
     for at in range(0, len(x), ann.ROWS):
         b = slice(at, at + ann.ROWS)
-        for query, vec, score in ann.score_block(x[q], q, codes[b], norm[b], ids[b], x[b], books, 10, ann.RERANK):
-            found[query].append((score, vec))
+        ann.score_block(x[q], q, codes[b], norm[b], ids[b], x[b], books, found, ann.RERANK)
     hits = 0
-    for k in q:
+    for i, k in enumerate(q):
         d = ((x - x[k]) ** 2).sum(axis=1)
         d[k] = np.inf
-        hits += len({v for _, v in sorted(found[k])[:10]} & set(np.argsort(d)[:10].tolist()))
+        hits += len(set(found.ids[i].tolist()) & set(np.argsort(d)[:10].tolist()))
     assert hits >= 0.9 * 10 * len(q)
 
 
@@ -606,3 +701,19 @@ def test_ann_odd(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df).collect())
     assert got == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (0, 3, 100, 1.0), (0, 4, 100, 1.0), (100, 1, 0, 1.0), (100, 2, 1, 1.0), (100, 3, 2, 1.0)]
     assert ann.nearest(df.where("vec_id = 3")).count() == 0
+
+
+def test_ann_repeated_query_and_clashing_columns(spark):
+    """A query id with two vectors asks with the lesser one; columns named as the operator's own are not read."""
+    rows = [(0, [3.0, 0.0], 1, 2.0), (0, [1.0, 0.0], 1, 2.0), (1, [1.0, 0.5], 1, 2.0), (2, [3.0, 0.1], 1, 2.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v long, score double").selectExpr("*", "7 AS norm", "8 AS codes", "9 AS rank", "10 AS part").repartition(3)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df).collect())
+    assert [g[:3] for g in got] == [(0, 1, 1), (0, 2, 2)] and got[0][3] == 0.5
+
+
+def test_warc_repeated_rows_and_clashing_columns(spark, tmp_path):
+    big = "é" * 700
+    rows = [(1, "u", big), (1, "u", big), (2, "u", big), (2, "u", big), (3, "u", None), (3, "u", None), (None, "u", "x" * 2000), (None, "u", "x" * 2000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS data", "2 AS digest", "3 AS n", "4 AS last", "5 AS refers_to", "6 AS key_a")
+    found = warc.read_warc(spark, warc.write_warc(pages, f"file://{tmp_path}/w")).where("last").collect()
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in found) == {(1, "revisit", 2): 2, (2, "response", None): 2, (3, "response", None): 2, (None, "response", None): 2}
