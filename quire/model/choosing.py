@@ -23,11 +23,13 @@ class Book:
     def get(self, name: str) -> RuleTable | None:
         """A table without what the schema's parents bring."""
         if name not in self._own:
-            source, target = name.split(".")[:2]
+            source, target, *variant = name.split(".")
             if name in self.files:
                 self._own[name] = read_rules(self.files[name], self.catalog.schema(source))
+            elif variant:
+                self._own[name] = built_in.variant_of(source, target, variant[0], self.catalog)
             else:
-                self._own[name] = built_in.built_in(source, target, self.catalog) if name.count(".") == 1 else None
+                self._own[name] = built_in.built_in(source, target, self.catalog)
         return self._own[name]
 
     def table(self, source: str, target: str, variant: str | None = None) -> RuleTable:

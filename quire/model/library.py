@@ -476,6 +476,14 @@ _MARKERS = "h toc1 toc2 toc3 mt1 mt2 mt3 ms1 ms2 mr s1 s2 s3 r d sp qa ip is1 is
 _UNNUMBERED = "mt ms s is pi li ili"
 
 
+#: Localized element names by schema and language, in the order of the schema's elements.
+_NAMES: dict[str, dict[str, str]] = {
+    "at-aphanes": {"en": "person place organisation target date category original", "ru": "лицо место организация цель дата категория оригинал"},
+    "at-epimerismos": {"en": "sentence lexeme part-of-speech features semantics head relation", "ru": "предложение лексема часть-речи граммемы семантика вершина отношение"},
+    "at-epistole": {"en": "addressee salutation signature composition-date", "ru": "адресат обращение подпись дата-написания"},
+}
+
+
 def _terms(text: str) -> dict[str, set[str]]:
     return {words[0]: set(words[1:]) for words in map(str.split, text.strip().split("\n"))}
 
@@ -527,6 +535,8 @@ def _maker(name: str) -> Callable[[Catalog], Schema]:
             bring(out, catalog.schema(parent), *([how[0], tuple(how[1])] if how else []))
         out.elements |= {e.symbol: e for e in _ELEMENTS[name]}
         out.vocabularies |= {v: terms() for v, terms in _VOCABULARIES.get(name, {}).items()}
+        for language, names in _NAMES.get(name, {}).items():
+            out.localized.setdefault(language, {}).update(zip((e.symbol for e in _ELEMENTS[name]), names.split()))
         return out
 
     return make

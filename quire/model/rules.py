@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from quire.model.names import ALIAS, SIGIL
 from quire.model.rendering import Rule, RuleTable, read_pattern, read_template
 from quire.model.schema import Catalog
+from quire.model.tree import DocumentError
 
 XML = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;"}
 BODY, HEAD, TAIL = "@(grammata)", "@(lemma)", "@(hypograph)"
@@ -598,6 +599,67 @@ def _osis() -> Rules:
     )
 
 
+def _usfm_latex() -> Rules:
+    heads = {m: f"\\section*{{{BODY}}}\n" for m in ("s1", "s2", "s3", "ms1", "ms2")} | {"mt1": f"\\part*{{{BODY}}}\n", "mt2": f"\\part*{{{BODY}}}\n", "h": "", "toc1": "", "toc2": "", "toc3": ""}
+    return {
+        "*document": "\\documentclass{book}\n\\begin{document}\n@(grammata)\n\\end{document}",
+        "*paragraph": BODY + "\n",
+        "#": BODY,
+        "*solo ##": "\\chapter*{@(param)}\n",
+        "##": "\\textbf{@(param)} ",
+        "|": "\\textsuperscript{@(param)}",
+        "*solo _": BODY + "\n",
+        **{f"*solo _.{m}": t for m, t in heads.items()},
+        "_": BODY,
+        "~": f"\\begin{{verse}}\n{BODY}\n\\end{{verse}}\n",
+        "*strophe": BODY + "\n",
+        "*stichos": BODY + r"\\",
+        ",": BODY,
+        **{f",.{m}": f"\\{c}{{{BODY}}}" for m, c in (("nd", "textsc"), ("add", "textit"), ("em", "emph"), ("bd", "textbf"), ("it", "textit"), ("sc", "textsc"), ("qs", "textit"), ("tl", "textit"))},
+        "^": f"\\footnote{{{BODY}}}",
+        "*milestone": "",
+        "*onym-anchor": "",
+        "*englossis kolophon": "",
+    }
+
+
+#: Variants of a table: what they say otherwise.
+_VARIANTS: dict[tuple[str, str, str], Callable[[], Rules]] = {
+    ("at-usfm", "latex", "a5"): lambda: {"*document": "\\documentclass[a5paper]{book}\n\\begin{document}\n@(grammata)\n\\end{document}"},
+    ("at-usfm", "latex", "redletter"): lambda: {",.wj": f"\\textcolor{{red}}{{{BODY}}}"},
+    ("at-usfm", "latex", "ru"): lambda: {"*document": "\\documentclass{book}\n\\usepackage[russian]{babel}\n\\begin{document}\n@(grammata)\n\\end{document}"},
+}
+
+
+def _dictionary_latex() -> Rules:
+    return _latex() | {
+        "!": f"\\textbf{{{HEAD}}}@[\\label{{@(onym)}}]@ {BODY}",
+        "*paragraph in !": BODY,
+        ":": f"@[\\textbf{{@(taxis)}} ]@{BODY}",
+        **{f"*solo {s}": BODY for s in ("=~", "=%", "=-", "=&", "=<", "=>", "=*", "=/")},
+        **{s: BODY for s in ("=~", "=%", "=-", "=&", "=<", "=>", "=*", "=/", "&", "[[", "=~~")},
+        "[": f"\\textit{{{BODY}}}",
+        "~": f"\\textit{{{BODY}}}",
+    }
+
+
+def _dictionary_kindle() -> Rules:
+    heads = {s: tag("span", f' class="{n}"') for s, n in (("=~", "variant"), ("=%", "pronunciation"), ("=-", "syllables"), ("=&", "grammar"), ("=<", "etymology"), ("=>", "equivalent"), ("=*", "inflection"), ("=/", "languages"), ("&", "label"), ("[", "usage"), ("~", "citation"))}
+    shared = _literary_html()
+    return {k: v for k, v in shared.items() if k in _KINDLE_SHARED} | heads | {
+        "!": '<idx:entry name="default" scriptable="yes">\n<idx:orth value="@(lemma)"@[ id="@(onym)"]@><b>@(lemma)</b></idx:orth>\n@(grammata)\n</idx:entry>',
+        ":": box("div", ' class="sense"', "@[<b>@(taxis)</b> ]@" + BODY),
+        "=~~": box("div", ' class="citation"'),
+        "[[": box("div", ' class="abbreviations"'),
+    }
+
+
+_KINDLE_SHARED = (
+    "*document *paragraph / * */ , >< -- .. - .- ::; :: ; ^ # ## ### #_ ** \"\" > *verbatim *verbatim-inline *media *milestone *onym-anchor = =_ =: =;".split()
+    + ["*solo =", "*solo =_", "*solo =:", "*solo =;", "*solo **", "*solo #_", "*deixis ^", '"', "*englossis kolophon"]
+)
+
+
 # The book of tables.
 
 _PLAIN: dict[str, str] = {}
@@ -625,6 +687,9 @@ _TABLES: dict[tuple[str, str], tuple[dict[str, str], Callable[[dict], Rules]]] =
     ("litogramma", "html"): (XML, lambda v: _literary_html()),
     ("litogramma", "gemtext"): (_PLAIN, lambda v: _gemtext()),
     ("litogramma", "latex"): (_TEX, lambda v: _latex()),
+    ("lexigramma", "latex"): (_TEX, lambda v: _dictionary_latex()),
+    ("lexigramma", "kindle"): (XML, lambda v: _dictionary_kindle()),
+    ("at-usfm", "latex"): (_TEX, lambda v: _usfm_latex()),
     ("at-usfm", "usfm"): (_PLAIN, lambda v: _usfm()),
     ("at-usfm", "usx"): (XML, lambda v: _usx()),
     ("at-usfm", "osis"): (XML, lambda v: _osis()),
@@ -633,6 +698,12 @@ _TABLES: dict[tuple[str, str], tuple[dict[str, str], Callable[[dict], Rules]]] =
 TARGETS = ("html", "xhtml", "md", "dj", "org", "rst", "docbook", "tei", "gemtext", "latex", "usfm", "usx", "osis", "kindle", "epub")
 
 
+def variant_of(source: str, target: str, variant: str, catalog: Catalog) -> RuleTable | None:
+    """What a named variant of a table says otherwise."""
+    rules = _VARIANTS.get((source, target, variant))
+    return None if rules is None else _compiled(source, target, {}, rules(), SIGIL, catalog)
+
+
 def built_in(source: str, target: str, catalog: Catalog) -> RuleTable | None:
     """The table of a schema's own rules for a target."""
     schema = catalog.schema(source)
@@ -648,15 +719,30 @@ def built_in(source: str, target: str, catalog: Catalog) -> RuleTable | None:
     sigil = SIGIL
     if target == "usfm":
         rules, sigil = {p: _other_sigil(t) for p, t in rules.items()}, ALIAS
-    out = RuleTable(source, target, escape=dict(escapes))
+    out = _compiled(source, target, escapes, rules, sigil, catalog)
     if (source, target) == ("litogramma", "latex"):
         out.beside["bibliogramma"] = "bib"  # a bibliography is a file of its own there
+    return out
+
+
+def _compiled(source: str, target: str, escapes: dict[str, str], rules: Rules, sigil: str, catalog: Catalog) -> RuleTable:
+    schema = catalog.schema(source)
+    out = RuleTable(source, target, escape=dict(escapes))
     for pattern, template in rules.items():
-        key, classes, separator = read_pattern(pattern, schema)
+        try:
+            key, classes, separator = read_pattern(pattern, schema)
+        except DocumentError:
+            if (source, target) not in _LENT:
+                raise
+            continue  # a pattern lent by another schema's table that this one has no element for
         out.add(key, Rule(classes, read_template(template, sigil, schema), separator))
     return out
 
 
+#: Tables that start from those of the literary schema.
+_LENT = (("lexigramma", "latex"), ("lexigramma", "kindle"))
+
+
 def named(target: str) -> Iterator[str]:
     """Schemas with a table of their own for a target."""
     return (s for s, t in _TABLES if t == target)

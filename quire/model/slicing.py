@@ -6,7 +6,7 @@ from dataclasses import dataclass, field, replace
 
 from quire.functions.alignment import CLAUSE, SENTENCE, WORD, cuts, merged_order, nearest
 from quire.model.names import valid_class
-from quire.model.tree import Document, DocumentError, Node, clone
+from quire.model.tree import Document, DocumentError, Node, clone, walk
 
 
 @dataclass
@@ -111,6 +111,19 @@ def _wrapper(b: Node, scheme: str) -> list[Slice]:
     return [Slice(s.point, [_part(b, k == 0, body=s.nodes)] if s.nodes else []) for k, s in enumerate(inner)]
 
 
+def schemes(doc: Document) -> list[str]:
+    """The schemes of a document's coordinates."""
+    return sorted({n.scheme for n in walk(doc.blocks) if n.kind == "point"})
+
+
+def sole_scheme(docs: list[Document]) -> str:
+    """The one scheme that the documents' coordinates have; none or several is an error."""
+    found = sorted({s for d in docs for s in schemes(d)})
+    if len(found) != 1:
+        raise DocumentError("Syntax", f"the coordinates have {'no scheme' if not found else 'several schemes: ' + ', '.join(found)}: name one")
+    return found[0]
+
+
 def words(nodes: list[Node]) -> list[str]:
     """Words of each text node by itself: an element's edge ends a word."""
     out: list[str] = []

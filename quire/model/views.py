@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+from quire.model.names import ALIAS, SIGIL, symbolic
 from quire.model.schema import Schema
 from quire.model.tree import Document, DocumentError, Node, clone, has_blocks, walk
 from quire.model.writer import write
@@ -56,6 +58,108 @@ def points(doc: Document, source: str) -> Iterator[dict]:
             yield {"kind": "onym", "key": n.anchor, "line": n.end}
 
 
+def outline_text(doc: Document, schema: Schema, source: str) -> str:
+    """The outline as a table text: a section for each block and point; a value that opens with ``$`` doubles it."""
+    value = lambda v: "$" + v if v.startswith("$") else v
+    out = [".!kaiv\n", f"dialektos={value(doc.schema)}"]
+    for b in outline(doc, schema):
+        fields = [("kind", b["kind"]), ("symbol", b["symbol"]), ("name", b["name"]), ("depth", str(b["depth"])), ("start", str(b["start"])), ("end", str(b["end"])), ("lemma", b["head"] or None), ("onym", b["anchor"])]
+        plain = ("kind", "depth", "start", "end")
+        out += ["\n[/@blocks]", *(f"{k}={v if k in plain else value(v)}" for k, v in fields if v is not None), *(f"@genoses+={value(c)}" for c in b["classes"])]
+    found = list(points(doc, source))
+    for section, kind in (("milestones", "milestone"), ("onyms", "onym"), ("deixes", "deixis")):
+        for x in found:
+            if x["kind"] == kind:
+                out += [f"\n[/@{section}]", f"key={value(x['key'])}", f"line={x['line']}"]
+    return "\n".join(out) + "\n"
+
+
+def declared_id(source: str) -> str | None:
+    """The schema that a source's first content line declares, without its version."""
+    for k, line in enumerate(source.split("\n")):
+        if k == 0 and line.startswith("#!") or not line.strip():
+            continue
+        m = re.match(r"(?:@@@|\\\\\\)!([^@\s]+)", line.strip())
+        return m[1] if m else None
+    return None
+
+
+#: Kinds of marks for display (fixed values).
+KINDS = ("namespace", "keyword", "comment", "number", "variable", "macro", "operator")
+
+
+def highlights(source: str, schema: Schema | None = None) -> Iterator[tuple[int, int, int, str]]:
+    """(line, start, length, kind) of what is markup, by lines from 0, in UTF-16 units. No tree is built.
+
+    With a schema, symbols that it does not define show as operators; without one, every symbol shows as a keyword.
+    """
+    lines = source.split("\n")
+    if lines and not lines[-1]:
+        lines.pop()
+    first = next((x.strip() for k, x in enumerate(lines) if x.strip() and not (k == 0 and x.startswith("#!"))), "")
+    sig, other = (ALIAS, SIGIL) if first.startswith(ALIAS * 3 + "!") else (SIGIL, ALIAS)
+    closing = {e.closing() for e in schema.elements.values()} if schema else None
+    declared, comment = False, 0
+    for no, line in enumerate(lines):
+        line = line.removesuffix("\r")
+
+        def token(a: int, b: int, kind: str, no=no, line=line):
+            units = lambda x: len(x.encode("utf-16-le", "surrogatepass")) // 2
+            return (no, units(line[:a]), units(line[a:b]), kind)
+
+        if no == 0 and line.startswith("#!"):
+            if line:
+                yield token(0, len(line), "comment")
+            continue
+        at = 0
+        if not declared and line.strip():
+            declared = True
+            if m := re.match(rf"\s*({re.escape(sig * 3)}!)([^@\s]*)(@\S*)?", line):
+                spans = ((1, "macro"), (2, "namespace"), (3, "number"))
+                yield from (token(*m.span(g), kind) for g, kind in spans if m[g])
+                continue
+        if comment:
+            end = line.find("/" + sig * comment)
+            stop = len(line) if end < 0 else end + 1 + comment
+            if stop:
+                yield token(0, stop, "comment")
+            if end < 0:
+                continue
+            at, comment = stop, 0
+        while at < len(line):
+            c = line[at]
+            if c == other:
+                yield token(at, min(at + 2, len(line)), "operator")
+                at += 2
+            elif c == sig:
+                run = len(line[at:]) - len(line[at:].lstrip(sig))
+                behind = at + run
+                if line.startswith("/", behind):
+                    end = line.find("/" + sig * run, behind + 1)
+                    stop = len(line) if end < 0 else end + 1 + run
+                    yield token(at, stop, "comment")
+                    comment = run if end < 0 and run > 1 else 0
+                    at = stop
+                    continue
+                e = schema.longest(line[behind:]) if schema else None
+                size = len(e.symbol) if e else next((k for k, x in enumerate(line[behind:]) if not symbolic(x) or x == "("), len(line) - behind)
+                yield token(at, behind + size, "keyword" if size and (e or not schema) else "operator")
+                at = behind + size
+                if line.startswith("(", at) and (end := line.find(")", at)) >= 0:
+                    if end > at + 1:
+                        yield token(at + 1, end, "number" if line[at + 1].isascii() and line[at + 1].isdigit() else "variable")
+                    at = end + 1
+            elif symbolic(c):
+                end = next((k for k in range(at, len(line)) if not symbolic(line[k])), len(line))
+                if line.startswith(sig, end):
+                    run = len(line[end:]) - len(line[end:].lstrip(sig))
+                    yield token(at, end + run, "keyword" if closing is None or line[at:end] in closing else "operator")
+                    end += run
+                at = end
+            else:
+                at += 1
+
+
 def spelled(doc: Document, schema: Schema, language: str | None = None) -> str:
     """The document with elements written by name, in a language where it has them; reading it back is lossless."""
     if language is not None and language not in schema.localized:

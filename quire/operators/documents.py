@@ -13,10 +13,11 @@ from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from quire.model import slicing
+from quire.model import cutting, slicing, views
 from quire.model.bundle import archive
 from quire.model.canon import Canonical, canonicalize, canonicalize_tree, composed
 from quire.model.choosing import Book
@@ -28,7 +29,7 @@ from quire.model.schema import Catalog, read_definition
 from quire.model.tree import NODE_SCHEMA, Document, DocumentError, encode
 from quire.model.views import outline, spelled
 from quire.model.writer import write
-from quire.sources import corpora, dictionary, docbook, ebook, html, lightweight, markdown, office, scripture, tei, treebanks
+from quire.sources import corpora, dictionary, docbook, ebook, html, lightweight, markdown, office, scripture, sugar, tei, treebanks
 
 #: Readers by file extension.
 READERS: dict[str, Callable[[str], Document]] = {
@@ -82,6 +83,8 @@ def read_document(text: str | bytes, extension: str, catalog: Catalog) -> Docume
     text = text.removeprefix("\ufeff")
     if extension in NATIVE:
         return parse(text, catalog)
+    if extension == "atr":
+        return sugar.read_short(text, catalog)
     if extension not in READERS:
         raise DocumentError("Syntax", f"unknown extension `{extension}`")
     return READERS[extension](text)
@@ -298,10 +301,87 @@ def respelled(files: DataFrame, language: str | None = None, texts: Mapping[str,
     return _mapped(files, _FILE, _STATUS + ", spelled string", _guarded(one, (None,)))
 
 
-def slices(files: DataFrame, scheme: str, texts: Mapping[str, str] | None = None) -> DataFrame:
+def points(files: DataFrame, texts: Mapping[str, str] | None = None) -> DataFrame:
+    """(doc_id, status..., kind, key, line) of native sources' coordinates (milestone), anchors (onym) and references (deixis)."""
+    texts = dict(texts or {})
+
+    def rows(doc_id, extension, text):
+        doc = read_document(text or "", extension, _atlas(texts, {}).catalog)
+        return ((x["kind"], x["key"], x["line"]) for x in views.points(doc, text or ""))
+
+    return _mapped(files, _FILE, _SEVERAL + "kind string, key string, line int", _several(rows, 3))
+
+
+def lookups(files: DataFrame, texts: Mapping[str, str] | None = None) -> DataFrame:
+    """(doc_id, key, line, target): each reference's line with that of the anchor it names (null, if there is none)."""
+    found = points(files, texts).where("status = 'ok' AND kind IS NOT NULL")
+    refs = found.where("kind = 'deixis'").select("doc_id", F.regexp_extract("key", r"\(([^)]*)\)$", 1).alias("key"), "line")
+    anchors = found.where("kind = 'onym'").groupBy("doc_id", "key").agg(F.min("line").alias("target"))
+    return refs.join(anchors, ["doc_id", "key"], "left")
+
+
+def folds(files: DataFrame, texts: Mapping[str, str] | None = None) -> DataFrame:
+    """(doc_id, start, end): blocks of more than a line."""
+    return outlines(files, texts).where("status = 'ok' AND end > start").select("doc_id", "start", "end")
+
+
+def highlights(files: DataFrame, texts: Mapping[str, str] | None = None) -> DataFrame:
+    """(doc_id, status..., line, start, length, kind): marks of native sources, whether they can be read or not."""
+    texts = dict(texts or {})
+
+    def rows(doc_id, extension, text):
+        name, catalog = views.declared_id(text or ""), _atlas(texts, {}).catalog
+        try:
+            schema = catalog.schema(name) if name else None
+        except DocumentError:
+            schema = None
+        return views.highlights(text or "", schema)
+
+    return _mapped(files, _FILE, _SEVERAL + "line int, start int, length int, kind string", _several(rows, 4))
+
+
+def outline_texts(files: DataFrame, texts: Mapping[str, str] | None = None) -> DataFrame:
+    """Each native source's outline as a table text."""
+    texts = dict(texts or {})
+
+    def one(text, extension):
+        catalog = _atlas(texts, {}).catalog
+        doc = read_document(text, extension, catalog)
+        return (views.outline_text(doc, catalog.schema(doc.schema), text),)
+
+    return _mapped(files, _FILE, _STATUS + ", outline string", _guarded(one, (None,)))
+
+
+def compiled(files: DataFrame) -> DataFrame:
+    """Texts in the short notation as native source."""
+    return _mapped(files, _FILE, _STATUS + ", native string", _guarded(lambda text, extension: (sugar.compile_text(text),), (None,)))
+
+
+def subdivided(files: DataFrame, scheme: str | None, most: int, texts: Mapping[str, str] | None = None) -> DataFrame:
+    """files: doc_id (the work), witness, extension, text. Each work's documents cut in step, in place, as native source.
+
+    A work's documents come together in one row; without a scheme it is the only one that their coordinates have.
+    """
+    texts = dict(texts or {})
+    by = files.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("witness", "extension", "text"))).alias("parts"))
+
+    def rows(doc_id, parts):
+        try:
+            catalog = _atlas(texts, {}).catalog
+            docs = [read_document(p["text"] or "", p["extension"], catalog) for p in parts]
+            made, n, _ = cutting.subdivide_in_place(docs, scheme or slicing.sole_scheme(docs), most)
+            found = [(doc_id, p["witness"], "ok", None, None, write(d), k) for p, d, k in zip(parts, made, n)]
+        except (DocumentError, *_UNREADABLE) as e:
+            found = [(doc_id, p["witness"], "error", *_told(e)[:2], None, None) for p in parts]
+        return found
+
+    return _mapped(by, ["doc_id", "parts"], "doc_id long, witness string, status string, error_kind string, error string, native string, cuts int", rows)
+
+
+def slices(files: DataFrame, scheme: str | None = None, texts: Mapping[str, str] | None = None) -> DataFrame:
     """files: doc_id (the work), witness, extension, text. (work, witness, pos, coord, text, error) for ``witnesses``.
 
-    The text of a slice is its words; what stands before the first coordinate has none. A file that cannot be read
+    Without a scheme it is the only one that a file's coordinates have. The text of a slice is its words; what stands before the first coordinate has none. A file that cannot be read
     is one row with its error and no place.
     """
     texts = dict(texts or {})
@@ -309,7 +389,7 @@ def slices(files: DataFrame, scheme: str, texts: Mapping[str, str] | None = None
     def rows(doc_id, witness, extension, text):
         try:
             doc = read_document(text or "", extension, _atlas(texts, {}).catalog)
-            found = [(doc_id, witness, k, None if s.point is None else s.point.text, " ".join(slicing.words(s.nodes)), None) for k, s in enumerate(slicing.slices(doc.blocks, scheme))]
+            found = [(doc_id, witness, k, None if s.point is None else s.point.text, " ".join(slicing.words(s.nodes)), None) for k, s in enumerate(slicing.slices(doc.blocks, scheme or slicing.sole_scheme([doc])))]
         except (DocumentError, *_UNREADABLE) as e:
             found = [(doc_id, witness, None, None, None, ": ".join(_told(e)[:2]))]
         return found

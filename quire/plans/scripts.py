@@ -333,6 +333,19 @@ script(
 )
 
 
+reader(
+    "short_files",
+    "atr",
+    "litogramma",
+    "",
+    "\n",
+    ["- {l}", "> {l}", "so /{l}/ ends", "{l}"],
+    ["@--\n@-\n{l}\n-@\n--@\n", '@"\n{l}\n"@\n', "so @/{l}/@ ends\n", "{l}\n"],
+    "\n\n",
+    doc="Texts in the short notation, compiled and brought to canonical form.",
+)
+
+
 # Native source: what canonical form does to it.
 
 #: A schema of our own for native sources.
@@ -565,6 +578,63 @@ def native_spelled(spark, sf_dir):
     return documents.respelled(made.where("length(text) > 12"), None, TEXTS).select("doc_id", "status", F.md5("spelled").alias("spelled_md5"))
 
 
+_PASSAGES = lambda e: document(e, "@@@!log\n\n", text("@# {l}\nx\n#@"), "\n", lit("\n\n"))
+_EACH = f"(SELECT doc_id, unnest(ls) AS l, CAST(generate_subscripts(ls, 1) AS INTEGER) AS n FROM {base()})"
+
+
+@query(f"SELECT doc_id, 'milestone' AS kind, 'v:' || n AS key, 2 * n + 1 AS line FROM {_EACH}")
+def native_points_listed(spark, sf_dir):
+    """Coordinates with the lines they stand in."""
+    made = files(spark, sf_dir, "atd", lambda e: document(e, "@@@!log\n\n", text('@("v:{n}"){l}', n=f"CAST({e.n} AS STRING)"), "\n", lit("\n\n")))
+    return documents.points(made, TEXTS).where("status = 'ok'").select("doc_id", "kind", "key", "line")
+
+
+@query(f"SELECT doc_id, 'p' || n AS key, 6 * n + 1 AS line, 6 * n - 1 AS target FROM {_EACH}")
+def native_lookups(spark, sf_dir):
+    """References with the line of the anchor that they name."""
+    made = files(spark, sf_dir, "atd", lambda e: document(e, "@@@!log\n\n", text("@= {l}\nx\n=@(p{n})\n\nsee @=(p{n})", n=f"CAST({e.n} AS STRING)"), "\n", lit("\n\n")))
+    return documents.lookups(made, TEXTS).select("doc_id", "key", "line", "target")
+
+
+@query(f"""SELECT doc_id, 4 * n - 1 AS start, 4 * n + 1 AS "end" FROM {_EACH}""")
+def native_folds(spark, sf_dir):
+    """Blocks that span lines."""
+    return documents.folds(files(spark, sf_dir, "atd", _PASSAGES), TEXTS)
+
+
+@query(
+    f"""SELECT doc_id, 'ok' AS status, md5('.!kaiv' || repeat(chr(10), 2) || 'dialektos=log' || chr(10) || {DUCK.join(DUCK.each(cat(lit(chr(10) + '[/@blocks]' + chr(10) + 'kind=para' + chr(10) + 'symbol=#' + chr(10) + 'name=passage' + chr(10) + 'depth=0' + chr(10) + 'start='), 'CAST(4 * i - 1 AS STRING)', lit(chr(10) + 'end='), 'CAST(4 * i + 1 AS STRING)', lit(chr(10) + 'lemma='), 'l', NL)), "''")}) AS outline_md5 FROM {base()}"""
+)
+def native_outline_texts(spark, sf_dir):
+    """Outlines written as table texts."""
+    return documents.outline_texts(files(spark, sf_dir, "atd", _PASSAGES), TEXTS).select("doc_id", "status", F.md5("outline").alias("outline_md5"))
+
+
+@query(
+    f"""SELECT doc_id, kind, n FROM (SELECT doc_id, unnest([{{'kind': 'macro', 'n': 1}}, {{'kind': 'namespace', 'n': 1}}, {{'kind': 'keyword', 'n': len(ls)}}, {{'kind': 'operator', 'n': len(ls)}}, {{'kind': 'variable', 'n': len(ls)}}], recursive := true)
+  FROM {base()}) WHERE n > 0"""
+)
+def native_highlights(spark, sf_dir):
+    """Marks of sources by kind: an element that is not defined is an operator, its parameter a variable."""
+    made = files(spark, sf_dir, "atd", lambda e: document(e, "@@@!log\n\n", text("@^(k) {l} \\@"), "\n", lit("\n\n")))
+    found = documents.highlights(made, TEXTS).where("status = 'ok'")
+    return found.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT doc_id, 'ok' AS status, md5({canonical(DUCK, 'litogramma', text('@{lb}annotation{rb}@{lb}лицо{rb}(k){l}{lb}annotation{rb}@' + chr(10), lb="'{'", rb="'}'"))}) AS spelled_md5 FROM {base()}""")
+def spelled_in_russian(spark, sf_dir):
+    """Elements spelled out in a language in which they have names."""
+    made = files(spark, sf_dir, "atd", lambda e: document(e, "@@@!litogramma\n\n", text("@,@?:(k){l},@"), "\n", lit("\n\n")))
+    return documents.respelled(made, "ru").select("doc_id", "status", F.md5("spelled").alias("spelled_md5"))
+
+
+@query(None)
+def subdivided_in_place(spark, sf_dir):
+    """Two witnesses of each document cut in step, in place, until nothing between two coordinates has over 80 characters."""
+    one = lambda name, word: files(spark, sf_dir, "atd", lambda e: _witness(e, word(e))).withColumn("witness", F.lit(name))
+    return documents.subdivided(one("B", _plain).unionByName(one("T", _changed)), None, 80, TEXTS)
+
+
 # Writers and exports.
 
 
@@ -610,6 +680,41 @@ def _export_rst() -> None:
 _export_rst()
 
 
+def scripture(name: str, target: str, head: str, wanted: list[str], tail: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        source = ["\\s {l}", "\\p\n\\v {n} {l}", "\\q1 {l}", "\\p {l}"]
+        made = files(spark, sf_dir, "usfm", lambda e: document(e, "\\id GEN\n", turns(e, *source), "\n"))
+        return documents.export(made, None, target).select("doc_id", "status", F.md5("rendered").alias("rendered_md5"))
+
+    run.__name__, run.__doc__ = name, f"Scripture written as {target}."
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"SELECT doc_id, 'ok' AS status, md5({document(DUCK, head, turns(DUCK, *wanted), tail)}) AS rendered_md5 FROM {base()}"
+
+
+scripture(
+    "export_usx",
+    "usx",
+    '<?xml version="1.0" encoding="UTF-8"?>\n<usx version="3.0">\n<book code="gen" style="id"/>\n',
+    ['<para style="s1">{l}</para>', '<para style="p"><verse number="{n}" style="v"/> {l}</para>', '<para style="q1">{l}</para>\n<para style="b"/>', '<para style="p">{l}</para>'],
+    "\n</usx>",
+)
+scripture(
+    "export_osis",
+    "osis",
+    '<?xml version="1.0" encoding="UTF-8"?>\n<osis xmlns="http://www.bibletechnologies.net/2003/OSIS/namespace">\n<osisText>\n<header/>\n<div type="book" osisID="gen">\n',
+    ["<title>{l}</title>", '<p><verse n="{n}"/> {l}</p>', '<lg>\n<l level="1">{l}</l>\n</lg>', "<p>{l}</p>"],
+    "\n</div>\n</osisText>\n</osis>",
+)
+scripture("export_usfm", "usfm", "\\id gen\n", ["\\s1 {l}", "\\p \n\\v {n} {l}", "\\q1 {l}\n\\b", "\\p {l}"], "")
+
+
+@query(f"""SELECT doc_id, 'ok' AS status, md5({DUCK.join(DUCK.each(cat(lit('@article{k'), 'CAST(i AS STRING)', lit(',' + chr(10) + '  title = {'), 'l', lit('},' + chr(10) + '  year = {1999},' + chr(10) + '}'))), NL)}) AS rendered_md5 FROM {base()}""")
+def export_bibliography(spark, sf_dir):
+    """Bibliography files read and written: terms go back to the names that such files use."""
+    made = files(spark, sf_dir, "bib", lambda e: document(e, "", text('@article(k{n}, title = "{l}", year = 1999)', n=f"CAST({e.n} AS STRING)"), "\n"))
+    return documents.export(made, None, "bib").select("doc_id", "status", F.md5("rendered").alias("rendered_md5"))
+
+
 def literary(name: str, target: str, head: str, wanted: list[str], tail: str, between: str, doc: str) -> None:
     """TEI files to litogramma, and on to a target."""
 
