@@ -18,7 +18,6 @@ import os
 import re
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +37,8 @@ CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 #: Code points up to U+0220 without the control marks that count as white space in some places only, and without
 #: the one capital whose lower case is two code points; general punctuation.
 LATIN = re.compile("[\x00-\x1b\x20-\x84\x86-\u012f\u0131-\u0220\u2010-\u2027\u2030-\u205e]*")
+#: An ideograph: no text of the range above has its bytes.
+MARK = "\u4e00"
 _LETTERS = "".join(re.escape(chr(c)) for c in range(0x221) if chr(c).isalpha())
 _DIGITS = "0-9²³¹¼½¾"
 PIECE = re.compile(f"'?[{_LETTERS}]+(?:'[{_LETTERS}]+)*|[{_DIGITS}]+|[^{_LETTERS}{_DIGITS}\\s]+")
@@ -67,30 +68,43 @@ class WordIds:
 
         self.tok, self.memo = Tokenizer.from_file(path), Memo(MEMO)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.mark = self.tok.encode(MARK, add_special_tokens=False).ids
 
-    def pieces(self, text: str) -> list[str]:
+    def pieces(self, text: str) -> tuple[bool, list[str]]:
+        """(is it plain, its pieces): plain texts hold Latin letters and no special token."""
         if LATIN.fullmatch(text) and not any(s in text for s in self.special):
-            return PIECE.findall(text.lower())
-        return CHUNK.findall(text)
+            return True, PIECE.findall(text.lower())
+        return False, CHUNK.findall(text)
+
+    def encoded(self, pieces: list[str], plain: set[str]) -> Iterator[tuple[str, bytes]]:
+        """Pieces with their ids. Plain ones go through the library many at a time, with a mark between them whose
+        first id no plain piece has.
+        """
+        some, rest = [p for p in pieces if p in plain], [p for p in pieces if p not in plain]
+        for at in range(0, len(some), 512):
+            part = some[at : at + 512]
+            ids = np.array(self.tok.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(ids == self.mark[0])
+            raw, ends = ids.tobytes(), (4 * np.append(cut, len(ids))).tolist()
+            starts = [0, *(4 * (cut + len(self.mark))).tolist()]
+            yield from ((p, raw[a:b]) for p, a, b in zip(part, starts, ends, strict=True))
+        for at in range(0, len(rest), 8192):
+            part = rest[at : at + 8192]
+            yield from ((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)))
 
     def many(self, texts: list[str]) -> list[bytes]:
         split = [self.pieces(t) for t in texts]
-        new = self.memo.missing(set().union(*split))
+        plain = set().union(*[c for latin, c in split if latin])
+        new = self.memo.missing(plain.union(*[c for latin, c in split if not latin]))
         long: dict[str, bytes] = {}
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            ids = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
-            raw = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
-            k = 0
-            for c, x in zip(part, ids):
-                own = raw[k : (k := k + 4 * len(x))]
-                if len(c) > Memo.LONG:
-                    long[c] = own
-                else:
-                    self.memo.put(c, own)
+        for c, own in self.encoded(new, plain):
+            if len(c) > Memo.LONG:
+                long[c] = own
+            else:
+                self.memo.put(c, own)
         held = self.memo.new
         get = (lambda c: long[c] if c in long else held[c]) if long else held.__getitem__
-        return [b"".join(map(get, c)) for c in split]
+        return [b"".join(map(get, c)) for _, c in split]
 
 
 def fill(counts: dict[int, int], capacity: int, order: list[int] | None = None) -> dict[int, int]:
