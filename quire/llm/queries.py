@@ -71,6 +71,38 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(t) AS payload_digest,
        CASE WHEN page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id <> kept THEN kept END AS refers_to, true AS agrees
 FROM r""",
+    "op4_sentence_spans": rf"""
+WITH parts AS (
+  SELECT doc_id, t, p, k, sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(p) AS pos FROM (
+    SELECT doc_id, t, unnest(x) AS p, generate_subscripts(x, 1) AS k FROM (
+      SELECT doc_id, t, string_split(regexp_replace(t, '([.!?])[\x20\x09-\x0D]', '\1' || chr(10), 'g'), chr(10)) AS x FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)))),
+s AS (
+  SELECT *, row_number() OVER d AS n, sum(words) OVER d AS total, lead(start) OVER d AS behind FROM (
+    SELECT doc_id, t, k, CAST(pos + length(p) - length(ltrim(p, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS BIGINT) AS start,
+           array_to_string(regexp_extract_all(p, '[^\x20\x09-\x0D]+'), ' ') AS shown, len(regexp_extract_all(p, '[^\x20\x09-\x0D]+')) AS words
+    FROM parts WHERE regexp_matches(p, '[^\x20\x09-\x0D]'))
+  WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
+ahead AS (
+  SELECT a.doc_id, a.n AS i, greatest(b.n, a.n + {sentence_spans.RUN - 1}) AS j FROM (SELECT doc_id, n, total - words + {sentence_spans.MIN_WORDS} AS goal FROM s) a
+  ASOF JOIN (SELECT doc_id, n, total FROM s) b ON a.doc_id = b.doc_id AND a.goal <= b.total),
+back AS (
+  SELECT a.doc_id, least(b.n, a.n - {sentence_spans.RUN - 1}) AS i, a.n AS j FROM (SELECT doc_id, n, total - {sentence_spans.MIN_WORDS} AS goal FROM s) a
+  ASOF JOIN (SELECT doc_id, n, total - words AS before FROM s) b ON a.doc_id = b.doc_id AND a.goal >= b.before),
+runs AS (
+  SELECT doc_id, i, j FROM ahead JOIN (SELECT doc_id, max(n) AS last FROM s GROUP BY doc_id) USING (doc_id) WHERE j <= last
+  UNION SELECT doc_id, i, j FROM back WHERE i >= 1
+  UNION SELECT doc_id, n, n FROM s WHERE words >= {sentence_spans.LONG}),
+texts AS (SELECT r.doc_id, i, j, string_agg(shown, chr(1) ORDER BY n) AS x FROM runs r JOIN s ON r.doc_id = s.doc_id AND s.n BETWEEN i AND j GROUP BY ALL),
+later AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS place FROM texts),
+gone AS (SELECT DISTINCT s.doc_id, s.n FROM later l JOIN s ON l.doc_id = s.doc_id AND s.n BETWEEN l.i AND l.j WHERE place > 1),
+marked AS (SELECT s.*, g.n IS NOT NULL AS out, lag(g.n) OVER (PARTITION BY s.doc_id ORDER BY s.n) IS NOT NULL AS out_before FROM s LEFT JOIN gone g USING (doc_id, n)),
+kept AS (
+  SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (out) AS n_removed, count(*) FILTER (out AND NOT out_before) AS n_spans,
+         min(substr(t, 1, start - 1)) FILTER (n = 1) || coalesce(string_agg(substr(t, start, coalesce(behind, length(t) + 1) - start), '' ORDER BY n) FILTER (NOT out), '') AS kept
+  FROM marked GROUP BY doc_id)
+SELECT doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, CAST(octet_length(encode(t)) AS BIGINT) AS n_bytes,
+       CAST(octet_length(encode(t)) - octet_length(encode(coalesce(kept, t))) AS BIGINT) AS n_bytes_removed, coalesce(kept, t) AS kept
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) LEFT JOIN kept USING (doc_id)""",
     "op7_rule_ledger": f"""
 WITH split AS (
   SELECT doc_id, coalesce(text, '') AS t,

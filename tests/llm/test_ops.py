@@ -235,6 +235,18 @@ def test_sentence_spans(spark, sf, documents):
         assert (r.n_removed > 0) == (r.kept != texts[r.doc_id])
 
 
+def test_sentence_spans_sql(documents, sf):
+    """The SQL beside the query against the plain rule."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    texts = {d["doc_id"]: d["text"] for d in documents}
+    gone = plain_spans(texts, sentence_spans.RUN, sentence_spans.MIN_WORDS, sentence_spans.LONG)
+    for r in con.execute(queries.ORACLE_SQL["op4_sentence_spans"]).fetchall():
+        assert r[1:] == sentence_spans.kept_text(texts[r[0]], sorted(gone[r[0]]))
+
+
 def test_sentence_spans_odd(odd, empty):
     rows = sentence_spans.remove_repeated_sentences(odd).collect()
     assert len(rows) == 9 and sentence_spans.remove_repeated_sentences(empty).count() == 0
@@ -313,6 +325,23 @@ def test_simhash_odd(odd, empty):
     assert {r.component_id for r in rows if r.fp == 0} == {2}
 
 
+def test_simhash_without_ids(spark):
+    """Rows without doc_id are linked like others, but name no component; extra columns are not read."""
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    rows = [(None, text), (None, text + " nu xi omicron pi rho"), (7, "quite other words stand here than anywhere else in this table"), (None, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS fp", "2 AS bucket", "3 AS root").repartition(3)
+    got = simhash.near_duplicates(df).collect()
+    assert len(got) == 5 and {r.component_id for r in got if r.fp == 0} == {9}
+    assert {r.component_id for r in got if r.doc_id is None and r.fp != 0} == {None}
+
+
+def test_keys_of_nested_maps(spark):
+    from quire.llm.common import row_key
+
+    df = spark.sql("SELECT named_struct('m', map('a', 1)) AS x, 1 AS id UNION ALL SELECT named_struct('m', map('a', 2)), 1 UNION ALL SELECT named_struct('m', map('a', 1)), 1")
+    assert df.select(*row_key(df)).distinct().count() == 2
+
+
 def test_components_on_paths(spark):
     links = [(k, k + 1) for k in range(0, 60)] + [(100 + k, 99 + k) for k in range(2, 30)] + [(5, 5)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
