@@ -106,9 +106,13 @@ def word_table(spark, sf_dir):
 
 
 def _firsts(values):
-    """Sorted values, each with whether it is the first of its kind."""
+    """Sorted values, each with whether it is the first of its kind.
+
+    The values are set beside themselves by one place: a lambda that looked into them would sort them once an element.
+    """
     held = F.array_sort(values)
-    return F.transform(held, lambda v, k: F.struct(v.alias("v"), ((k == 0) | (v != F.get(held, k - 1))).alias("first")))
+    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), held), F.lit(1), F.size(held))
+    return F.zip_with(held, before, lambda v, b: F.struct(v.alias("v"), (~v.eqNullSafe(b)).alias("first")))
 
 
 @query("""SELECT doc_id, CAST(sum(length(l)) AS BIGINT) AS mass FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY doc_id""")
