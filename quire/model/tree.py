@@ -102,25 +102,21 @@ def has_blocks(node: Node) -> bool:
 
 def walk(blocks: list[Node]) -> Iterator[Node]:
     """All nodes in document order: a block, its head, its children, its tail."""
-    for b in blocks:
-        yield b
-        yield from _inlines(b.head)
-        if b.kind == "para":
-            yield from _inlines(b.body)
-        elif b.kind == "verse":
-            for stanza in b.body:
-                for line in stanza:
-                    yield from _inlines(line)
-        elif has_blocks(b):
-            yield from walk(b.body)
-        yield from _inlines(b.tail)
-
-
-def _inlines(seq: list[Node]) -> Iterator[Node]:
-    for n in seq:
+    left = blocks[::-1]
+    while left:
+        n = left.pop()
         yield n
-        if n.body:
-            yield from _inlines(n.body)
+        if not n.is_block:
+            left += n.body[::-1]
+            continue
+        left += n.tail[::-1]
+        if n.kind == "verse":
+            for stanza in reversed(n.body):
+                for line in reversed(stanza):
+                    left += line[::-1]
+        elif n.kind == "para" or has_blocks(n):
+            left += n.body[::-1]
+        left += n.head[::-1]
 
 
 def rebuild(blocks: list[Node], edit_blocks: Callable | None = None, edit_run: Callable | None = None) -> list[Node]:

@@ -1,7 +1,7 @@
 """Documents as rows: parsing, canonical form, content ids and node tables, one document per call.
 
-A document that fails becomes a row with its error; the job goes on. Nothing is shuffled: each task maps its
-own Arrow batches, and results leave it in batches of bounded size.
+A document that fails becomes a row with its error; the job goes on. Each task maps its own Arrow batches, and
+results leave it in batches of bounded size. Only inputs too small to fill the cores are shuffled, to spread them.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from quire.model.schema import Catalog, read_definition
 from quire.model.tree import NODE_SCHEMA, Document, DocumentError, encode
 from quire.model.views import outline, spelled
 from quire.model.writer import write
+from quire.operators.rows import spread
 from quire.sources import corpora, dictionary, docbook, ebook, html, lightweight, markdown, office, scripture, sugar, tei, treebanks
 
 #: Readers by file extension.
@@ -111,7 +112,7 @@ def _mapped(df: DataFrame, columns: list[str], schema: str, f: Callable[..., Ite
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), arrow.types)], schema=arrow)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return spread(df.select(*columns)).mapInArrow(run, schema)
 
 
 #: What an unreadable file raises besides typed errors: numbers and nestings beyond what can be held.

@@ -22,6 +22,23 @@ def small(rules: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rules) if rules.limit(rows + 1).count() <= rows else rules
 
 
+#: Input that is worth a task of its own, and input up to which a core is not yet filled.
+TASK_BYTES, CORE_BYTES = 1 << 18, 1 << 27
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its input, as Catalyst estimates it, can't fill them: one row group is one task.
+
+    Larger inputs have tasks enough, and stay where they are read.
+    """
+    if df.isStreaming:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = min(2 * cores, size // TASK_BYTES)
+    return df.repartition(tasks) if tasks > 1 and size < cores * CORE_BYTES else df
+
+
 def islands(df: DataFrame, by: list[str], order: list, same: list, inside: Column) -> DataFrame:
     """Adds ``island``: numbers of maximal runs of rows inside, equal in ``same``, in order; null outside.
 
