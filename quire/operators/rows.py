@@ -23,7 +23,7 @@ def small(rules: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 #: Input that is worth a task of its own, and input up to which a core is not yet filled.
-TASK_BYTES, CORE_BYTES = 1 << 18, 1 << 27
+TASK_BYTES, CORE_BYTES = 1 << 16, 1 << 27
 
 
 def spread(df: DataFrame) -> DataFrame:
