@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and texts of the documents, over all cores."""
+    return rows.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def query(sql: str | None = None):
     """Registers a query under its function's name, with its SQL."""
 
@@ -43,7 +48,7 @@ ids AS (
   SELECT doc_id, sha256(coalesce(string_agg(l, chr(10) ORDER BY n) FILTER (l <> ''), '')) AS content_id FROM lines GROUP BY doc_id)
 SELECT content_id, count(*) AS n_documents, min(doc_id) AS first_doc FROM ids GROUP BY content_id HAVING count(*) > 1""")
 def duplicate_works(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     lines = F.transform(F.split("text", "\n"), lambda x: F.btrim(F.regexp_replace(x, LAYOUT, " ")))
     body = F.array_join(F.filter(lines, lambda x: x != ""), "\n")
     return docs.select("doc_id", F.sha2(body, 256).alias("content_id")).groupBy("content_id").agg(F.count(F.lit(1)).alias("n_documents"), F.min("doc_id").alias("first_doc")).where("n_documents > 1")
@@ -67,7 +72,7 @@ def _is_cut(marks: str) -> str:
   SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
 WHERE regexp_matches(l, '[^ \t\r]')""")
 def line_scan(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("n", "line"))
+    found = texts(spark, sf_dir).select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("n", "line"))
     return found.where(F.col("line").rlike(r"[^ \t\r]"))
 
 
@@ -78,13 +83,13 @@ def stanza_islands(spark, sf_dir):
     """Sentences set apart by blank lines stand in for stanzas; blank lines break them."""
     body = F.btrim(F.replace(F.col("text"), F.lit(". "), F.lit(".\n\n")), F.lit("\n"))
     stanzas = F.filter(F.split(body, r"\n(?:[ \t\r]*\n)+"), lambda s: s != "")
-    found = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(stanzas).alias("stanza", "s"))
+    found = texts(spark, sf_dir).select("doc_id", F.posexplode(stanzas).alias("stanza", "s"))
     return found.select("doc_id", "stanza", F.size(F.split("s", "\n")).alias("n_lines"), F.md5("s").alias("stanza_md5"))
 
 
 @query(r"""SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'), ' ')) AS layout_md5 FROM documents""")
 def layout_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.collapse_layout(F.col("text"))).alias("layout_md5"))
+    return texts(spark, sf_dir).select("doc_id", F.md5(text.collapse_layout(F.col("text"))).alias("layout_md5"))
 
 
 @query(r"""
@@ -94,14 +99,14 @@ WITH lines AS (
 SELECT doc_id, sha256(coalesce(string_agg(l, chr(10) ORDER BY n) FILTER (l <> ''), '')) AS content_id FROM lines GROUP BY doc_id""")
 def content_id(spark, sf_dir):
     body = F.array_join(F.filter(F.transform(F.split("text", "\n"), text.collapse_layout), lambda x: x != ""), "\n")
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(body, 256).alias("content_id"))
+    return texts(spark, sf_dir).select("doc_id", F.sha2(body, 256).alias("content_id"))
 
 
 @query(rf"""SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (
   SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda w: w <> '')) AS word FROM documents) GROUP BY word""")
 def word_table(spark, sf_dir):
     """A row's words are sorted in place, so that each word's first occurrence is marked before the one exchange."""
-    found = table(spark, sf_dir, "documents").select(F.explode(_firsts(text.words(F.col("text")))).alias("x"))
+    found = texts(spark, sf_dir).select(F.explode(_firsts(text.words(F.col("text")))).alias("x"))
     return found.groupBy(F.col("x.v").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x.first").cast("long")).alias("n_docs"))
 
 
@@ -118,7 +123,7 @@ def _firsts(values):
 @query("""SELECT doc_id, CAST(sum(length(l)) AS BIGINT) AS mass FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY doc_id""")
 def char_mass(spark, sf_dir):
     total = F.aggregate(F.split("text", "\n"), F.lit(0).cast("long"), lambda a, x: a + F.length(x))
-    return table(spark, sf_dir, "documents").select("doc_id", total.alias("mass"))
+    return texts(spark, sf_dir).select("doc_id", total.alias("mass"))
 
 
 @query(f"""{_CHARS} SELECT doc_id, CAST(count(*) FILTER ({_is_cut(alignment.SENTENCE)}) AS INTEGER) AS n_sentence, CAST(count(*) FILTER ({_is_cut(alignment.CLAUSE)}) AS INTEGER) AS n_clause,
@@ -136,12 +141,12 @@ def midpoint_cut(spark, sf_dir):
 @query(r"""SELECT doc_id, md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped_md5 FROM documents""")
 def escape_once(spark, sf_dir):
     marks = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;"}
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.escape_once(F.col("text"), marks)).alias("escaped_md5"))
+    return texts(spark, sf_dir).select("doc_id", F.md5(text.escape_once(F.col("text"), marks)).alias("escaped_md5"))
 
 
 @query(r"""SELECT doc_id, md5('> ' || replace(replace(regexp_replace(text, '\n([^\n])', chr(10) || '> \1', 'g'), chr(10) || chr(10), chr(10) || '>' || chr(10)), chr(10) || chr(10), chr(10) || '>' || chr(10))) AS quoted_md5 FROM documents""")
 def hanging_prefix(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.concat(F.lit("> "), text.hanging_prefix(F.col("text"), "> "))).alias("quoted_md5"))
+    return texts(spark, sf_dir).select("doc_id", F.md5(F.concat(F.lit("> "), text.hanging_prefix(F.col("text"), "> "))).alias("quoted_md5"))
 
 
 @query("""SELECT doc_id, '<p' || CASE WHEN lang <> '' THEN ' lang="' || lang || '"' ELSE '' END || CASE WHEN source = 'src0' THEN ' class="' || source || '"' ELSE '' END || '>' AS opening FROM documents""")
@@ -485,7 +490,7 @@ def include_cycles(spark, sf_dir):
   SELECT doc_id, s, list_filter(regexp_split_to_array(l, '{_WS}+'), lambda w: w <> '') AS x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS s FROM documents)))""")
 def token_table(spark, sf_dir):
     """One sentence a line, one token a word."""
-    sentences = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("sent", "line"))
+    sentences = texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("sent", "line"))
     found = sentences.select("doc_id", "sent", F.posexplode(text.words(F.col("line"))).alias("k", "form"))
     return found.select("doc_id", "sent", (F.col("k") + 1).alias("tok"), "form")
 
@@ -495,7 +500,7 @@ def token_table(spark, sf_dir):
 SELECT a.w AS form, b.w AS head, count(*) AS n FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.s = b.s AND b.k = a.k // 2 WHERE a.k >= 2 GROUP BY ALL HAVING count(*) > 20""")
 def head_join(spark, sf_dir):
     """Tokens with their heads (here the token at half their place). A sentence's tokens are one row, so no join is shuffled."""
-    sentences = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line")).select(text.words(F.col("line")).alias("w"))
+    sentences = texts(spark, sf_dir).select(F.explode(F.split("text", "\n")).alias("line")).select(text.words(F.col("line")).alias("w"))
     pairs = F.transform(F.sequence(F.lit(2), F.size("w")), lambda k: F.struct(F.get("w", k - 1).alias("form"), F.get("w", F.floor(k / 2).cast("int") - 1).alias("head")))
     found = sentences.where(F.size("w") >= 2).select(F.explode(pairs).alias("p")).select("p.form", "p.head")
     return found.groupBy("form", "head").agg(F.count(F.lit(1)).alias("n")).where("n > 20")
