@@ -7,7 +7,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from quire.operators import documents
-from quire.plans import catalogue
+from quire.plans import catalogue, scripts
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -105,3 +105,20 @@ def test_html_of_markdown_keeps_its_letters(spark):
         if r.status == "ok":
             body = r.rendered[r.rendered.find("<body") :] if "<body" in r.rendered else r.rendered
             assert letters(html.unescape(re.sub(r"<[^<>]*>", " ", body))) == letters(text[r.doc_id])
+
+
+def test_subdividing_only_adds_coordinates(spark):
+    point = r'@\("([^"]*)"\)'
+    made = defaultdict(dict)
+    for r in scripts.QUERIES["subdivided_in_place"](spark, SMALL).collect():
+        assert r.status == "ok"
+        made[r.doc_id][r.witness] = r.native
+    cut = 0
+    for word, name in ((scripts._plain, "B"), (scripts._changed, "T")):
+        for r in scripts.files(spark, SMALL, "atd", lambda e: scripts._witness(e, word(e))).collect():
+            native = made[r.doc_id][name]
+            assert letters(re.sub(point, "", native)) == letters(re.sub(point, "", r.text))
+            assert set(re.findall(point, r.text)) <= set(re.findall(point, native))
+            cut += len(re.findall(point, native)) > len(re.findall(point, r.text))
+    assert cut
+    assert all(re.findall(point, x["B"]) == re.findall(point, x["T"]) for x in made.values())
