@@ -197,6 +197,13 @@ def test_ebook_round_trip():
     assert ebook.fb2_media(ebook.write_fb2(made.document, {"media/p.png": b"\0\0\0"})) == [("p.png", "image/png", b"\0\0\0")]
 
 
+@pytest.mark.parametrize("source", ["@@@!litogramma\n", "@@@!litogramma\n\n@# a\n#@\n", "@@@!litogramma\n\n@# a\n@_\n_@\n#@\n"])
+def test_empty_sections_as_ebooks(source):
+    """What is empty is read back empty, not as a break."""
+    made = canon(parse(source, CAT))
+    assert made.text == source and canon(ebook.read_fb2(ebook.write_fb2(made.document))).text == source
+
+
 DSL = '#NAME "Sea words"\n#INDEX_LANGUAGE "English"\n#CONTENTS_LANGUAGE "Russian"\n\ntide\n\t[p]n.[/p]\n\t[t]taid[/t]\n\t[m1]1) [trn]прилив[/trn] {{gone}}[/m]\n\t[m2]а) [ex]high ~[/ex][/m]\n\t[m1]2) see <<ebb>> \\[x\\][/m]\n\t@ tide over\n\tbridge\n\t@\nebb{ tide}\nebbing\n\tf[\']a[/\']lling [b]water[/b] [s]w.wav[/s]\n'
 
 
