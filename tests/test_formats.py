@@ -19,7 +19,7 @@ from quire.model.tree import DocumentError
 from quire.model.views import declared_id, highlights, outline_text, spelled
 from quire.model.writer import write
 from quire.operators import documents
-from quire.sources import corpora, dictionary, docbook, ebook, lightweight, markdown, office, scripture, sugar, tei, treebanks
+from quire.sources import corpora, dictionary, docbook, ebook, lightweight, markdown, office, scripture, sugar, tei, treebanks, xmltree
 
 CAT = Catalog()
 ATLAS, BOOK = Atlas(CAT, {}), Book(CAT)
@@ -237,6 +237,52 @@ def test_treebanks(target):
     assert documents.essence(plain.document, CAT)[0] == "@@@!litogramma\n\nShe sails, far.\n"
 
 
+@pytest.mark.parametrize("read", [treebanks.read_conllu, lambda _: parse("@@@!litogramma\n\n@# a\n@@.@!=(x)@!/(X)y.@@ @*b*@(k) @,c,@.sub\n#@\n", CAT)])
+def test_passes_over_all_nodes(read, monkeypatch):
+    """A document's nodes are visited a few times, not once by each pass that has nothing to do there."""
+    from quire.model import canon as passes, essence as stripped, tree, writer
+
+    seen = []
+    for module in (passes, stripped, writer):
+        monkeypatch.setattr(module, "walk", lambda blocks: (seen.append(n) or n for n in tree.walk(blocks)))
+    doc = composed(read(CONLLU))
+    nodes = sum(1 for _ in tree.walk(doc.blocks))
+    made = canonicalize_tree(doc, CAT)
+    before = write(made.document)
+    stripped.essence(made.document, CAT)
+    assert len(seen) <= 4 * nodes and write(made.document) == before == made.text
+
+
+def test_long_sentences():
+    """Words, and blanks between them, that make one long paragraph are read and written in time that grows with them."""
+    import time
+
+    def taken(n: int) -> float:
+        source = "@@@!litogramma\n\n@@.@!.(1)" + " ".join(["- @@.@!=(w)@!/(X)@!%(y)w.@@"] * n) + ".@@\n"
+        least = 1e9
+        for _ in range(3):
+            start = time.process_time()
+            doc = parse(source, CAT)
+            treebanks.export(doc, "proiel")
+            least = min(least, time.process_time() - start)
+        return least
+
+    assert taken(16_000) < 14 * taken(2_000)
+
+
+def test_conllu_fields():
+    rows = [["1", "a", "_", "X", "p", "A=1|B=2", "2", "dep", "_", "SpaceAfter=No"], ["2-3", "bc", *"_" * 8], ["2", "b", "", "_", "q", "_", "0", "_"], ["3", "c", "l", "X", "_", "", "_", "", "_", "X=1|SpaceAfter=No"], ["3.1", "d", *"_" * 8], ["4", "e"]]
+    found = treebanks.from_document(treebanks.read_conllu("# sent_id = s\n# sent_id_x\n" + "\n".join("\t".join(r) for r in rows) + "\n"))
+    (s,) = found.sentences()
+    assert s.id == "s" and s.source() == "ab c" and [(t.form, t.name, t.parsings) for t in s.tokens()] == [("a", "t1-1", [{"pos": "X/p", "features": "A=1,B=2", "head": "t1-2", "relation": "dep"}]), ("b", "t1-2", [{"pos": "/q"}]), ("c", "t1-3", [{"lemma": "l", "pos": "X"}])]
+
+
+def test_attributes_and_descendants():
+    root = xmltree.read_tree('<a><b x="1"><c/>t<b y:x="2" x:y=""><d/></b></b><c x:z="3"/></a>', "x")
+    assert [e.tag for e in root.all()] == ["b", "c", "b", "d", "c"] and [e.get("x") for e in root.all("b")] == ["1", "2"]
+    assert root.first("c").get("x") is None and [e.get("y", "x") for e in root.all("b", "d")] == ["1", "2", None] and root.own("c")[0].get("z") == "3"
+
+
 def test_proiel_headings_and_citations():
     source = '<proiel><source><title>T</title><div><title>Book</title><sentence id="7" presentation-after=" "><token id="1" form="In" citation-part="GEN 1.1" lemma="in" part-of-speech="R-" head-id="2" relation="adv" presentation-after=" "/><token id="2" form="go" lemma="go" head-id="9"/><token id="3" empty-token-sort="P"/></sentence></div></source></proiel>'
     text = canon(treebanks.read_proiel(source)).text
