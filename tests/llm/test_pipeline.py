@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_ops import DOCS, WORD, check_packing, empty, odd, plain_fingerprint, plain_lines  # noqa: F401
 
 from quire.llm import line_join
@@ -172,3 +173,26 @@ def test_group_of_near_copies(spark):
     roots = plain_classes(docs)
     df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs.items()], DOCS).repartition(5)
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == {d for d, r in roots.items() if r == d}
+
+
+def test_near_dedup_tries_fingerprints(spark):
+    """Sets with near fingerprints are tied by op5's links before anything else is compared."""
+    import numpy as np
+
+    from quire.llm import shingle_join
+
+    rng = np.random.default_rng(5)
+    fps = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 40)]
+    rows = [(k, fps[k % 40] ^ (0 if k < 80 else 1 << (k % 7) | 1 << 20)) for k in range(120)]
+    df = spark.createDataFrame(rows, "node long, fp long")
+    pairs = shingle_join._by_fingerprint(df, df.groupBy("fp").agg(F.min("node").alias("least"))).collect()
+    root = list(range(120))
+    for a, b in pairs:
+        assert a < b and ((rows[a][1] ^ rows[b][1]) & ((1 << 64) - 1)).bit_count() <= 6
+        old, new = max(root[a], root[b]), min(root[a], root[b])
+        root = [new if r == old else r for r in root]
+    assert root == [k % 40 for k in range(120)]
+    found = shingle_join.shingle_set("a b c d e f g h i j k")
+    bits = [sum(int(h) >> k & 1 for h in found) for k in range(64)]
+    assert shingle_join.fingerprint(found) & ((1 << 64) - 1) == sum(1 << k for k, n in enumerate(bits) if 2 * n > len(found))
+    assert shingle_join.fingerprint(shingle_join.shingle_set("")) == 0
