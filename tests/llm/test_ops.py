@@ -669,6 +669,20 @@ def test_suffix_query(spark, sf, documents):
         assert (r.n_bytes, r.n_removed, r.kept_sha256) == (len(t), int(g.sum()), hashlib.sha256(kept).hexdigest())
 
 
+def test_suffix_length(spark, tmp_path):
+    """Bytes decide, not words: a passage of 57 words and 399 bytes stays; one word of 400 bytes goes, within characters too."""
+    words = " ".join(f"{k:06d}" for k in range(57)) + "x"
+    word, tail = "".join(f"{k:04d}" for k in range(100)), "".join(f"{k:03d}" for k in range(133))
+    texts = ["a" + words + "b", "c" + words + "d", "a" + word + "b", "c" + word + "d", "\u00e9" + tail, "\u0129" + tail, None]
+    kept = [texts[0].encode(), texts[1].encode(), b"ab", b"cd", b"\xc3", b"\xc4", b""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: tuple(r) for r in queries.op9_suffix_dedup(spark, str(tmp_path)).collect()}
+    for k, rest in enumerate(kept):
+        n = len((texts[k] or "").encode())
+        assert rows[k] == (k, n, n - len(rest), int(n > len(rest)), hashlib.sha256(rest).hexdigest())
+
+
 def test_suffix_odd(odd, empty):
     rows = suffix.remove_repeats(odd).collect()
     assert len(rows) == 9 and suffix.remove_repeats(empty).count() == 0
